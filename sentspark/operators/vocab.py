@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import heapq
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +24,11 @@ BROADCAST_TOKENS = 200_000
 WORD_SALT = 32
 # Distinct words a task remembers while it encodes.
 WORD_CACHE = 100_000
-# Pairs looked at per round of vocabulary learning.
-TOP_PAIRS = 4_000
-# Rounds between two rewrites of the word table.
-ROUNDS_PER_TABLE = 24
+# Fixed lengths of the lists a round of vocabulary learning brings to the driver.
+TOP_PAIRS = 1_000
+COUNTED_PAIRS = 300
+# Groups of merges between two rewrites of the word table.
+GROUPS_PER_TABLE = 48
 
 WORDS_SCHEMA = "ids array<int>, freq bigint"
 
@@ -74,12 +77,17 @@ def _pair_keys(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return keys
 
 
+def _listed(keys: np.ndarray, sorted_pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each key in the list, whether it is there)."""
+    at = np.searchsorted(sorted_pairs, keys)
+    at[at == len(sorted_pairs)] = 0
+    return at, sorted_pairs[at] == keys
+
+
 def _hits(keys: np.ndarray, sorted_pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions whose pair is listed, index of that pair). In a run of one symbol
     every other position counts, from the left."""
-    at = np.searchsorted(sorted_pairs, keys)
-    at[at == len(sorted_pairs)] = 0
-    hit = sorted_pairs[at] == keys
+    at, hit = _listed(keys, sorted_pairs)
     same = hit & ((keys >> _PAIR) == (keys & 0xFFFFFFFF))
     if same.any():
         i = np.arange(len(keys))
@@ -149,57 +157,105 @@ def _count_pairs(words: DataFrame, pending: list) -> DataFrame:
     )
 
 
-def _count_neighbours(words: DataFrame, pending: list, candidates: np.ndarray) -> DataFrame:
-    """For each candidate pair, the most frequent symbol next to it: (pair, freq)."""
+def _count_neighbours(
+    words: DataFrame, pending: list, ranked: np.ndarray, n_counted: int
+) -> DataFrame:
+    """What stands next to the first ``n_counted`` ranked pairs, where that neighbour and
+    the nearer symbol are a ranked pair too: pair_no, after (1 behind, 0 before), symbol,
+    freq."""
 
     def count(batches):
-        order = np.argsort(candidates)
-        listed = candidates[order]
+        order = np.argsort(ranked)
+        listed = ranked[order]
         for flat, lengths, freq in _merged_words(batches, pending):
             if len(flat) < 2:
                 continue
-            keys = _pair_keys(flat, lengths)
-            at = np.searchsorted(listed, keys)
-            at[at == len(listed)] = 0
-            pos = np.flatnonzero(listed[at] == keys)
-            weight = np.repeat(freq, lengths)
-            before = pos[(pos > 0)]
-            before = before[keys[before - 1] >= 0]
-            after = pos[pos + 1 < len(keys)]
-            after = after[keys[after + 1] >= 0]
-            # candidate number, side, neighbour in one bigint
+            at, known = _listed(_pair_keys(flat, lengths), listed)
+            number = np.where(known, order[at], len(ranked))
+            pos = np.flatnonzero(number < n_counted)
+            before = pos[pos > 0]
+            before = before[known[before - 1]]
+            after = pos[pos + 1 < len(number)]
+            after = after[known[after + 1]]
+            # pair number, side and neighbour packed into one bigint
             code = np.concatenate(
                 [
-                    (at[before].astype(np.int64) << 33) | flat[before - 1],
-                    (at[after].astype(np.int64) << 33) | (1 << 32) | flat[after + 2],
+                    (number[before] << 33) | flat[before - 1],
+                    (number[after] << 33) | (1 << 32) | flat[after + 2],
                 ]
             )
+            weight = np.repeat(freq, lengths)
             code, n = _sum_by_key(code, np.concatenate([weight[before], weight[after]]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(order[code >> 33].astype(np.int64)), pa.array(code & ((1 << 33) - 1)), pa.array(n)],
-                names=["candidate", "side", "freq"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "freq"])
 
+    code = F.col("code")
     return (
-        words.mapInArrow(count, "candidate bigint, side bigint, freq bigint")
-        .groupBy("candidate", "side")
+        words.mapInArrow(count, "code bigint, freq bigint")
+        .groupBy("code")
         .agg(F.sum("freq").alias("freq"))
-        .groupBy("candidate")
-        .agg(F.max("freq").alias("freq"))
+        .select(
+            F.shiftright(code, 33).alias("pair_no"),
+            F.shiftright(code, 32).bitwiseAND(F.lit(1)).alias("after"),
+            code.bitwiseAND(F.lit(0xFFFFFFFF)).alias("symbol"),
+            "freq",
+        )
     )
 
 
-def _independent(top: list, room: int) -> list[tuple[int, int, int]]:
-    """The longest start of the ranking in which no pair touches another's count."""
-    lefts, rights, out = set(), set(), []
-    for pair, freq in top[:room]:
-        l, r = pair >> 32, pair & 0xFFFFFFFF
-        if l in rights or r in lefts or (l == r and (l in lefts or r in rights)):
+def _next_merges(
+    ranking: list[tuple[int, int, int]], n_counted: int, neighbours: list, more: int, room: int
+) -> list[list[tuple[int, int]]]:
+    """The merges that one-by-one merging would do next, as far as they are certain.
+
+    ``ranking`` lists (left, right, freq) in merge order, ``neighbours`` what stands next
+    to its first ``n_counted`` pairs, and no unranked pair is more frequent than ``more``.
+    Merging a pair creates pairs with its neighbours, none more frequent than the
+    neighbour count, and takes occurrences from the ranked pairs that overlap it, exactly
+    the neighbour count as long as one merge overlaps them. So the pair with the highest
+    remaining count is next while that count is exact and above every created pair.
+    Returned in groups: within one, no occurrences overlap.
+    """
+    near = {(r.pair_no, r.after, r.symbol): r.freq for r in neighbours}
+    strongest: dict[int, int] = {}
+    for (c, _, _), freq in near.items():
+        strongest[c] = max(strongest.get(c, 0), freq)
+    starts, ends = defaultdict(list), defaultdict(list)
+    for i, (l, r, _) in enumerate(ranking):
+        starts[l].append(i)
+        ends[r].append(i)
+
+    count = [freq for _, _, freq in ranking]
+    exact, lost = [True] * len(ranking), [False] * len(ranking)
+    heap = [(-freq, l, r, i) for i, (l, r, freq) in enumerate(ranking)]
+    groups: list[list[tuple[int, int]]] = []
+    taken, created = set(), more
+    while heap and len(taken) < room:
+        freq, l, r, i = heapq.heappop(heap)
+        if i in taken or -freq != count[i]:
+            continue
+        if taken and (not exact[i] or i >= n_counted or count[i] <= created):
+            break
+        if not groups or lost[i]:
+            groups.append([])
+        groups[-1].append((l, r))
+        taken.add(i)
+        if i >= n_counted:
             break
-        lefts.add(l)
-        rights.add(r)
-        out.append((l, r, freq))
-    return out
+        created = max(created, strongest.get(i, 0))
+        for j in {*starts[r], *ends[l]} - taken:
+            jl, jr, _ = ranking[j]
+            after = near.get((i, 1, jr), 0) if jl == r else 0
+            before = near.get((i, 0, jl), 0) if jr == l else 0
+            loss = max(after, before)
+            if loss == 0:
+                continue
+            known = not lost[i] and l != r and jl != jr
+            if known:
+                count[j] = min(count[j], ranking[j][2] - loss)
+                heapq.heappush(heap, (-count[j], jl, jr, j))
+            exact[j] &= known and not lost[j] and not (after and before)
+            lost[j] = True
+    return groups
 
 
 def learn_bpe(
@@ -211,12 +267,10 @@ def learn_bpe(
     Ids: reserved tokens, then the characters by code point, then one token per merge.
     Each step merges the most frequent adjacent pair, ties by the smaller ids.
 
-    The words stay on the executors as id arrays. A round counts all pairs, ranks the
-    top ones and merges as many at once as one-by-one merging would have merged in the
-    same order: the pairs do not touch each other, and no pair that a merge creates can
-    be as frequent as the next one in the ranking. The bound for a created pair is the
-    exact count of the merged pair with its most frequent neighbour. Only the ranking
-    of a round, of fixed length, comes to the driver.
+    The words stay on the executors as id arrays. A round ranks the pairs, counts the
+    symbols next to the best ones, and merges at once as many as one-by-one merging
+    would have merged in the same order. Only the two rankings, of fixed length, come
+    to the driver.
     """
     spark = words.sparkSession
     chars = words.select(F.explode(F.split("word", "")).alias("c")).distinct()
@@ -229,32 +283,32 @@ def learn_bpe(
     n_tables, pending, merges = 1, [], []
 
     while len(tokens) < vocab_size:
-        ranking = (
-            _count_pairs(table, pending)
+        ranking = [
+            (r.pair >> 32, r.pair & 0xFFFFFFFF, r.freq)
+            for r in _count_pairs(table, pending)
             .filter(F.col("freq") >= max(1, min_frequency))
             .orderBy(F.desc("freq"), "pair")
             .limit(TOP_PAIRS)
             .collect()
-        )
+        ]
         if not ranking:
             break
-        chosen = _independent([(r.pair, r.freq) for r in ranking], vocab_size - len(tokens))
-        if len(chosen) > 1:
-            pairs = np.array([(l << 32) | r for l, r, _ in chosen], np.int64)
-            bound = dict(_count_neighbours(table, pending, pairs).collect())
-            chosen = _before_new_pairs(chosen, bound)
-        batch = []
-        for left, right, _ in chosen:
-            if len(tokens) >= vocab_size:
-                break
-            token = tokens[left] + tokens[right]
-            if token not in ids:
-                ids[token] = len(tokens)
-                tokens.append(token)
-            batch.append((left, right, ids[token]))
-        merges += batch
-        pending.append(_as_arrays(batch))
-        if len(pending) == ROUNDS_PER_TABLE:
+        ranked = np.array([(l << 32) | r for l, r, _ in ranking], np.int64)
+        n_counted = min(COUNTED_PAIRS, len(ranking))
+        neighbours = _count_neighbours(table, pending, ranked, n_counted).collect()
+        more = ranking[-1][2] if len(ranking) == TOP_PAIRS else 0
+        room = vocab_size - len(tokens)
+        for group in _next_merges(ranking, n_counted, neighbours, more, room):
+            batch = []
+            for left, right in group:
+                token = tokens[left] + tokens[right]
+                if token not in ids:
+                    ids[token] = len(tokens)
+                    tokens.append(token)
+                batch.append((left, right, ids[token]))
+            merges += batch
+            pending.append(_as_arrays(batch))
+        if len(pending) >= GROUPS_PER_TABLE:
             table = materialise(_rewritten(table, pending), "bpe-words", slots[n_tables % 2])
             n_tables, pending = n_tables + 1, []
 
@@ -264,17 +318,6 @@ def learn_bpe(
     return vocab, spark.createDataFrame(rows, schema)
 
 
-def _before_new_pairs(chosen: list, bound: dict[int, int]) -> list:
-    """Stop before the first pair that a pair created earlier in the batch could outrank."""
-    worst, out = 0, []
-    for i, (l, r, freq) in enumerate(chosen):
-        if out and freq <= worst:
-            break
-        out.append((l, r, freq))
-        worst = max(worst, bound.get(i, 0))
-    return out
-
-
 def _character_words(words: DataFrame, alphabet: np.ndarray) -> DataFrame:
     def to_ids(batches):
         for b in batches:
