@@ -11,6 +11,7 @@ from sentspark.functions.draws import draw_key
 from sentspark.storage import materialise
 
 _ROW_BITS = 33
+_BUCKETS = 4096
 _PREFIX = 4
 # The cut is finished by a top-k of at most this many rows.
 _FINISH_ROWS = 10_000
@@ -102,3 +103,28 @@ def cut_key(
             break
     last = rest.orderBy(key, id).limit(left).orderBy(F.desc(key), F.desc(id)).first()
     return n, k, (last[0], last[1])
+
+
+def weighted_median(hist: DataFrame, value: str, weight: str) -> float | None:
+    """Exact median of integers given as (value, how many). Reads ``hist`` a few times."""
+    r = hist.agg(F.sum(weight).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).first()
+    if r.n is None:
+        return None
+    middle = {(r.n + 1) // 2, r.n // 2 + 1}
+    found = [_kth_value(hist, value, weight, k, r.lo, r.hi) for k in middle]
+    return sum(found) / len(found)
+
+
+def _kth_value(hist: DataFrame, value: str, weight: str, k: int, lo: int, hi: int) -> int:
+    """Narrow [lo, hi] to one value; each pass counts in at most ``_BUCKETS`` intervals."""
+    while lo < hi:
+        width = -(-(hi - lo + 1) // _BUCKETS)
+        bucket = F.floor((F.col(value) - F.lit(lo)) / F.lit(width))
+        inside = hist.filter(F.col(value).between(lo, hi))
+        counts = inside.groupBy(bucket.alias("b")).agg(F.sum(weight).alias("n")).collect()
+        for b, n in sorted((c.b, c.n) for c in counts):
+            if k <= n:
+                break
+            k -= n
+        lo, hi = lo + b * width, min(hi, lo + (b + 1) * width - 1)
+    return lo
