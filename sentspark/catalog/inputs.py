@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,8 @@ from sentspark.functions import text as T
 from sentspark.operators import vocab as V
 from sentspark.operators.losses import pair_views
 from sentspark.operators.pooling import mean_pool
-from sentspark.sources.lines import lines_from_documents, training_lines
+from sentspark.sources.lines import lines_from_documents, spread, training_lines
+from sentspark.storage import fingerprint, read_or_build, shared_dir
 
 # Size of the word-level vocabulary of the encoding and example queries.
 N_WORDS = 2000
@@ -19,16 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines_from_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines_from_documents(documents(spark, sf_dir))
+
+
+def reusable(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A result that is kept in the shared folder while the documents stay the same."""
+    tag = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{tag}"
+    return read_or_build(spark, path, build, fingerprint(table(spark, sf_dir, "documents")))
 
 
 def word_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sent_id, ids of the training lines, by a word-level vocabulary."""
-    lines = training_lines(document_lines(spark, sf_dir)).select("sent_id", "text")
-    vocab = V.top_words(V.word_frequency(lines, T.words("text")), N_WORDS)
-    coded = V.encode_words(lines.withColumn("words", T.words("text")).drop("text"), vocab)
-    return coded.filter(F.size("ids") > 0)
+    lines = training_lines(document_lines(spark, sf_dir)).select(
+        "sent_id", T.words("text").alias("words")
+    )
+    build = lambda: V.top_words(V.word_frequency(lines, F.col("words")), N_WORDS)
+    vocab = reusable(spark, sf_dir, "word-vocab", build)
+    return V.encode_words(lines, vocab).filter(F.size("ids") > 0)
 
 
 def joined(column: str, as_: str | None = None):

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentspark.catalog import query
-from sentspark.catalog.inputs import document_lines, joined, table
+from sentspark.catalog.inputs import document_lines, joined, reusable
 from sentspark.operators import learn as Le
 from sentspark.plans.embed import embed_corpus, encode_lines, learn_vocabulary
 from sentspark.plans.prepare import prepare_corpus
 from sentspark.sources import lines as L
-from sentspark.storage import fingerprint, read_or_build, shared_dir
 
 VOCAB_SIZE = 300
 DIM = 32
@@ -21,16 +20,8 @@ SPACE = {"dim": [16, 32], "step_size": (0.01, 0.05), "dropout": (0.05, 0.2)}
 TRIALS = 2
 
 
-def _place(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, str]:
-    """Where a reusable result for this input lies, and the stamp of the input."""
-    tag = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
-    stamp = f"{fingerprint(table(spark, sf_dir, 'documents'))} {VOCAB_SIZE} {DIM}"
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{tag}", stamp
-
-
 def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, stamp = _place(spark, sf_dir, "split")
-    return read_or_build(spark, path, lambda: prepare_corpus(document_lines(spark, sf_dir)), stamp)
+    return reusable(spark, sf_dir, "split", lambda: prepare_corpus(document_lines(spark, sf_dir)))
 
 
 def train_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,32 +30,21 @@ def train_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Learnt from the train lines once and reused while the documents stay the same."""
+    """Learnt from the train lines once, and reused."""
     train = split_lines(spark, sf_dir).filter(F.col("split") == "train")
-    learnt: list[DataFrame] = []
-
-    def learn(i: int) -> DataFrame:
-        if not learnt:
-            learnt.extend(learn_vocabulary(train, VOCAB_SIZE))
-        return learnt[i]
-
-    out = []
-    for i, name in enumerate(("vocab", "merges")):
-        path, stamp = _place(spark, sf_dir, name)
-        out.append(read_or_build(spark, path, lambda i=i: learn(i), stamp))
-    return out[0], out[1]
+    learn = functools.cache(lambda: learn_vocabulary(train, VOCAB_SIZE))
+    vocab = reusable(spark, sf_dir, f"vocab-{VOCAB_SIZE}", lambda: learn()[0])
+    return vocab, reusable(spark, sf_dir, f"merges-{VOCAB_SIZE}", lambda: learn()[1])
 
 
 def train_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, stamp = _place(spark, sf_dir, "train-ids")
     build = lambda: encode_lines(train_lines(spark, sf_dir), *vocabulary(spark, sf_dir))
-    return read_or_build(spark, path, build, stamp)
+    return reusable(spark, sf_dir, f"train-ids-{VOCAB_SIZE}", build)
 
 
 def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, stamp = _place(spark, sf_dir, "token-vectors")
     build = lambda: Le.fit_encoder(train_ids(spark, sf_dir), DIM, partitions=4)
-    return read_or_build(spark, path, build, stamp)
+    return reusable(spark, sf_dir, f"token-vectors-{VOCAB_SIZE}-{DIM}", build)
 
 
 @query("learn_bpe")

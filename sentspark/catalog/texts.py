@@ -12,10 +12,10 @@ from sentspark.catalog.inputs import (
     WORD_IDS_SQL,
     _SPACES,
     document_lines,
+    documents,
     joined,
     joined_sql,
     normalize_sql,
-    table,
     word_ids,
     words_sql,
 )
@@ -41,7 +41,7 @@ words AS (
 SELECT doc_id, unnest(range(len(parts)))::INTEGER AS sentence_no, unnest(parts) AS text FROM marked""",
 )
 def _(spark, sf_dir):
-    return L.split_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return L.split_sentences(documents(spark, sf_dir))
 
 
 @query("normalize_text", f"WITH {LINES_SQL} SELECT sent_id, {normalize_sql()} AS text FROM lines")

@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 # Unicode white space plus the four separators U+001C..U+001F.
 SPACE = r"[\p{IsWhite_Space}\x{1c}-\x{1f}]"
 NOT_SPACE = r"[^\p{IsWhite_Space}\x{1c}-\x{1f}]"
+SPACE_CHARACTERS = (
+    "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 # A line ends at CR LF, at a lone CR or at LF.
 LINE_END = r"\r\n?|\n"
 # White space that follows a sentence terminator.
@@ -39,7 +44,7 @@ def _col(c: Column | str) -> Column:
 
 def trim(text: Column | str) -> Column:
     """Strip Unicode white space from both ends."""
-    return F.regexp_replace(_col(text), rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(_col(text), F.lit(SPACE_CHARACTERS))
 
 
 def word_count(text: Column | str) -> Column:
@@ -48,14 +53,23 @@ def word_count(text: Column | str) -> Column:
 
 
 def within_word_limit(text: Column | str, limit: int = MAX_WORDS) -> Column:
-    return word_count(text) <= limit
+    """Whether a text has at most ``limit`` words. One too many needs that many
+    characters and as many spaces less one, so short texts are not counted."""
+    short = F.char_length(_col(text)) <= 2 * limit
+    return F.when(short, True).otherwise(word_count(text) <= limit)
 
 
 def lines(text: Column | str) -> Column:
     """The lines of a text; a line end at the very end opens no further line."""
     t = _col(text)
-    body = F.regexp_replace(t, rf"({LINE_END})\z", "")
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_END, -1))
+    n = F.char_length(t)
+    body = (
+        F.when(t.endswith("\r\n"), F.left(t, n - 2))
+        .when(t.endswith("\n") | t.endswith("\r"), F.left(t, n - 1))
+        .otherwise(t)
+    )
+    cut = F.when(t.contains("\r"), F.split(body, LINE_END, -1)).otherwise(F.split(body, "\n", -1))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(cut)
 
 
 def sentences(text: Column | str) -> Column:
@@ -169,5 +183,5 @@ def words_to_encode(
         return out
 
     plain = words(t, keep_punctuation, keep_accents)
-    has_special = t.rlike("|".join(SPECIAL_TOKENS))
+    has_special = t.contains("<") & t.rlike("|".join(SPECIAL_TOKENS))
     return F.when(has_special, F.transform(found, restore)).otherwise(plain)

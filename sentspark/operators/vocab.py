@@ -28,7 +28,7 @@ WORD_CACHE = 100_000
 TOP_PAIRS = 1_000
 COUNTED_PAIRS = 300
 # Groups of merges between two rewrites of the word table.
-GROUPS_PER_TABLE = 48
+GROUPS_PER_TABLE = 16
 
 WORDS_SCHEMA = "ids array<int>, freq bigint"
 

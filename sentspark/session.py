@@ -1,7 +1,12 @@
-"""Session settings for local runs (tests, bench); a cluster brings its own session."""
+"""Session settings for local runs (tests, bench), and what a cluster session needs."""
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +26,19 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on the executors, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="sentspark-"), "sentspark"), "zip", package.parent, package.name
+    )
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)

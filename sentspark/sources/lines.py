@@ -22,6 +22,16 @@ def _sent_id(doc_id: Column, line_no: Column) -> Column:
     return F.when(line_no < LINES_PER_DOC, sent_id).otherwise(too_long)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out over all cores if the files give fewer tasks than that.
+
+    Only for small inputs: a table of many files has more tasks than cores and is left
+    as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lines_from_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per line of every document: sent_id, doc_id, line_no, text.
 
