@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sentspark.catalog import query
 from sentspark.catalog.inputs import document_lines, joined, reusable
 from sentspark.operators import learn as Le
+from sentspark.operators.examples import make_batches
 from sentspark.plans.embed import embed_corpus, encode_lines, learn_vocabulary
 from sentspark.plans.prepare import prepare_corpus
 from sentspark.sources import lines as L
@@ -18,6 +19,7 @@ VOCAB_SIZE = 300
 DIM = 32
 SPACE = {"dim": [16, 32], "step_size": (0.01, 0.05), "dropout": (0.05, 0.2)}
 TRIALS = 2
+BATCH = 32
 
 
 def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +45,8 @@ def train_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    build = lambda: Le.fit_encoder(train_ids(spark, sf_dir), DIM, partitions=4)
+    cores = spark.sparkContext.defaultParallelism
+    build = lambda: Le.fit_encoder(train_ids(spark, sf_dir), DIM, partitions=cores)
     return reusable(spark, sf_dir, f"token-vectors-{VOCAB_SIZE}-{DIM}", build)
 
 
@@ -76,10 +79,11 @@ def _(spark, sf_dir):
     train = train_ids(spark, sf_dir)
     test = split_lines(spark, sf_dir).filter(F.col("split") == "test").drop("split")
     test = L.training_lines(test).filter(F.col("text") != "")
-    held_out = encode_lines(test, *vocabulary(spark, sf_dir))
+    held_out = make_batches(encode_lines(test, *vocabulary(spark, sf_dir)), BATCH)
+    cores = spark.sparkContext.defaultParallelism
 
     def objective(params):
-        vectors = Le.fit_encoder(train, params["dim"], step_size=params["step_size"], partitions=4)
+        vectors = Le.fit_encoder(train, params["dim"], step_size=params["step_size"], partitions=cores)
         loss = Le.evaluate_encoder(held_out, vectors, params["dropout"]).first().loss
         return {0: loss}
 

@@ -11,8 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sentspark.functions.draws import draw_key, uniform
-from sentspark.operators.examples import make_batches
+from sentspark.functions.draws import uniform
 from sentspark.operators.losses import contrastive_eval
 from sentspark.operators.pooling import encode
 
@@ -55,7 +54,9 @@ def fit_encoder(
     )
 
 
-def token_dropout(df: DataFrame, rate: float, view: int, seed: int = 42, ids: str = "ids", id: str = "sent_id") -> DataFrame:
+def token_dropout(
+    df: DataFrame, rate: float, view: int, seed: int = 42, ids: str = "ids", id: str = "sent_id"
+) -> DataFrame:
     """A view of each row with a random share of its tokens left out."""
     kept = F.filter(
         ids,
@@ -68,26 +69,24 @@ def token_dropout(df: DataFrame, rate: float, view: int, seed: int = 42, ids: st
 
 
 def evaluate_encoder(
-    df: DataFrame,
+    batches: DataFrame,
     token_vectors: DataFrame,
     dropout: float = 0.1,
-    batch_size: int = 32,
     batches_per_group: int = 8,
     kind: str = "debiased_contrastive",
     seed: int = 42,
 ) -> DataFrame:
-    """Contrastive loss of an encoder on ``df`` (sent_id, ids): n_groups, loss.
+    """Contrastive loss of an encoder on batches (sent_id, batch_id, ids): n_groups, loss.
 
     The two views of a sentence are two token dropouts, since the encoder itself draws
     nothing.
     """
-    batched = make_batches(df.select("sent_id", "ids"), batch_size, seed).select("sent_id", "batch_id", "ids")
-    views = batched.withColumn("ids_j", F.col("ids"))
-    views = token_dropout(views, dropout, 1, seed, "ids")
-    views = token_dropout(views, dropout, 2, seed, "ids_j")
-    z_i = encode(views, token_vectors, "ids").withColumnRenamed("embedding", "z_i")
-    z_j = encode(z_i, token_vectors, "ids_j").withColumnRenamed("embedding", "z_j")
-    return contrastive_eval(z_j.withColumnRenamed("sent_id", "pair_id"), kind, batches_per_group)
+    views = batches.select(F.col("sent_id").alias("pair_id"), "batch_id", "ids", F.col("ids").alias("ids_j"))
+    views = token_dropout(views, dropout, 1, seed, "ids", "pair_id")
+    views = token_dropout(views, dropout, 2, seed, "ids_j", "pair_id")
+    z_i = encode(views, token_vectors, "ids", "pair_id").withColumnRenamed("embedding", "z_i")
+    z_j = encode(z_i, token_vectors, "ids_j", "pair_id").withColumnRenamed("embedding", "z_j")
+    return contrastive_eval(z_j, kind, batches_per_group)
 
 
 def draw_params(space: dict[str, list | tuple[float, float]], trial: int, seed: int = 42) -> dict[str, Any]:

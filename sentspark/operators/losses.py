@@ -78,7 +78,9 @@ def _anchor_sums(df: DataFrame, batch: str, temperature: float, slice_pairs: int
         .drop("_size", "_n")
     )
     left = cut.withColumnsRenamed({"_own": "_l", "_other": "_r"}).groupBy(batch, "_l", "_r")
-    right = cut.withColumnsRenamed({"_own": "_r", "_other": "_l"}).groupBy(batch, "_l", "_r")
+    # toDF gives the second use of the rows columns of its own.
+    right = cut.withColumnsRenamed({"_own": "_r", "_other": "_l"})
+    right = right.toDF(*right.columns).groupBy(batch, "_l", "_r")
     empty = pa.table({batch: [], "pair_id": [], "view": [], "others": []}).cast(
         pa.schema([(batch, pa.int64()), ("pair_id", pa.int64()), ("view", pa.int32()), ("others", pa.float64())])
     )
