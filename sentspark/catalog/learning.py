@@ -45,8 +45,7 @@ def train_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cores = spark.sparkContext.defaultParallelism
-    build = lambda: Le.fit_encoder(train_ids(spark, sf_dir), DIM, partitions=cores)
+    build = lambda: Le.fit_encoder(train_ids(spark, sf_dir), DIM)
     return reusable(spark, sf_dir, f"token-vectors-{VOCAB_SIZE}-{DIM}", build)
 
 
@@ -80,10 +79,9 @@ def _(spark, sf_dir):
     test = split_lines(spark, sf_dir).filter(F.col("split") == "test").drop("split")
     test = L.training_lines(test).filter(F.col("text") != "")
     held_out = make_batches(encode_lines(test, *vocabulary(spark, sf_dir)), BATCH)
-    cores = spark.sparkContext.defaultParallelism
 
     def objective(params):
-        vectors = Le.fit_encoder(train, params["dim"], step_size=params["step_size"], partitions=cores)
+        vectors = Le.fit_encoder(train, params["dim"], step_size=params["step_size"])
         loss = Le.evaluate_encoder(held_out, vectors, params["dropout"]).first().loss
         return {0: loss}
 

@@ -28,15 +28,16 @@ def fit_encoder(
     epochs: int = 1,
     step_size: float = 0.025,
     seed: int = 42,
-    partitions: int = 1,
+    partitions: int | None = None,
     ids: str = "ids",
 ) -> DataFrame:
     """Token vectors from id arrays: token, vector.
 
     A bag-of-subwords model, so not of the quality of a Transformer. The tokens come from
-    a vocabulary of bounded size, which bounds the model. More ``partitions`` train more
-    sentences side by side and average more often.
+    a vocabulary of bounded size, which bounds the model. ``partitions`` train side by
+    side and are averaged after each epoch: one per core, unless given.
     """
+    partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
     tokens = df.select(F.col(ids).cast("array<string>").alias("tokens"))
     model = Word2Vec(
         vectorSize=dim,

@@ -16,6 +16,7 @@ from sentspark.functions import vectors as V
 
 # Largest table of token vectors sent to every executor (values; 4 bytes each).
 BROADCAST_VALUES = 32_000_000
+TOKEN_SALT = 32
 # Values gathered at once while pooling a batch.
 _BLOCK_VALUES = 4_000_000
 # Sentences per call of a caller's encoder.
@@ -92,8 +93,12 @@ def encode(
 
 
 def _encode_by_join(df: DataFrame, token_vectors: DataFrame, ids: str, id: str, dim: int) -> DataFrame:
-    occurrences = df.select(id, F.explode(ids).alias("token"))
-    pooled = mean_pool(occurrences.join(token_vectors, "token"), id, "vector")
+    # One token may be a third of all occurrences, so both sides are salted.
+    salt = F.pmod(F.xxhash64(id, "pos"), F.lit(TOKEN_SALT)).cast("int")
+    occurrences = df.select(id, F.posexplode(ids).alias("pos", "token")).withColumn("salt", salt)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SALT - 1)))
+    vectors = token_vectors.select("token", "vector").withColumn("salt", salts)
+    pooled = mean_pool(occurrences.join(vectors, ["token", "salt"]), id, "vector")
     zero = F.array_repeat(F.lit(0.0), dim)
     return (
         df.drop(ids)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sentspark.storage import new_path
@@ -17,10 +21,26 @@ def dedup_stream(
     arrives later than that counts as new.
     """
     if event_time is None:
-        return df.dropDuplicates([text])
+        return _collapsed(df, text).dropDuplicates([text])
     if delay is None:
         raise ValueError("an event time needs a delay")
-    return df.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([text])
+    return _collapsed(df, text).withWatermark(event_time, delay).dropDuplicatesWithinWatermark([text])
+
+
+def _collapsed(df: DataFrame, text: str) -> DataFrame:
+    """Drop copies within each Arrow batch, before the shuffle to the state.
+
+    Streaming duplicate removal has no partial step of its own, so without this every
+    copy of a hot text would go to one task.
+    """
+
+    def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = b.column(text).dictionary_encode().indices.fill_null(-1).to_numpy()
+            _, first = np.unique(codes, return_index=True)
+            yield b.take(pa.array(np.sort(first)))
+
+    return df.mapInArrow(collapse, df.schema)
 
 
 def run_available(stream: DataFrame, label: str = "stream") -> DataFrame:

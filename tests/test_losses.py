@@ -92,7 +92,7 @@ def test_sweep_reports_every_trial(spark, tmp_path):
 
     trials = Le.sweep(spark, space, objective, 4, report=str(tmp_path / "trials"))
     assert seen == [Le.draw_params(space, i) for i in range(4)]
-    stored = spark.read.schema(Le.TRIALS).json(str(tmp_path / "trials"))
+    stored = spark.read.schema(Le.TRIALS.replace("<int,", "<string,")).json(str(tmp_path / "trials"))
     assert sorted(r.trial_number for r in stored.collect()) == [0, 1, 2, 3]
     best = Le.best_trial(trials).first()
     assert best.value == min(r.value for r in trials.collect())

@@ -91,3 +91,32 @@ def test_invalid_bytes(spark, tmp_path):
     assert read("replace")[0].startswith("ok�")
     with pytest.raises(ValueError):
         read("ignore")
+
+
+def test_files_keep_their_line_order(spark, tmp_path):
+    from sentspark.operators.order import with_ordinals
+
+    for name, n in (("a.txt", 500), ("b.txt", 300)):
+        (tmp_path / name).write_text("".join(f"{name} {i}\r\n" for i in range(n)), newline="")
+    lines = with_ordinals(L.read_lines(spark, str(tmp_path)), ["file", "block", "row"], "line_no")
+    got = [r.text for r in lines.orderBy("line_no").collect()]
+    assert got == [f"a.txt {i}" for i in range(500)] + [f"b.txt {i}" for i in range(300)]
+
+
+def test_empty_file(spark, tmp_path):
+    (tmp_path / "empty.txt").write_bytes(b"")
+    assert L.read_lines(spark, str(tmp_path)).count() == 0
+
+
+def test_line_and_split_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "train"), (2, "b", "test")], "sent_id int, text string, split string")
+    L.write_lines(df, str(tmp_path / "t"))
+    assert sorted(r.text for r in L.read_lines(spark, str(tmp_path / "t")).collect()) == ["a", "b"]
+    L.write_split(df, str(tmp_path / "s"))
+    assert [r.text for r in spark.read.parquet(str(tmp_path / "s/split=test")).collect()] == ["b"]
+
+
+def test_small_inputs_are_spread_and_large_ones_left(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert L.spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == cores
+    assert L.spread(spark.range(0, 100, 1, 40)).rdd.getNumPartitions() == 40
