@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sentspark.catalog import query
 from sentspark.catalog.inputs import (
     N_WORDS,
+    VECTORS_SQL,
     WORD_IDS_SQL,
     joined,
     joined_sql,
@@ -19,6 +20,7 @@ from sentspark.catalog.inputs import (
 )
 from sentspark.functions import vectors as V
 from sentspark.operators import examples as E
+from sentspark.operators.pooling import encode
 
 VOCAB_SIZE = N_WORDS + 5
 BATCH = 32
@@ -72,6 +74,26 @@ def _(spark, sf_dir):
     return E.contrastive_examples(word_ids(spark, sf_dir)).select("sent_id", joined("ids"))
 
 
+@query(
+    "encode_sentences",
+    f"""WITH {WORD_IDS_SQL}, {VECTORS_SQL},
+means AS (
+  SELECT sent_id, d, avg(x) AS m FROM tokens JOIN flat ON vec_id = token GROUP BY sent_id, d
+)
+SELECT sent_id, d, round(coalesce(m, 0), 4) + 0.0::DOUBLE AS value
+FROM (SELECT sent_id, unnest(range(64))::INTEGER AS d FROM coded) LEFT JOIN means USING (sent_id, d)""",
+)
+def _(spark, sf_dir):
+    # The stored vectors stand in for token vectors; ids without one are unknown tokens.
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("token"), F.col("embedding").alias("vector")
+    )
+    pooled = encode(word_ids(spark, sf_dir), vectors)
+    return pooled.select("sent_id", F.posexplode("embedding").alias("d", "value")).withColumn(
+        "value", F.round("value", 4) + F.lit(0.0)
+    )
+
+
 BATCHES_SQL = f"""
 {WORD_IDS_SQL},
 ordinals AS (SELECT *, row_number() OVER (ORDER BY sent_id) - 1 AS pos FROM coded),

@@ -32,8 +32,9 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reusable(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A result that is kept in the shared folder while the documents stay the same."""
-    tag = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
+    """A result that this application keeps in the shared folder while the documents stay
+    the same."""
+    tag = hashlib.md5(f"{spark.sparkContext.applicationId}:{sf_dir}".encode()).hexdigest()[:12]
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{tag}"
     return read_or_build(spark, path, build, fingerprint(table(spark, sf_dir, "documents")))
 

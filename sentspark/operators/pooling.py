@@ -65,12 +65,12 @@ def encode(
     vectors = R.matrix(table["vector"], np.float32).reshape(len(tokens), dim)
     shared = df.sparkSession.sparkContext.broadcast((tokens[order], vectors[order]))
 
-    @F.arrow_udf("array<float>")
+    @F.arrow_udf("array<double>")
     def pool(column: pa.Array) -> pa.Array:
         tokens, vectors = shared.value
         flat, lengths = R.flat_list(column, np.int64)
         if len(tokens) == 0:
-            return R.list_array(np.zeros(0, np.float32), np.zeros(len(lengths), int), pa.float32())
+            return R.list_array(np.zeros(0), np.zeros(len(lengths), int), pa.float64())
         at = np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)
         known = tokens[at] == flat
         out = np.zeros((len(lengths), vectors.shape[1]), np.float64)
@@ -85,9 +85,7 @@ def encode(
             n = R.sum_rows(known[part].astype(np.float64), lengths[lo:hi])
             out[lo:hi] = total / np.maximum(n, V.MIN_COUNT)[:, None]
             lo = hi
-        return R.list_array(
-            out.astype(np.float32).ravel(), np.full(len(lengths), vectors.shape[1]), pa.float32()
-        )
+        return R.list_array(out.ravel(), np.full(len(lengths), vectors.shape[1]), pa.float64())
 
     return df.withColumn("embedding", pool(ids)).drop(ids)
 
@@ -103,7 +101,7 @@ def _encode_by_join(df: DataFrame, token_vectors: DataFrame, ids: str, id: str,
     return (
         df.drop(ids)
         .join(pooled, id, "left")
-        .withColumn("embedding", F.coalesce("embedding", zero).cast("array<float>"))
+        .withColumn("embedding", F.coalesce("embedding", zero))
     )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import heapq
 from collections import defaultdict
 from collections.abc import Iterator
@@ -22,8 +21,8 @@ N_SPECIAL = len(T.SPECIAL_TOKENS)
 BROADCAST_TOKENS = 200_000
 # Salt for joins on words: one word may be a third of all occurrences.
 WORD_SALT = 32
-# Distinct words a task remembers while it encodes.
-WORD_CACHE = 100_000
+# Words with more symbols are encoded one by one.
+LONG_WORD = 64
 # Fixed lengths of the lists a round of vocabulary learning brings to the driver.
 TOP_PAIRS = 1_000
 COUNTED_PAIRS = 300
@@ -68,6 +67,7 @@ def top_words(words: DataFrame, size: int) -> DataFrame:
 # -- vocabulary learning ------------------------------------------------------------
 
 _PAIR = np.int64(32)
+_NO_PAIR = np.iinfo(np.int64).max
 
 
 def _pair_keys(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -116,7 +116,7 @@ def _apply_batch(flat, lengths, batch):
 def _sum_by_key(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(keys) == 0:
         return keys, weights
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[first], np.add.reduceat(weights[order], first)
@@ -358,27 +358,108 @@ def _bounded(df: DataFrame, limit: int) -> list | None:
 
 
 class _Encoder:
-    """Subword ids of distinct words; lives in the broadcast, shared by all tasks."""
+    """Subword ids of words; one per task, from the broadcast vocabulary."""
 
     def __init__(self, vocab: list, merges: list):
-        self.ids = {r.token: r.id for r in vocab}
-        self.rank_of = {(r.left_id, r.right_id): (r.rank, r.id) for r in merges}
-
-    def word(self, word: str) -> list[int]:
-        if word in T.SPECIAL_TOKENS:
-            return [self.ids[word]]
-        out = [self.ids.get(c, T.UNK) for c in word]
-        while len(out) > 1:
-            ranked = [
-                (*self.rank_of[pair], i)
-                for i, pair in enumerate(zip(out, out[1:]))
-                if pair in self.rank_of
-            ]
-            if not ranked:
+        self.special = {t: i for i, t in enumerate(T.SPECIAL_TOKENS)}
+        chars = sorted((ord(r.token), r.id) for r in vocab if len(r.token) == 1)
+        self.points = np.array([c for c, _ in chars] or [0], np.uint32)
+        self.point_ids = np.array([i for _, i in chars] or [T.UNK], np.int32)
+        rows = sorted(((r.left_id << 32) | r.right_id, r.rank, r.id) for r in merges)
+        self.pairs = np.array([p for p, _, _ in rows] or [-2], np.int64)
+        self.ranks = np.array([k for _, k, _ in rows] or [0], np.int64)
+        self.merged = np.array([i for _, _, i in rows] or [0], np.int32)
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, number of ids of each word)."""
+        if not words:
+            return self._in_order([])
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        lengths = np.array([len(w) for w in words], np.int64)
+        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
+        flat = np.where(self.points[at] == points, self.point_ids[at], T.UNK).astype(np.int32)
+        for i, w in enumerate(words):
+            if w in self.special:
+                first = int(lengths[:i].sum())
+                flat[first] = self.special[w]
+                flat[first + 1 : first + lengths[i]] = -1
+        lengths = R.sum_rows((flat >= 0).astype(np.int64), lengths)
+        flat = flat[flat >= 0]
+
+        done = []
+        open_ = np.arange(len(words))
+        while len(open_):
+            short = lengths <= LONG_WORD
+            flat, lengths, open_ = self._set_aside(flat, lengths, open_, ~short, done, self._long)
+            if len(flat) == 0:
                 break
-            _, new, i = min(ranked, key=lambda t: (t[0], t[2]))
-            out[i : i + 2] = [new]
-        return out
+            best, at = self._best_pairs(flat, lengths)
+            merge = best < _NO_PAIR
+            pos = best[merge] & 0xFFFFFFFF
+            flat[pos] = self.merged[at[pos]]
+            keep = np.ones(len(flat), bool)
+            keep[pos + 1] = False
+            flat, lengths = flat[keep], lengths - merge
+            flat, lengths, open_ = self._set_aside(flat, lengths, open_, ~merge, done)
+        return self._in_order(done)
+
+    def _best_pairs(self, flat: np.ndarray, lengths: np.ndarray):
+        """Per word, rank << 32 | position of its first pair of lowest rank."""
+        keys = np.append(_pair_keys(flat, lengths), -1)
+        at, known = _listed(keys, self.pairs)
+        code = np.where(known, (self.ranks[at] << 32) | np.arange(len(flat)), _NO_PAIR)
+        return np.minimum.reduceat(code, R.starts_of(lengths)), at
+
+    @staticmethod
+    def _set_aside(flat, lengths, words, finished, done, finish=None):
+        if not finished.any():
+            return flat, lengths, words
+        values, n = R.take_rows(flat, lengths, np.flatnonzero(finished))
+        if finish:
+            rows = [finish(row.tolist()) for row in np.split(values, np.cumsum(n)[:-1])]
+            values = np.array([i for row in rows for i in row], np.int32)
+            n = np.array([len(row) for row in rows], np.int64)
+        done.append((words[finished], values, n))
+        rest = np.flatnonzero(~finished)
+        return *R.take_rows(flat, lengths, rest), words[rest]
+
+    @staticmethod
+    def _in_order(done):
+        if not done:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        words, values, n = (np.concatenate(x) for x in zip(*done))
+        return R.take_rows(values, n, np.argsort(words))
+
+    def _pair(self, left: int, right: int) -> tuple[int, int] | None:
+        key = (left << 32) | right
+        at = int(np.searchsorted(self.pairs, key))
+        if at == len(self.pairs) or self.pairs[at] != key:
+            return None
+        return int(self.ranks[at]), int(self.merged[at])
+
+    def _long(self, ids: list[int]) -> list[int]:
+        """The same for one long word, in time n log n: a heap of pairs and a linked list."""
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[int, int, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < n and (pair := self._pair(ids[i], ids[after[i]])):
+                heapq.heappush(heap, (pair[0], i, ids[i], ids[after[i]], pair[1]))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            _, i, left, right, new = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != left or j >= n or ids[j] != right:
+                continue
+            ids[i], ids[j], after[i] = new, -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(before[i])
+            offer(i)
+        return [x for x in ids if x >= 0]
 
 
 def encode_corpus(
@@ -395,27 +476,21 @@ def encode_corpus(
     merge_rows = _bounded(merges.select("rank", "left_id", "right_id", "id"), BROADCAST_TOKENS)
     if vocab_rows is None or merge_rows is None:
         raise ValueError(f"subword vocabularies hold at most {BROADCAST_TOKENS} tokens")
-    shared = spark.sparkContext.broadcast(_Encoder(vocab_rows, merge_rows))
+    shared = spark.sparkContext.broadcast((vocab_rows, merge_rows))
 
     @F.arrow_udf("array<int>")
     def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        word_ids = functools.lru_cache(WORD_CACHE)(shared.value.word)
+        encoder = _Encoder(*shared.value)
         for column in columns:
-            yield _per_distinct_word(column, lambda words: [word_ids(w) for w in words])
+            lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = column.flatten().dictionary_encode()
+            values, sizes = encoder.words(coded.dictionary.to_pylist())
+            flat, picked = R.take_rows(values, sizes, coded.indices.to_numpy(zero_copy_only=False))
+            yield R.list_array(flat, R.sum_rows(picked, lengths), pa.int32())
 
     return df.withColumn(out, encode(words)).drop(words)
 
 
-def _per_distinct_word(column: pa.Array, ids_of) -> pa.Array:
-    lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = column.flatten().dictionary_encode()
-    per_word = ids_of(coded.dictionary.to_pylist())
-    sizes = np.array([len(x) for x in per_word], np.int64)
-    values = np.array([i for x in per_word for i in x], np.int32)
-    flat, picked = R.take_rows(values, sizes, coded.indices.to_numpy(zero_copy_only=False))
-    return R.list_array(flat, R.sum_rows(picked, lengths), pa.int32())
-
-
 def encode_words(
     df: DataFrame,
     vocab: DataFrame,

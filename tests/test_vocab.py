@@ -64,7 +64,8 @@ def test_merges_and_ids_agree_with_library(spark, seed, alphabet, n, size):
     ids, merges, vocab, table = learnt(spark, texts, size)
     assert merges == [tuple(m) for m in model["merges"]]
     assert ids == model["vocab"]
-    unseen = random_texts(seed + 100, alphabet + "z", 50) + ["a<mask>b", "x </s>y", "<S> <unk>"]
+    unseen = random_texts(seed + 100, alphabet + "z", 50) + ["a<mask>b", "x </s>y", "<S> <unk>", "", " "]
+    unseen += ["".join(random.Random(seed).choices(alphabet, k=n)) for n in (63, 64, 65, 66, 3000)]
     rows = encode_lines(frame(spark, unseen), vocab, table).orderBy("sent_id").collect()
     assert [r.ids for r in rows] == [tok.encode(t).ids for t in unseen]
 
