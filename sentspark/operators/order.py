@@ -17,7 +17,9 @@ _PREFIX = 4
 _FINISH_ROWS = 10_000
 
 
-def with_ordinals(df: DataFrame, by: list[str], name: str = "pos", start: int = 0) -> DataFrame:
+def with_ordinals(
+    df: DataFrame, by: list[str], name: str = "pos", start: int = 0, stored: bool = False
+) -> DataFrame:
     """Number the rows densely in the order of ``by``, whose values must be unique.
 
     Range partitions are sorted side by side and stamped with (partition, row). The
@@ -25,10 +27,14 @@ def with_ordinals(df: DataFrame, by: list[str], name: str = "pos", start: int =
     themselves come from the same partitioning. A row's number is then its row stamp
     plus the rows of the partitions before it; that table of offsets has one row per
     partition.
+
+    Finding the ranges reads the rows a second time, so ``df`` is written first, unless
+    ``stored`` says that it is a plain scan of a table.
     """
     stamp = F.monotonically_increasing_id()
     stamped = (
-        df.repartitionByRange(*by)
+        (df if stored else materialise(df, "rows"))
+        .repartitionByRange(*by)
         .sortWithinPartitions(*by)
         .withColumn("_part", F.shiftright(stamp, _ROW_BITS))
         .withColumn("_row", stamp.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
