@@ -1,4 +1,8 @@
-"""Queries on learnt vocabularies and vectors; SQL cannot express these."""
+"""Queries on learnt vocabularies and vectors.
+
+The SQL of the vocabulary merges one pair per step in a recursive query. Token vectors
+have no SQL.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentspark.catalog import query
-from sentspark.catalog.inputs import document_lines, joined, reusable
+from sentspark.catalog.inputs import LINES_SQL, document_lines, joined, reusable, words_sql
+from sentspark.catalog.lines import UNIQUE_SQL, split_sql
 from sentspark.operators import learn as Le
 from sentspark.operators.examples import make_batches
 from sentspark.plans.embed import embed_corpus, encode_lines, learn_vocabulary
@@ -49,13 +54,84 @@ def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reusable(spark, sf_dir, f"token-vectors-{VOCAB_SIZE}-{DIM}", build)
 
 
-@query("learn_bpe")
+# One row per distinct word (kind 0: ids in brackets, frequency among the train lines),
+# token (kind 1) and merge (kind 2). Words of other lines have frequency 0 and are merged
+# along, which encodes them. Ids have five digits, so pairs sort by their ids.
+BPE_SQL = f"""
+{LINES_SQL}, {UNIQUE_SQL},
+split_lines AS ({split_sql('uniq', 'sent_id, text')}),
+train_words AS (
+  SELECT word, count(*) AS freq
+  FROM (SELECT unnest({words_sql()}) AS word FROM split_lines WHERE split = 'train') GROUP BY word
+),
+line_words AS (
+  SELECT sent_id, unnest(range(len(w))) AS pos, unnest(w) AS word
+  FROM (SELECT sent_id, {words_sql()} AS w FROM lines)
+),
+words AS (
+  SELECT word, coalesce(freq, 0) AS freq, row_number() OVER (ORDER BY word) AS k
+  FROM (SELECT DISTINCT word FROM line_words) LEFT JOIN train_words USING (word)
+),
+chars AS (
+  SELECT k, freq, unnest(range(len(word))) AS i, unnest(string_split(word, '')) AS c FROM words
+),
+alphabet AS (
+  SELECT c, 4 + row_number() OVER (ORDER BY unicode(c)) AS id
+  FROM (SELECT DISTINCT c FROM chars WHERE freq > 0)
+),
+state(kind, k, s, n) USING KEY (kind, k) AS (
+  SELECT 0, k, string_agg('<' || lpad(coalesce(id, 2)::VARCHAR, 5, '0') || '>', '' ORDER BY i),
+         any_value(freq)::BIGINT
+  FROM chars LEFT JOIN alphabet USING (c) GROUP BY k
+  UNION ALL SELECT 1, id, c, id FROM alphabet
+  UNION ALL SELECT 1, id, token, id
+  FROM (SELECT unnest(range(5)) AS id, unnest(['<mask>', '<pad>', '<unk>', '<s>', '</s>']) AS token)
+  UNION ALL (
+    WITH best AS (
+      SELECT substr(s, 7 * i + 1, 14) AS p, sum(n) AS f
+      FROM (SELECT s, n, unnest(range(len(s) // 7 - 1)) AS i FROM recurring.state WHERE kind = 0 AND n > 0)
+      GROUP BY p ORDER BY f DESC, p LIMIT 1
+    ),
+    merge AS (
+      SELECT p, l.s || r.s AS token, l.s || ' ' || r.s AS names,
+             (SELECT count(*) FROM recurring.state WHERE kind = 2) AS rank,
+             coalesce((SELECT min(k) FROM recurring.state WHERE kind = 1 AND s = l.s || r.s),
+                      (SELECT max(k) + 1 FROM recurring.state WHERE kind = 1)) AS id
+      FROM best JOIN recurring.state l ON l.kind = 1 AND l.k = substr(p, 2, 5)::BIGINT
+                JOIN recurring.state r ON r.kind = 1 AND r.k = substr(p, 9, 5)::BIGINT
+      WHERE (SELECT count(*) FROM recurring.state WHERE kind = 1) < {VOCAB_SIZE}
+    )
+    SELECT 0, k, replace(s, p, '<' || lpad(id::VARCHAR, 5, '0') || '>'), n
+    FROM recurring.state, merge WHERE kind = 0 AND contains(s, p)
+    UNION ALL SELECT 1, id, token, id FROM merge
+    UNION ALL SELECT 2, rank, names, id FROM merge
+  )
+)"""
+
+
+@query(
+    "learn_bpe",
+    f"""WITH RECURSIVE {BPE_SQL}
+SELECT k::INTEGER AS rank, split_part(s, ' ', 1) AS "left", split_part(s, ' ', 2) AS "right",
+       n::INTEGER AS id
+FROM state WHERE kind = 2""",
+)
 def _(spark, sf_dir):
     _, merges = vocabulary(spark, sf_dir)
-    return merges
-
-
-@query("bpe_encode")
+    return merges.select("rank", "left", "right", "id")
+
+
+@query(
+    "bpe_encode",
+    rf"""WITH RECURSIVE {BPE_SQL},
+coded AS (
+  SELECT sent_id, string_agg(s, '' ORDER BY pos) AS ids
+  FROM line_words JOIN words USING (word) JOIN state ON kind = 0 AND state.k = words.k
+  GROUP BY sent_id
+)
+SELECT sent_id, coalesce(rtrim(regexp_replace(ids, '<0*(\d+)>', '\1 ', 'g')), '') AS ids
+FROM lines LEFT JOIN coded USING (sent_id)""",
+)
 def _(spark, sf_dir):
     lines = document_lines(spark, sf_dir).select("sent_id", "text")
     return encode_lines(lines, *vocabulary(spark, sf_dir)).select("sent_id", joined("ids"))
