@@ -139,6 +139,25 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "inference_batches",
+    f"""WITH {BATCHES_SQL},
+padded AS (
+  SELECT sent_id, pos // 64 AS batch_id, ids, n, max(n) OVER (PARTITION BY pos // 64) AS longest
+  FROM ordinals
+)
+SELECT sent_id, batch_id,
+       {joined_sql("list_concat(ids, list_transform(range(longest - n), lambda x: 1))")} AS ids,
+       {joined_sql("list_transform(range(longest), lambda i: CASE WHEN i < n THEN '1' ELSE '0' END)")}
+         AS attention_mask
+FROM padded""",
+)
+def _(spark, sf_dir):
+    return E.inference_batches(word_ids(spark, sf_dir)).select(
+        "sent_id", "batch_id", joined("ids"), joined("attention_mask")
+    )
+
+
 @query(
     "one_hot",
     f"""SELECT vec_id, {joined_sql(

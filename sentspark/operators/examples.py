@@ -17,6 +17,7 @@ MASKED_UP_TO = 0.8
 RANDOM_UP_TO = 0.9
 
 SHUFFLE_BUFFER = 2048
+INFERENCE_BATCH = 64
 
 
 def predicted_count(n: Column, mask_ratio: float = MASK_RATIO) -> Column:
@@ -112,16 +113,32 @@ def pad_batches(
     labels: str | None = None,
     by: tuple[str, ...] = ("batch_id",),
     pad_id: int = T.PAD,
+    mask: str = "padding",
 ) -> DataFrame:
-    """Pad every row to the longest of its batch and add ``padding_mask``, true on padding.
+    """Pad every row to the longest of its batch.
+
+    Adds ``padding_mask``, true on padding, or with ``mask="attention"`` the opposite
+    ``attention_mask``, 1 on tokens, as encoders take it.
 
     If batches lie within shuffle blocks, pass ``by=("block", "batch_id")``: the rows are
     already distributed by block, and no further shuffle is needed.
     """
+    if mask not in ("padding", "attention"):
+        raise ValueError(f"mask must be 'padding' or 'attention', not {mask!r}")
+    make_mask = A.padding_mask if mask == "padding" else A.attention_mask
     length = F.max(F.size(ids)).over(Window.partitionBy(*by))
     out = df.withColumn("batch_length", length).withColumn(
-        "padding_mask", A.padding_mask(ids, F.col("batch_length"))
+        f"{mask}_mask", make_mask(ids, F.col("batch_length"))
     )
     for column in [ids] + ([labels] if labels else []):
         out = out.withColumn(column, A.pad(column, F.col("batch_length"), pad_id))
     return out
+
+
+def inference_batches(
+    df: DataFrame, batch_size: int = INFERENCE_BATCH, ids: str = "ids", id: str = "sent_id"
+) -> DataFrame:
+    """Batches in the order of ``id``, unshuffled, padded, with an attention mask."""
+    numbered = with_ordinals(df, [id])
+    batch = F.floor(F.col("pos") / F.lit(batch_size)).cast("bigint")
+    return pad_batches(numbered.withColumn("batch_id", batch), ids, mask="attention")

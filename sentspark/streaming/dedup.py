@@ -16,7 +16,8 @@ def dedup_stream(
 ) -> DataFrame:
     """First arrival of each text of a streaming ``df``.
 
-    Without an event time every distinct text stays in the state for good. With one, and
+    Without an event time every distinct text stays in the state for good; on large
+    streams set ``spark.sql.streaming.stateStore.providerClass`` to the RocksDB store. With one, and
     a ``delay``, texts are forgotten once the watermark has passed them, and a copy that
     arrives later than that counts as new.
     """

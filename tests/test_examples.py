@@ -85,3 +85,20 @@ def test_one_hot_rejects_out_of_range(spark):
     assert [r[0] for r in df.select(Vc.one_hot("i", 3)).collect()] == [[1, 0, 0], [0, 0, 1]]
     with pytest.raises(Exception, match="outside"):
         df.select(Vc.one_hot("i", 2)).collect()
+
+
+def test_inference_batches_keep_order_and_mark_tokens(spark):
+    rows = E.inference_batches(frame(spark, [1 + i % 5 for i in range(200)]), 64).collect()
+    for r in rows:
+        n = 1 + r.sent_id % 5
+        assert r.batch_id == r.sent_id // 64
+        assert r.attention_mask == [1] * n + [0] * (5 - n) and r.ids[n:] == [1] * (5 - n)
+    with pytest.raises(ValueError):
+        E.pad_batches(frame(spark, [1]), mask="other")
+
+
+def test_labels_are_padded_with_the_ids(spark):
+    df = E.mlm_examples(frame(spark, [3, 9]), 100).withColumn("batch_id", F.lit(0))
+    for r in E.pad_batches(df, "input_ids", "labels").collect():
+        n = len(r.ids)
+        assert len(r.input_ids) == len(r.labels) == 9 and r.labels[n:] == [1] * (9 - n)
