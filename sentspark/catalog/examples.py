@@ -80,8 +80,9 @@ def _(spark, sf_dir):
 means AS (
   SELECT sent_id, d, avg(x) AS m FROM tokens JOIN flat ON vec_id = token GROUP BY sent_id, d
 )
-SELECT sent_id, d, round(coalesce(m, 0), 4) + 0.0::DOUBLE AS value
-FROM (SELECT sent_id, unnest(range(64))::INTEGER AS d FROM coded) LEFT JOIN means USING (sent_id, d)""",
+SELECT sent_id, {joined_sql("list(round(coalesce(m, 0) * 10000)::BIGINT ORDER BY d)")} AS embedding
+FROM (SELECT sent_id, unnest(range(64)) AS d FROM coded) LEFT JOIN means USING (sent_id, d)
+GROUP BY sent_id""",
 )
 def _(spark, sf_dir):
     # The stored vectors stand in for token vectors; ids without one are unknown tokens.
@@ -89,9 +90,9 @@ def _(spark, sf_dir):
         F.col("vec_id").alias("token"), F.col("embedding").alias("vector")
     )
     pooled = encode(word_ids(spark, sf_dir), vectors)
-    return pooled.select("sent_id", F.posexplode("embedding").alias("d", "value")).withColumn(
-        "value", F.round("value", 4) + F.lit(0.0)
-    )
+    # Ten-thousandths, as whole numbers.
+    whole = F.transform("embedding", lambda x: F.round(x * 10000).cast("bigint"))
+    return pooled.withColumn("embedding", whole).select("sent_id", joined("embedding"))
 
 
 BATCHES_SQL = f"""
