@@ -302,12 +302,19 @@ def learn_bpe(
             batch = []
             for left, right in group:
                 token = tokens[left] + tokens[right]
-                if token not in ids:
+                known = token in ids
+                if not known:
                     ids[token] = len(tokens)
                     tokens.append(token)
                 batch.append((left, right, ids[token]))
+                if known:
+                    break
             merges += batch
             pending.append(_as_arrays(batch))
+            # A merge into a token that other merges made adds to the counts of its
+            # pairs, so what comes next needs a new count.
+            if known:
+                break
         if len(pending) >= GROUPS_PER_TABLE:
             table = materialise(_rewritten(table, pending), "bpe-words", slots[n_tables % 2])
             n_tables, pending = n_tables + 1, []
