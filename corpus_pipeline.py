@@ -1,10 +1,19 @@
-"""A pipeline over ``documents`` made of the operators for training data."""
+"""A pipeline over ``documents`` made of the operators for training data.
+
+Every stage works on all rows that its predecessor kept and takes effect on them: rejected
+documents go, repeated text is cut, and the last stage packs what is left. All stages but
+the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sentspark.llm.jaccard import one_of_each
+from sentspark.llm.packing import byte_vocabulary, packed
 from sentspark.llm.quality import quality_filter
+from sentspark.llm.suffix import remove_repeats
+from sentspark.llm.toxicity import toxicity_filter
 from sentspark.session import ship_package
 from sentspark.storage import materialise
 
@@ -15,9 +24,39 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_filter(docs)
 
 
-STAGES = [("quality", quality)]
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not scored as toxic; the labels are read from ``sf_dir``."""
+    ship_package(spark)
+    return toxicity_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones."""
+    ship_package(spark)
+    return one_of_each(docs)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the byte strings that are repeated among them."""
+    ship_package(spark)
+    return remove_repeats(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in training sequences."""
+    ship_package(spark)
+    return packed(docs, byte_vocabulary())
+
+
+STAGES = [
+    ("quality", quality),
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("repeated_strings", repeated_strings),
+    ("packing", packing),
+]
 
-#: Toxicity is learnt by gradient steps, which SQL cannot express.
+#: SQL cannot express the toxicity stage, which is trained by gradient steps.
 ORACLE_SQL = None
 
 

@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    from sentspark.llm import jaccard, quality, suffix  # noqa: F401
+    from sentspark.llm import bpe, jaccard, packing, quality, suffix, toxicity  # noqa: F401

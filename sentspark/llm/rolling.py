@@ -100,15 +100,17 @@ def row_blocks(offsets: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, i
         row = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(
+    data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and the first word of every document.
 
     ``offsets`` begin at 0 and are the documents' borders in ``data``. A word is a run of
-    bytes other than space and 0x09 to 0x0D within one document.
+    bytes that are not marked in ``between`` (space and 0x09 to 0x0D) within one document.
     """
     n = len(data)
     inside = np.zeros(n + 2, bool)
-    inside[1:-1] = ~_SPACE[data]
+    inside[1:-1] = ~between[data]
     starts = inside[1:-1] & ~inside[:-2]
     ends = inside[1:-1] & ~inside[2:]
     borders = offsets[1:-1]
