@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def keyed(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """``doc_id``, ``tk`` (a hash that tells rows of one id apart) and ``data`` (bytes)."""
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.hash(F.col(text)).alias("tk"), body.alias("data"))
+    return docs.select(F.col(id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("tk"), body.alias("data"))
 
 
 def same_row(a: DataFrame, b: DataFrame) -> Column:

@@ -382,7 +382,7 @@ def _nodes(docs: DataFrame) -> DataFrame:
                 }
             )
 
-    return docs.mapInArrow(run, "doc_id long, tk int, n_shingles long, node long")
+    return docs.mapInArrow(run, "doc_id long, tk long, n_shingles long, node long")
 
 
 def similar_groups(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -427,7 +427,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     keep = first.select(F.col("row.doc_id").alias("_id"), F.col("row.tk").alias("_tk"), F.lit(True).alias("_first"))
     lone = groups.filter("label is null").select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).distinct()
     keep = keep.union(lone.withColumn("_first", F.lit(False)))
-    rows = docs.withColumns({"_i": F.col("doc_id").cast("long"), "_t": F.hash("text")})
+    rows = docs.withColumns({"_i": F.col("doc_id").cast("long"), "_t": F.xxhash64("text")})
     kept = rows.join(keep, rows["_i"].eqNullSafe(keep["_id"]) & (rows["_t"] == keep["_tk"]))
     order = Window.partitionBy("_i", "_t").orderBy("_first")
     kept = kept.withColumn("_r", F.row_number().over(order)).filter(~F.col("_first") | (F.col("_r") == 1))

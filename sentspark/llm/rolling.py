@@ -133,3 +133,9 @@ def word_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray, codes: np.n
         out[at:to] = sums.spans(start[at:to] - base, end[at:to] - base)
         at = to
     return out
+
+
+def ramp(n: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each number of ``n``, one after the other."""
+    starts = np.cumsum(n) - n
+    return np.arange(n.sum()) - np.repeat(starts, n)

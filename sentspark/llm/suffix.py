@@ -33,12 +33,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentspark.llm.catalog import query, table
 from sentspark.llm.frames import keyed, same_row
-from sentspark.llm.rolling import BLOCK, buffers, byte_sums, row_blocks
+from sentspark.llm.rolling import BLOCK, buffers, byte_sums, ramp, row_blocks
 from sentspark.session import ship_package
 from sentspark.storage import materialise
 
@@ -108,10 +108,10 @@ def _entries(docs: DataFrame) -> DataFrame:
                     }
                 )
 
-    return docs.mapInArrow(run, "common long, context long, doc_id long, tk int, lo long, n int")
+    return docs.mapInArrow(run, "common long, context long, doc_id long, tk long, lo long, n int")
 
 
-def _sorted_entries(entries: DataFrame) -> DataFrame:
+def sorted_entries(entries: DataFrame) -> DataFrame:
     """Entries that may hold repeats: ``whole`` ones, and ``border`` ones to be looked into."""
     same = Window.partitionBy("common", "context")
     order = same.orderBy("doc_id", "tk", "lo")
@@ -134,13 +134,13 @@ def _sorted_entries(entries: DataFrame) -> DataFrame:
     )
 
 
-def _per_row(ranges: DataFrame, *columns: str) -> DataFrame:
+def per_row(ranges: DataFrame, *columns: str) -> DataFrame:
     return ranges.groupBy("doc_id", "tk").agg(F.collect_list(F.struct(*columns)).alias("ranges"))
 
 
 def _positions(docs: DataFrame, borders: DataFrame) -> DataFrame:
     """Every position of the border entries, with the hash of its string."""
-    listed = _per_row(borders, "common", "lo", "n")
+    listed = per_row(borders, "common", "lo", "n")
     joined = docs.join(listed, same_row(docs, listed)).select(docs["doc_id"], docs["tk"], "data", "ranges")
 
     def run(batches):
@@ -160,7 +160,7 @@ def _positions(docs: DataFrame, borders: DataFrame) -> DataFrame:
                 for group in _stretches(lo, n):
                     base = lo[group[0]]
                     sums = byte_sums(text[base : lo[group[-1]] + n[group[-1]] - 1 + LENGTH])
-                    at = np.repeat(lo[group] - base, n[group]) + _ramp(n[group])
+                    at = np.repeat(lo[group] - base, n[group]) + ramp(n[group])
                     out.append((sums.spans(at, at + LENGTH), at + base, np.repeat(common[group], n[group])))
                 if out:
                     h, at, c = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -169,17 +169,21 @@ def _positions(docs: DataFrame, borders: DataFrame) -> DataFrame:
                             "common": pa.array(c),
                             "h": pa.array(h.view(np.int64)),
                             "doc_id": pa.array([batch.column("doc_id")[i].as_py()] * len(h), pa.int64()),
-                            "tk": pa.array(np.full(len(h), batch.column("tk")[i].as_py(), np.int32)),
+                            "tk": pa.array(np.full(len(h), batch.column("tk")[i].as_py(), np.int64)),
                             "lo": pa.array(at),
                         }
                     )
 
-    return joined.mapInArrow(run, "common long, h long, doc_id long, tk int, lo long")
+    return joined.mapInArrow(run, "common long, h long, doc_id long, tk long, lo long")
 
 
-def _ramp(n: np.ndarray) -> np.ndarray:
-    starts = np.cumsum(n) - n
-    return np.arange(n.sum()) - np.repeat(starts, n)
+def ranges_of(found: DataFrame, named: DataFrame) -> DataFrame:
+    """Ranges of the whole entries, and of the border positions whose string is found again."""
+    again = Window.partitionBy("common", "h")
+    inner = named.repartition("common").withColumn("copies", F.count("*").over(again)).filter("copies > 1")
+    whole = found.filter("whole").select("doc_id", "tk", "lo", "n")
+    single = inner.select("doc_id", "tk", "lo", F.lit(1).alias("n"))
+    return per_row(whole.union(single), "lo", "n")
 
 
 def _stretches(lo: np.ndarray, n: np.ndarray):
@@ -195,13 +199,9 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     ``docs`` has the columns of :func:`sentspark.llm.frames.keyed`.
     """
-    found = materialise(_sorted_entries(_entries(docs)), "suffix-entries")
+    found = materialise(sorted_entries(_entries(docs)), "suffix-entries")
     named = _positions(docs, found.filter("border"))
-    again = Window.partitionBy("common", "h")
-    inner = named.repartition("common").withColumn("copies", F.count("*").over(again)).filter("copies > 1")
-    whole = found.filter("whole").select("doc_id", "tk", "lo", "n")
-    single = inner.select("doc_id", "tk", "lo", F.lit(1).alias("n"))
-    return _per_row(whole.union(single), "lo", "n")
+    return ranges_of(found, named)
 
 
 def cut_spans(ranges: list[dict] | None, size: int) -> list[tuple[int, int]]:
@@ -222,37 +222,27 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def with_cuts(docs: DataFrame, body: Column, key: tuple[Column, Column]) -> DataFrame:
-    """``docs`` with ``_data`` (bytes) and ``_ranges`` (of repeated strings, or null)."""
-    rows = docs.withColumns({"_id": key[0], "_tk": key[1], "_data": body})
-    found = repeats(rows.select(F.col("_id").alias("doc_id"), F.col("_tk").alias("tk"), F.col("_data").alias("data")))
-    found = found.select(F.col("doc_id").alias("_fid"), F.col("tk").alias("_ftk"), F.col("ranges").alias("_ranges"))
-    on = rows["_id"].eqNullSafe(found["_fid"]) & (rows["_tk"] == found["_ftk"])
-    return rows.join(found, on, "left").drop("_id", "_tk", "_fid", "_ftk")
-
-
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with repeated strings cut out of ``text``, in the same columns.
 
     A character that a cut divides is dropped. ``n_chars`` follows the text where it is a
     column. Documents are kept even when nothing of their text is left.
     """
-    cut = with_cuts(
-        docs, F.coalesce(F.col(text).cast("binary"), F.lit(b"")), (F.col("doc_id").cast("long"), F.hash(F.col(text)))
+    found = repeats(keyed(docs, text)).select(
+        F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.col("ranges").alias("_ranges")
     )
 
     @F.arrow_udf("string")
-    def trimmed(data: pa.Array, ranges: pa.Array) -> pa.Array:
-        return pa.array(
-            [
-                _kept(t, cut_spans(r, len(t))).decode("utf-8", "ignore")
-                for t, r in zip(data.to_pylist(), ranges.to_pylist(), strict=True)
-            ],
-            pa.string(),
-        )
-
-    cut = cut.withColumn(
-        text, F.when(F.col("_ranges").isNull(), F.col(text)).otherwise(trimmed("_data", "_ranges"))
+    def trimmed(texts: pa.Array, ranges: pa.Array) -> pa.Array:
+        out = []
+        for t, r in zip(texts.to_pylist(), ranges.to_pylist(), strict=True):
+            data = t.encode()
+            out.append(_kept(data, cut_spans(r, len(data))).decode("utf-8", "ignore"))
+        return pa.array(out, pa.string())
+
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_tk"))
+    cut = docs.join(found, on, "left").withColumn(
+        text, F.when(F.col("_ranges").isNull(), F.col(text)).otherwise(trimmed(text, "_ranges"))
     )
     if "n_chars" in docs.columns:
         size = F.char_length(text).cast(docs.schema["n_chars"].dataType)
@@ -263,12 +253,13 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 def removal_report(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """What is removed of every document, and the hash of what is kept."""
     rows = keyed(docs, text, id)
-    cut = with_cuts(rows, F.col("data"), (F.col("doc_id"), F.col("tk"))).select("doc_id", "_data", "_ranges")
+    found = repeats(rows)
+    cut = rows.join(found, same_row(rows, found), "left").select(rows["doc_id"], "data", "ranges")
 
     def run(batches):
         for batch in batches:
             removed, spans, kept, size = [], [], [], []
-            for t, r in zip(batch.column("_data").to_pylist(), batch.column("_ranges").to_pylist(), strict=True):
+            for t, r in zip(batch.column("data").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
                 cuts = cut_spans(r, len(t))
                 size.append(len(t))
                 removed.append(sum(b - a for a, b in cuts))
