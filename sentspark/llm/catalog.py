@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    from sentspark.llm import anchors, bpe, jaccard, packing, quality, suffix, topk, toxicity  # noqa: F401
+    from sentspark.llm import anchors, bpe, jaccard, licenses, packing, preference, quality, suffix, topk, toxicity  # noqa: F401
