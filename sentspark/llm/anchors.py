@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sentspark.llm.catalog import query, table
 from sentspark.llm.frames import buckets, keyed
-from sentspark.llm.rolling import Sums, buffers, mix, ramp, row_blocks, word_codes, word_spans
+from sentspark.llm.rolling import Sums, buffers, mix, numbers, planes, ramp, row_blocks, word_codes, word_spans
 from sentspark.llm.suffix import per_row, ranges_of, sorted_entries
 from sentspark.session import ship_package
 
@@ -57,18 +57,6 @@ def _documents(batch: pa.RecordBatch):
         yield a, Sums(word_codes(part, start, end)), first
 
 
-def _planes(x: np.ndarray, width: int) -> bytes:
-    """The low bytes of all numbers, then the next ones: high bytes are mostly equal."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def _numbers(data: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :width] = planes.T
-    return out.view("<u8").ravel()
-
-
 def _deal(slot: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """A stable order by slot, and each slot's range in it."""
     order = np.argsort(slot, kind="stable")
@@ -101,12 +89,12 @@ def _index(docs: DataFrame, n: int) -> DataFrame:
         for s, a, b in ranges:
             by = np.argsort(low[a:b])
             steps = np.diff(low[a:b][by], prepend=_U(0))
-            out.append((s, 0, _planes(steps, 5), twice[a:b][by].tobytes(), None, None))
+            out.append((s, 0, planes(steps, 5), twice[a:b][by].tobytes(), None, None))
         h, doc, tk, number = (np.concatenate(x) for x in zip(*blocks, strict=True))
         order, ranges = _deal((h >> _U(40)) % _U(n))
         h, doc, tk, number = h[order] & _LOW, doc[order], tk[order], number[order]
         for s, a, b in ranges:
-            out.append((s, 1, _planes(h[a:b], 5), doc[a:b].tobytes(), tk[a:b].tobytes(), _planes(number[a:b], 8)))
+            out.append((s, 1, planes(h[a:b], 5), doc[a:b].tobytes(), tk[a:b].tobytes(), planes(number[a:b], 8)))
         return _packed(out)
 
     def run(batches):
@@ -142,15 +130,15 @@ def _hits(packed: DataFrame, n: int) -> DataFrame:
             for row in batch.to_pylist():
                 high = _U(row["slot"]) << _U(40)
                 if row["kind"] == 0:
-                    probes.append(np.cumsum(_numbers(row["a"], 5)) + high)
+                    probes.append(np.cumsum(numbers(row["a"], 5)) + high)
                     counts.append(np.frombuffer(row["b"], np.uint8))
                 else:
                     blocks.append(
                         (
-                            _numbers(row["a"], 5) + high,
+                            numbers(row["a"], 5) + high,
                             np.frombuffer(row["b"], np.int64),
                             np.frombuffer(row["c"], np.int64),
-                            _numbers(row["d"], 8).astype(np.int64),
+                            numbers(row["d"], 8).astype(np.int64),
                         )
                     )
         if not blocks:

@@ -7,7 +7,8 @@ window would hold all of them. The join therefore has two levels.
 
 1. *Slices.* Shingles are dealt by hash into more slices than two linked documents can
    differ in shingles, so linked documents agree on a slice that is not empty
-   (:func:`slice_keys`). Documents that agree on a slice are chained, and the connected
+   (:func:`slice_keys`). Documents that agree on a slice and whose sketches allow a link
+   (:func:`sketch`, a lower bound of their difference) are chained, and the connected
    components of the chains are clusters: no link leaves a cluster.
 2. *Pivots.* Within a cluster some documents are pivots. Their distances to all others are
    exact and give links; the others fall into the Voronoi region of their nearest pivot,
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from sentspark.llm.catalog import query, table
 from sentspark.llm.frames import buckets, keyed, same_row
 from sentspark.llm.links import components
-from sentspark.llm.rolling import LOWER_CODES, Sums, buffers, mix, row_blocks, word_codes, word_spans
+from sentspark.llm.rolling import LOWER_CODES, Sums, buffers, mix, numbers, planes, row_blocks, word_codes, word_spans
 from sentspark.session import ship_package
 from sentspark.storage import materialise
 
@@ -50,8 +51,8 @@ LINK_A, LINK_B = 100, 85
 CLUSTER = 4_000_000
 #: Pivots of a region, and of a large cluster's round.
 PIVOTS, ROUND_PIVOTS = 8, 64
-#: Keys gathered before they are dealt out.
-FLUSH = 1 << 20
+#: Keys gathered before they are dealt out, and parts of a sketch.
+FLUSH, PARTS = 1 << 20, 32
 
 _U = np.uint64
 _GOLD = 0x9E3779B97F4A7C15
@@ -90,7 +91,7 @@ def _classes(n: int) -> set[int]:
     return {int(np.searchsorted(_CLASSES, x, "right")) for x in (n, n * LINK_A // LINK_B)}
 
 
-def slice_keys(values: np.ndarray, family: int = 0) -> np.ndarray:
+def slice_keys(values: np.ndarray) -> np.ndarray:
     """Keys of the slices of one set; two linked sets have a key in common.
 
     Linked sets of up to ``hi`` shingles differ in at most ``d`` of them, so of ``m``
@@ -106,7 +107,7 @@ def slice_keys(values: np.ndarray, family: int = 0) -> np.ndarray:
         m = d + 1 + (max(1, d // 16) if d else 0)
         attempt = 0
         while True:
-            seed = _U((family * 64 + attempt + 1) * _GOLD % (1 << 64))
+            seed = _U((attempt + 1) * _GOLD % (1 << 64))
             mixed = mix(values ^ seed)
             slot = ((mixed >> _U(32)) * _U(m)) >> _U(32)
             order = np.argsort(slot, kind="stable")
@@ -120,66 +121,117 @@ def slice_keys(values: np.ndarray, family: int = 0) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _dealt(keys: np.ndarray, nodes: np.ndarray, n: int) -> pa.RecordBatch:
-    slot = (keys >> _U(16)) % _U(n)
+def sketch(values: np.ndarray) -> np.ndarray:
+    """Sizes, modulo 16, of the ``PARTS`` parts into which a hash deals the set; then the set's size.
+
+    Two sets differ in at least as many shingles as their sizes differ part by part, also
+    when only the sizes' remainders are known.
+    """
+    parts = np.bincount((mix(values + _U(_GOLD)) >> _U(59)).astype(np.int64), minlength=PARTS) & 15
+    packed = (parts[::2] | parts[1::2] << 4).astype(np.uint8)
+    return np.r_[packed, np.array([len(values)], "<u4").view(np.uint8)]
+
+
+def _near(parts: np.ndarray, size: np.ndarray, one: int, rest: np.ndarray) -> np.ndarray:
+    """Which of ``rest`` may be linked with ``one``, by their sketches."""
+    apart = (parts[rest] - parts[one]) & 15
+    apart = np.minimum(apart, 16 - apart).sum(1)
+    return apart * (LINK_A + LINK_B) <= (LINK_A - LINK_B) * (size[rest] + size[one])
+
+
+def _dealt(keys: list[np.ndarray], nodes: list[np.uint64], sketches: list[np.ndarray], n: int) -> pa.RecordBatch:
+    """One row a slot: the low bytes of the keys, their nodes by number, the nodes, the sketches."""
+    owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    key, node, drawn = np.concatenate(keys), np.array(nodes), np.stack(sketches)
+    slot = (key >> _U(40)) % _U(n)
     order = np.argsort(slot, kind="stable")
-    slot, keys, nodes = slot[order], keys[order], nodes[order]
+    slot, key, owner = slot[order], key[order], owner[order]
     starts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-    ends = np.r_[starts[1:], len(slot)]
-    pieces = list(zip(starts, ends, strict=True))
-    return pa.record_batch(
-        {
-            "bucket": pa.array(slot[starts].astype(np.int32)),
-            "keys": pa.array([keys[a:b].tobytes() for a, b in pieces], pa.binary()),
-            "nodes": pa.array([nodes[a:b].tobytes() for a, b in pieces], pa.binary()),
-        }
-    )
+    out: list[list] = [[], [], [], [], []]
+    for a, b in zip(starts, np.r_[starts[1:], len(slot)], strict=True):
+        own, number = np.unique(owner[a:b], return_inverse=True)
+        row = (
+            int(slot[a]),
+            planes(key[a:b], 5),
+            planes(np.diff(number, prepend=0), 3),
+            node[own].tobytes(),
+            drawn[own].tobytes(),
+        )
+        for column, x in zip(out, row, strict=True):
+            column.append(x)
+    kinds = (pa.int32(), *[pa.binary()] * 4)
+    return pa.record_batch({c: pa.array(x, t) for c, x, t in zip(("slot", *"abcd"), out, kinds, strict=True)})
 
 
 def _chains(docs: DataFrame) -> DataFrame:
-    """Links ``a``-``b`` between nodes that agree on a slice, one per node and slice."""
+    """Links ``a``-``b`` that connect the nodes which agree on a slice and may be linked."""
     n = buckets(docs.sparkSession)
 
     def emit(batches):
-        keys, nodes, seen, total = [], [], set(), 0
+        keys, nodes, sketches, seen, total = [], [], [], set(), 0
         for batch in batches:
             for values in shingle_sets(batch.column("data")):
                 if not len(values) or (node := set_id(values)) in seen:
                     continue
                 seen.add(node)
                 keys.append(slice_keys(values))
-                nodes.append(np.full(len(keys[-1]), node))
+                nodes.append(node)
+                sketches.append(sketch(values))
                 total += len(keys[-1])
                 if total >= FLUSH:
-                    yield _dealt(np.concatenate(keys), np.concatenate(nodes), n)
-                    keys, nodes, seen, total = [], [], set(), 0
+                    yield _dealt(keys, nodes, sketches, n)
+                    keys, nodes, sketches, seen, total = [], [], [], set(), 0
         if total:
-            yield _dealt(np.concatenate(keys), np.concatenate(nodes), n)
+            yield _dealt(keys, nodes, sketches, n)
 
     def chain(batches):
-        keys, nodes = [], []
+        keys, nodes, sketches = [], [], []
         for batch in batches:
-            keys += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("keys")]
-            nodes += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("nodes")]
+            for row in batch.to_pylist():
+                at = np.cumsum(numbers(row["b"], 3)).astype(np.int64)
+                keys.append(numbers(row["a"], 5) + (_U(row["slot"]) << _U(40)))
+                nodes.append(np.frombuffer(row["c"], np.int64)[at])
+                sketches.append((np.frombuffer(row["d"], np.uint8).reshape(-1, PARTS // 2 + 4), at))
         if not keys:
             return
-        k, v = np.concatenate(keys), np.concatenate(nodes).view(np.int64)
-        del keys, nodes
-        order = np.argsort(k)
-        k, v = k[order], v[order]
-        shared = np.flatnonzero(k[1:] == k[:-1])
-        inside = np.zeros(len(k), bool)
-        inside[shared] = inside[shared + 1] = True
-        k, v = k[inside], v[inside]
-        if not len(k):
-            return
-        starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        low = np.repeat(np.minimum.reduceat(v, starts), np.diff(np.r_[starts, len(k)]))
-        pairs = np.unique(np.stack([v, low], 1)[v != low], axis=0)
-        yield pa.record_batch({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
-
-    packed = docs.select("data").mapInArrow(emit, "bucket int, keys binary, nodes binary")
-    return packed.repartition(n, "bucket").select("keys", "nodes").mapInArrow(chain, "a long, b long")
+        first = np.cumsum([0, *(len(x) for x, _ in sketches)])
+        place = np.concatenate([at + f for (_, at), f in zip(sketches, first, strict=False)])
+        drawn = np.concatenate([x for x, _ in sketches])
+        k, v = np.concatenate(keys), np.concatenate(nodes)
+        del keys, nodes, sketches
+        order = np.lexsort((v, k))
+        k, v, place = k[order], v[order], place[order]
+        new = np.r_[True, (k[1:] != k[:-1]) | (v[1:] != v[:-1])]
+        k, v, place = k[new], v[new], place[new]
+        same = k[1:] == k[:-1]
+        starts = np.flatnonzero(np.r_[True, ~same])
+        ends = np.r_[starts[1:], len(k)]
+        parts = np.empty((len(drawn), PARTS), np.uint8)
+        parts[:, ::2], parts[:, 1::2] = drawn[:, : PARTS // 2] & 15, drawn[:, : PARTS // 2] >> 4
+        size = drawn[:, PARTS // 2 :].copy().view("<u4").ravel().astype(np.int64)
+        found = [np.zeros((0, 2), np.int64)]
+        for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
+            found += [np.stack([v[x], v[y]], 1) for x, y in _spanned(parts, size, place[a:b], a)]
+        pairs = np.unique(np.concatenate(found), axis=0)
+        if len(pairs):
+            yield pa.record_batch({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
+
+    packed = docs.select("data").mapInArrow(emit, "slot int, a binary, b binary, c binary, d binary")
+    return packed.repartition(n, "slot").mapInArrow(chain, "a long, b long")
+
+
+def _spanned(parts, size, place: np.ndarray, base: int):
+    """Pairs (by position) that connect the members of a group wherever sketches allow a link."""
+    rest, frontier = np.arange(1, len(place)), [0]
+    while len(rest):
+        one = frontier.pop() if frontier else int(rest[0])
+        rest = rest[rest != one]
+        near = _near(parts, size, place[one], place[rest])
+        hit = rest[near]
+        if len(hit):
+            yield np.full(len(hit), one + base), hit + base
+            rest = rest[~near]
+            frontier += hit.tolist()
 
 
 class Sets:
@@ -222,28 +274,6 @@ def linked(common: np.ndarray, n: np.ndarray, m: int) -> np.ndarray:
     return LINK_A * common >= LINK_B * (n + m - common)
 
 
-def _refine(sets: Sets, members: np.ndarray, family: int) -> None:
-    """Split a cluster by further dealings into slices before its pivots are chosen."""
-    if len(members) <= PIVOTS or family > 3:
-        return _join(sets, members)
-    keys, owner = [], []
-    for k, i in enumerate(members):
-        keys.append(slice_keys(sets.get(i), family))
-        owner.append(np.full(len(keys[-1]), k))
-    k, who = np.concatenate(keys), np.concatenate(owner)
-    order = np.lexsort((who, k))
-    k, who = k[order], who[order]
-    same = np.flatnonzero(k[1:] == k[:-1])
-    chained = Sets([np.zeros(1, np.uint64)] * len(members))
-    for a, b in np.unique(np.stack([who[same], who[same + 1]], 1), axis=0):
-        chained.union(a, b)
-    root = chained.roots(np.arange(len(members)))
-    order = np.argsort(root, kind="stable")
-    for group in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
-        if len(group) > 1:
-            _refine(sets, members[group], family + 1)
-
-
 def _join(sets: Sets, members: np.ndarray) -> None:
     """Connect the linked sets among ``members``: pivots, regions, recursion."""
     stack = [members]
@@ -283,7 +313,7 @@ def _cluster_links(docs: DataFrame) -> DataFrame:
             known.setdefault(node, values)
         names = np.array(sorted(known))
         sets = Sets([known[x] for x in names])
-        _refine(sets, np.arange(len(names)), 1)
+        _join(sets, np.arange(len(names)))
         return names, names[sets.roots(np.arange(len(names)))]
 
     def run(batches):
@@ -338,7 +368,10 @@ def _large_links(docs: DataFrame, weights: DataFrame) -> DataFrame:
             return labels.select("node", "label")
         done = pivots if done is None else materialise(done.union(pivots), "jaccard-done")
         chosen = dealt.join(pivots, ["cluster", "node"]).select(
-            "cluster", "node", "data", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+            F.col("cluster").alias("cluster"),
+            F.col("node").alias("node"),
+            F.col("data").alias("data"),
+            F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
         )
         found = (
             dealt.select("cluster", "part", "node", "data")

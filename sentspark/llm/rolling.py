@@ -139,3 +139,16 @@ def ramp(n: np.ndarray) -> np.ndarray:
     """0, 1, ... up to each number of ``n``, one after the other."""
     starts = np.cumsum(n) - n
     return np.arange(n.sum()) - np.repeat(starts, n)
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low bytes of all numbers, then the next ones: high bytes are mostly equal."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def numbers(data: bytes, width: int) -> np.ndarray:
+    """The numbers that :func:`planes` has written."""
+    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
