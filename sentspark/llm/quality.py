@@ -224,7 +224,8 @@ def estimates(counts: DataFrame) -> DataFrame:
             radii=materialise(radii, "quality-radii"),
         )
         params = materialise(spark.sql(_FACTOR.replace("from sums", "from {sums}"), sums=sums), "quality-params")
-    return groups.join(params, "grp").drop("grp")
+    # written, so that its size is known where it is joined
+    return materialise(groups.join(params, "grp").drop("grp"), "quality-estimates")
 
 
 def judged(docs: DataFrame, params: DataFrame) -> DataFrame:
