@@ -47,10 +47,10 @@ from sentspark.storage import materialise
 SHINGLE = 4
 #: Two documents link when LINK_A * intersection >= LINK_B * union.
 LINK_A, LINK_B = 100, 85
-#: Shingles of a cluster that one task joins.
-CLUSTER = 4_000_000
-#: Pivots of a region, and of a large cluster's round.
-PIVOTS, ROUND_PIVOTS = 8, 64
+#: Shingles of a cluster that one task joins, each document counting for FINE more.
+CLUSTER = 1 << 24
+#: Pivots of a region, and of a large cluster's round; parts of the sketches in a cluster.
+PIVOTS, ROUND_PIVOTS, FINE = 8, 2048, 512
 #: Keys gathered before they are dealt out, and parts of a sketch.
 FLUSH, PARTS = 1 << 20, 32
 
@@ -243,6 +243,15 @@ class Sets:
         self.values = np.concatenate(sets)
         self.parent = np.arange(len(sets))
 
+        owner = np.repeat(np.arange(len(sets)), self.size)
+        at = owner * FINE + (mix(self.values + _U(_GOLD)) >> _U(64 - FINE.bit_length() + 1)).astype(np.int64)
+        self.drawn = np.bincount(at, minlength=len(sets) * FINE).astype(np.uint8).reshape(-1, FINE)
+
+    def apart(self, members: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+        """Least difference of the members and a set with the fine sketch ``drawn``."""
+        steps = self.drawn[members] - drawn
+        return np.minimum(steps, -steps).sum(1, dtype=np.int64)
+
     def get(self, i: int) -> np.ndarray:
         return self.values[self.first[i] : self.first[i + 1]]
 
@@ -270,6 +279,10 @@ class Sets:
         return np.add.reduceat((pivot[place] == values).astype(np.int64), starts)
 
 
+def may_link(apart: np.ndarray, n: np.ndarray, m: int) -> np.ndarray:
+    return apart * (LINK_A + LINK_B) <= (LINK_A - LINK_B) * (n + m)
+
+
 def linked(common: np.ndarray, n: np.ndarray, m: int) -> np.ndarray:
     return LINK_A * common >= LINK_B * (n + m - common)
 
@@ -287,16 +300,20 @@ def _join(sets: Sets, members: np.ndarray) -> None:
             continue
         outside = np.flatnonzero(root != labels[np.argmax(count)])
         pivots = outside[np.unique(np.linspace(0, len(outside) - 1, PIVOTS).astype(int))]
-        near = np.empty((len(pivots), len(members)))
+        # bounds of the distances: equal where a link is possible, from the sketches elsewhere
+        least, most = np.empty((len(pivots), len(members))), np.ones((len(pivots), len(members)))
         for k, p in enumerate(pivots):
-            pivot = sets.get(members[p])
-            common = sets.common(members, pivot)
-            near[k] = 1 - common / (sets.size[members] + len(pivot) - common)
-            for i in np.flatnonzero(linked(common, sets.size[members], len(pivot))):
+            pivot, size = sets.get(members[p]), sets.size[members]
+            apart = sets.apart(members, sets.drawn[members[p]])
+            least[k] = 2 * apart / (size + len(pivot) + apart)
+            some = np.flatnonzero(may_link(apart, size, len(pivot)))
+            common = sets.common(members[some], pivot)
+            least[k, some] = most[k, some] = 1 - common / (size[some] + len(pivot) - common)
+            for i in some[linked(common, size[some], len(pivot))]:
                 sets.union(members[p], members[i])
         rest = np.ones(len(members), bool)
         rest[pivots] = False
-        window = near[:, rest] <= near[:, rest].min(0) + 2 * _EPS + 1e-9
+        window = least[:, rest] <= most[:, rest].min(0) + 2 * _EPS + 1e-9
         rest = members[rest]
         if window.sum() > len(rest):
             stack.append(rest)
@@ -393,7 +410,10 @@ def _compare(left: pa.Table, right: pa.Table) -> pa.Table:
         sets = Sets(list(shingle_sets(left.column("data"))))
         nodes, every = left.column("node").to_numpy(), np.arange(left.num_rows)
         for node, pivot in zip(right.column("node").to_pylist(), shingle_sets(right.column("data")), strict=True):
-            hit = nodes[linked(sets.common(every, pivot), sets.size, len(pivot))]
+            some = np.flatnonzero(may_link(sets.apart(every, Sets([pivot]).drawn[0]), sets.size, len(pivot)))
+            if not len(some):
+                continue
+            hit = nodes[some[linked(sets.common(some, pivot), sets.size[some], len(pivot))]]
             a.append(np.full(len(hit), node))
             b.append(hit)
     return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
@@ -430,7 +450,8 @@ def similar_groups(docs: DataFrame, text: str = "text", id: str = "doc_id") -> D
     picked = materialise(
         first.join(clusters, "node").select("cluster", "node", "n", "row.doc_id", "row.tk"), "jaccard-clusters"
     )
-    weights = materialise(picked.groupBy("cluster").agg(F.sum("n").alias("weight")), "jaccard-weights")
+    weights = picked.groupBy("cluster").agg(F.sum(F.col("n") + FINE).alias("weight"))
+    weights = materialise(weights, "jaccard-weights")
     picked = picked.join(weights, "cluster")
     texts = rows.join(picked, same_row(rows, picked)).select("cluster", "node", "data", "weight")
     texts = materialise(texts, "jaccard-texts")
