@@ -149,7 +149,8 @@ def normalize_text(
     t = _col(text)
     if not keep_punctuation:
         t = F.regexp_replace(t, r"\p{P}", "")
-    t = F.lower(t)
+    # every capital sigma alone: Spark makes the one that ends a word a final sigma
+    t = F.lower(F.translate(t, "Σ", "σ"))
     return t if keep_accents else strip_accents(t)
 
 

@@ -476,7 +476,7 @@ def encode_corpus(
 
     No shuffle: the merge list goes to the executors (its size is checked), and every
     Arrow batch encodes each of its distinct words once. Exploding the corpus to join
-    word ids back would move every occurrence twice.
+    word ids back would move every occurrence twice. NULL has no ids.
     """
     spark = df.sparkSession
     vocab_rows = _bounded(vocab.select("token", "id"), BROADCAST_TOKENS)
@@ -495,7 +495,8 @@ def encode_corpus(
             flat, picked = R.take_rows(values, sizes, coded.indices.to_numpy(zero_copy_only=False))
             yield R.list_array(flat, R.sum_rows(picked, lengths), pa.int32())
 
-    return df.withColumn(out, encode(words)).drop(words)
+    every = F.coalesce(F.col(words), F.array().cast("array<string>"))
+    return df.withColumn(out, encode(every)).drop(words)
 
 
 def encode_words(

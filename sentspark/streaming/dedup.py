@@ -25,33 +25,39 @@ def dedup_stream(
         return _collapsed(df, text).dropDuplicates([text])
     if delay is None:
         raise ValueError("an event time needs a delay")
-    return _collapsed(df, text).withWatermark(event_time, delay).dropDuplicatesWithinWatermark([text])
+    kept = _collapsed(df, text, event_time).withWatermark(event_time, delay)
+    return kept.dropDuplicatesWithinWatermark([text])
 
 
-def _collapsed(df: DataFrame, text: str) -> DataFrame:
+def _collapsed(df: DataFrame, text: str, event_time: str | None = None) -> DataFrame:
     """Drop copies within each Arrow batch, before the shuffle to the state.
 
     Streaming duplicate removal has no partial step of its own, so without this every
-    copy of a hot text would go to one task.
+    copy of a hot text would go to one task. With an event time the latest copy stays: the
+    watermark drops late rows only afterwards, and must not take an on-time text with it.
     """
 
     def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             codes = b.column(text).dictionary_encode().indices.fill_null(-1).to_numpy()
-            _, first = np.unique(codes, return_index=True)
-            yield b.take(pa.array(np.sort(first)))
+            order = np.arange(len(codes))
+            if event_time is not None:
+                times = b.column(event_time).cast(pa.int64()).fill_null(-(1 << 62)).to_numpy()
+                order = np.argsort(-times, kind="stable")
+            _, first = np.unique(codes[order], return_index=True)
+            yield b.take(pa.array(np.sort(order[first])))
 
     return df.mapInArrow(collapse, df.schema)
 
 
-def run_available(stream: DataFrame, label: str = "stream") -> DataFrame:
+def run_available(stream: DataFrame, label: str = "stream", path: str | None = None) -> DataFrame:
     """Process what has arrived, and return the table written so far.
 
-    Output and progress lie in the shared folder, so a restarted driver goes on from the
-    last finished batch.
+    Output and progress lie at ``path``, or in a new folder of the shared one. A restarted
+    driver that names the same path goes on from the last finished batch.
     """
     spark = stream.sparkSession
-    out = new_path(spark, label)
+    out = path or new_path(spark, label)
     query = (
         stream.writeStream.format("parquet")
         .option("path", out)

@@ -186,3 +186,14 @@ def test_reuse_or_rebuild(spark, tmp_path):
     spark.range(7).write.mode("append").parquet(source)
     assert read_or_build(spark, out, build, fingerprint(spark.read.parquet(source))).count() == 12
     assert len(built) == 3
+
+
+def test_nan_and_null_vectors_are_no_hits(spark):
+    from sentspark.operators.search import semantic_search
+
+    rows = [(i, [float(i), 1.0]) for i in range(50)]
+    rows += [(100 + i, [float("nan"), 1.0]) for i in range(10)] + [(200, None)]
+    corpus = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").coalesce(1)
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id bigint, embedding array<float>")
+    hits = semantic_search(queries, corpus, k=10).collect()
+    assert sorted(h.vec_id for h in hits) == list(range(40, 50))

@@ -21,3 +21,19 @@ def test_watermarked_stream(spark, tmp_path):
     assert sorted(r.text for r in out.collect()) == ["a", "b"]
     with pytest.raises(ValueError):
         dedup_stream(stream, event_time="ts")
+
+
+def test_late_copy_does_not_hide_an_on_time_text(spark, tmp_path):
+    def arrive(n, rows):
+        df = spark.createDataFrame(rows, "text string, ts string").selectExpr("text", "cast(ts as timestamp) ts")
+        df.coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+
+    def run():
+        stream = spark.readStream.schema("text string, ts timestamp").parquet(str(tmp_path / "in/*"))
+        return run_available(dedup_stream(stream, event_time="ts", delay="1 minute"), path=str(tmp_path / "out"))
+
+    arrive(0, [("first", "2024-01-01 12:00:00")])
+    run()
+    arrive(1, [("x", "2024-01-01 10:00:00"), ("x", "2024-01-01 12:05:00"), ("first", "2024-01-01 12:00:30")])
+    # the second run goes on where the first one ended
+    assert sorted(r.text for r in run().collect()) == ["first", "x"]

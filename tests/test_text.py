@@ -59,7 +59,7 @@ def test_sentences(spark):
     assert apply(spark, texts, T.sentences) == [pattern.split(t) for t in texts]
 
 
-WILD = ["hi_there a‿b $$x++ «q»,,", "Hi,,you... $$ ok", "éöñç İ ẞ ø", "한글 a-b", "², ½ áb", "x y", "__a__", "a‍b"]
+WILD = ["hi_there a‿b $$x++ «q»,,", "Hi,,you... $$ ok", "éöñç İ ẞ ø", "ΟΔΟΣ ΣΑΣ Σ", "한글 a-b", "², ½ áb", "x y", "__a__", "a‍b"]
 
 
 @pytest.mark.parametrize("keep_punctuation", [False, True])
