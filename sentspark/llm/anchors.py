@@ -184,7 +184,8 @@ def _runs(sums: Sums, codes_first: np.ndarray, wanted: np.ndarray) -> tuple[np.n
 def _entries(rows: DataFrame, hits: DataFrame) -> DataFrame:
     """Runs of windows around the hit blocks."""
     listed = hits.groupBy("row", "tk").agg(F.collect_list("number").alias("numbers"))
-    joined = rows.join(listed, ["row", "tk"]).select(rows["row"], rows["tk"], "data", "numbers")
+    # all columns of the rows, as in the other joins with texts, so that texts are dealt out once
+    joined = rows.join(listed, ["row", "tk"]).select(*(rows[c] for c in rows.columns), "numbers")
 
     def run(batches):
         for batch in batches:
@@ -220,7 +221,7 @@ def _windows(rows: DataFrame, borders: DataFrame) -> DataFrame:
     """Every window of the border runs, with its hash."""
     listed = per_row(borders, "common", "lo", "n")
     joined = rows.join(listed, (rows["row"] == listed["doc_id"]) & (rows["tk"] == listed["tk"])).select(
-        rows["row"], rows["tk"], "data", "ranges"
+        *(rows[c] for c in rows.columns), "ranges"
     )
 
     def run(batches):
@@ -269,7 +270,7 @@ def removal_report(docs: DataFrame, text: str = "text", id: str = "doc_id") -> D
     """What is removed of every document, and the hash of what is kept."""
     rows = _rows(text, docs, id)
     found = repeated_windows(rows)
-    cut = rows.join(found, ["row", "tk"], "left").select("doc_id", "data", "ranges")
+    cut = rows.join(found, ["row", "tk"], "left").select(*(rows[c] for c in rows.columns), "ranges")
 
     def run(batches):
         for batch in batches:
