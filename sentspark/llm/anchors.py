@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from sentspark.llm.catalog import query, table
 from sentspark.llm.frames import buckets, keyed
 from sentspark.llm.rolling import Sums, buffers, mix, numbers, planes, ramp, row_blocks, word_codes, word_spans
-from sentspark.llm.suffix import per_row, ranges_of, sorted_entries
+from sentspark.llm.suffix import ENTRY, combined, per_row, ranges_of, sorted_entries
 from sentspark.session import ship_package
 
 #: Words of a window, and of a block: every window holds a whole block.
@@ -187,7 +187,7 @@ def _entries(rows: DataFrame, hits: DataFrame) -> DataFrame:
     # all columns of the rows, as in the other joins with texts, so that texts are dealt out once
     joined = rows.join(listed, ["row", "tk"]).select(*(rows[c] for c in rows.columns), "numbers")
 
-    def run(batches):
+    def parts(batches):
         for batch in batches:
             ids, tks, lists = batch.column("row"), batch.column("tk"), batch.column("numbers")
             for a, sums, first in _documents(batch):
@@ -203,28 +203,20 @@ def _entries(rows: DataFrame, hits: DataFrame) -> DataFrame:
                 lo, count, common, context = _runs(sums, sums.windows(1), wanted)
                 owner = np.searchsorted(first, lo, "right") - 1
                 place = pa.array(owner + a)
-                yield pa.record_batch(
-                    {
-                        "common": pa.array(common.view(np.int64)),
-                        "context": pa.array(context.view(np.int64)),
-                        "doc_id": ids.take(place),
-                        "tk": tks.take(place),
-                        "lo": pa.array(lo - first[owner]),
-                        "n": pa.array(count.astype(np.int32)),
-                    }
-                )
+                lo, count = pa.array(lo - first[owner]), pa.array(count.astype(np.int32))
+                yield common, context, ids.take(place), tks.take(place), lo, count
 
-    return joined.mapInArrow(run, "common long, context long, doc_id long, tk long, lo long, n int")
+    return joined.mapInArrow(lambda batches: combined(parts(batches)), ENTRY)
 
 
 def _windows(rows: DataFrame, borders: DataFrame) -> DataFrame:
-    """Every window of the border runs, with its hash."""
+    """Every window of the border runs, with its hash as ``context``."""
     listed = per_row(borders, "common", "lo", "n")
     joined = rows.join(listed, (rows["row"] == listed["doc_id"]) & (rows["tk"] == listed["tk"])).select(
         *(rows[c] for c in rows.columns), "ranges"
     )
 
-    def run(batches):
+    def parts(batches):
         for batch in batches:
             ids, tks, lists = batch.column("row").to_numpy(), batch.column("tk").to_numpy(), batch.column("ranges")
             for a, sums, first in _documents(batch):
@@ -233,17 +225,16 @@ def _windows(rows: DataFrame, borders: DataFrame) -> DataFrame:
                     common, lo, n = (ranges.field(k).to_numpy() for k in range(3))
                     at = np.repeat(lo, n) + ramp(n)
                     start = first[d] + at
-                    yield pa.record_batch(
-                        {
-                            "common": pa.array(np.repeat(common, n)),
-                            "h": pa.array(sums.spans(start, start + LENGTH).view(np.int64)),
-                            "doc_id": pa.array(np.full(len(at), ids[a + d])),
-                            "tk": pa.array(np.full(len(at), tks[a + d])),
-                            "lo": pa.array(at),
-                        }
+                    yield (
+                        np.repeat(common, n).view(np.uint64),
+                        sums.spans(start, start + LENGTH),
+                        pa.array(np.full(len(at), ids[a + d])),
+                        pa.array(np.full(len(at), tks[a + d])),
+                        pa.array(at),
+                        pa.array(np.ones(len(at), np.int32)),
                     )
 
-    return joined.mapInArrow(run, "common long, h long, doc_id long, tk long, lo long")
+    return joined.mapInArrow(lambda batches: combined(parts(batches)), ENTRY)
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:

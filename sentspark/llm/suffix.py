@@ -30,10 +30,12 @@ Null text is empty. Repeated rows are repeated text like any other. Texts shorte
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentspark.llm.catalog import query, table
@@ -45,6 +47,8 @@ from sentspark.storage import materialise
 LENGTH = 400
 #: Bytes of a rolling-hash window, and places among which the least one is the trigger.
 WINDOW, REACH = 16, 128
+#: Entries gathered before they are combined.
+GATHER = 1 << 18
 
 _U = np.uint64
 _INDEX = _U((1 << 22) - 1)
@@ -87,8 +91,55 @@ def _parse(part: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, ...]:
     return row, lo - borders[row], count, common, context
 
 
+ENTRY = "common long, context long, doc_id long, tk long, lo long, n int, mark int"
+#: Bits of ``mark``: found again, found with another context, dealt by both names.
+AGAIN, VARIED, APART = 1, 2, 4
+
+
+def combined(parts) -> Iterator[pa.RecordBatch]:
+    """Entries (the columns of ``ENTRY`` but the last), combined before they are dealt out.
+
+    Among entries that are gathered together, the first of those with one ``common`` stands
+    for it. The first of each further ``context`` is known to vary, and can be dealt by both
+    names. All others repeat both names: they are known to be whole and go on under a number
+    of their own. So what very many places share is not dealt to one task place by place.
+    """
+    held: list[tuple] = []
+    total, number = 0, -(TaskContext.get().partitionId() + 1) << 36
+
+    def flush():
+        nonlocal number
+        common, context = (np.concatenate([part[k] for part in held]).view(np.int64) for k in range(2))
+        doc_id, tk, lo, n = (pa.concat_arrays([part[k] for part in held]) for k in range(2, 6))
+        mark = np.zeros(len(common), np.int32)
+        order = np.lexsort((context, common))
+        near = common[order][1:] == common[order][:-1]
+        same = near & (context[order][1:] == context[order][:-1])
+        mark[order[:-1][same]] |= AGAIN
+        mark[order[1:][near & ~same]] |= VARIED | APART
+        # the first of a common varies if any entry of its stretch does
+        first = np.flatnonzero(np.r_[True, ~near])
+        mark[order[first]] |= np.maximum.reduceat(mark[order], first) & VARIED
+        spare = np.sort(order[1:][same])
+        mark[spare] = AGAIN
+        common[spare] = number + np.arange(len(spare))
+        context[spare] = 0
+        number += len(spare)
+        columns = (pa.array(common), pa.array(context), doc_id, tk, lo, n, pa.array(mark))
+        return pa.record_batch(dict(zip(("common", "context", "doc_id", "tk", "lo", "n", "mark"), columns, strict=True)))
+
+    for part in parts:
+        held.append(part)
+        total += len(part[0])
+        if total >= GATHER:
+            yield flush()
+            held, total = [], 0
+    if total:
+        yield flush()
+
+
 def _entries(docs: DataFrame) -> DataFrame:
-    def run(batches):
+    def parts(batches):
         for batch in batches:
             data, offsets = buffers(batch.column("data"))
             ids, tks = batch.column("doc_id"), batch.column("tk")
@@ -97,33 +148,33 @@ def _entries(docs: DataFrame) -> DataFrame:
                 borders = np.clip(borders, 0, b - a)
                 row, lo, count, common, context = _parse(data[a:b], borders)
                 at = pa.array(row + first)
-                yield pa.record_batch(
-                    {
-                        "common": pa.array(common.view(np.int64)),
-                        "context": pa.array(context.view(np.int64)),
-                        "doc_id": ids.take(at),
-                        "tk": tks.take(at),
-                        "lo": pa.array(lo + skip),
-                        "n": pa.array(count.astype(np.int32)),
-                    }
-                )
+                yield common, context, ids.take(at), tks.take(at), pa.array(lo + skip), pa.array(count.astype(np.int32))
+
+    return docs.mapInArrow(lambda batches: combined(parts(batches)), ENTRY)
 
-    return docs.mapInArrow(run, "common long, context long, doc_id long, tk long, lo long, n int")
+
+def _copies() -> Column:
+    return F.lit(1) + F.col("mark").bitwiseAND(AGAIN)
 
 
 def sorted_entries(entries: DataFrame) -> DataFrame:
     """Entries that may hold repeats: ``whole`` ones, and ``border`` ones to be looked into."""
-    same = Window.partitionBy("common", "context")
+    apart = F.col("mark").bitwiseAND(APART) > 0
+    dealt = entries.withColumn("deal", F.when(apart, F.xxhash64("common", "context")).otherwise(F.col("common")))
+    same = Window.partitionBy("deal", "common", "context")
     order = same.orderBy("doc_id", "tk", "lo")
-    suffix = Window.partitionBy("common")
-    marked = entries.repartition("common").select(
+    suffix = Window.partitionBy("deal")
+    marked = dealt.repartition("deal").select(
         "*",
-        F.count("*").over(same).alias("copies"),
+        F.sum(_copies()).over(same).alias("copies"),
         F.row_number().over(order).alias("copy"),
-        F.count("*").over(suffix).alias("found"),
-        (F.min("context").over(suffix) != F.max("context").over(suffix)).alias("varied"),
+        ((F.count("*").over(suffix) > 1) | (F.max("mark").over(suffix) > 0)).alias("found"),
+        (
+            (F.min("context").over(suffix) != F.max("context").over(suffix))
+            | (F.max(F.col("mark").bitwiseAND(VARIED)).over(suffix) > 0)
+        ).alias("varied"),
     )
-    return marked.filter("found > 1").select(
+    return marked.filter("found").select(
         "common",
         "doc_id",
         "tk",
@@ -139,11 +190,11 @@ def per_row(ranges: DataFrame, *columns: str) -> DataFrame:
 
 
 def _positions(docs: DataFrame, borders: DataFrame) -> DataFrame:
-    """Every position of the border entries, with the hash of its string."""
+    """Every position of the border entries, with the hash of its string as ``context``."""
     listed = per_row(borders, "common", "lo", "n")
     joined = docs.join(listed, same_row(docs, listed)).select(docs["doc_id"], docs["tk"], "data", "ranges")
 
-    def run(batches):
+    def parts(batches):
         for batch in batches:
             data, offsets = buffers(batch.column("data"))
             lists = batch.column("ranges")
@@ -164,23 +215,17 @@ def _positions(docs: DataFrame, borders: DataFrame) -> DataFrame:
                     out.append((sums.spans(at, at + LENGTH), at + base, np.repeat(common[group], n[group])))
                 if out:
                     h, at, c = (np.concatenate(x) for x in zip(*out, strict=True))
-                    yield pa.record_batch(
-                        {
-                            "common": pa.array(c),
-                            "h": pa.array(h.view(np.int64)),
-                            "doc_id": pa.array([batch.column("doc_id")[i].as_py()] * len(h), pa.int64()),
-                            "tk": pa.array(np.full(len(h), batch.column("tk")[i].as_py(), np.int64)),
-                            "lo": pa.array(at),
-                        }
-                    )
+                    doc_id = pa.array([batch.column("doc_id")[i].as_py()] * len(h), pa.int64())
+                    tk = pa.array(np.full(len(h), batch.column("tk")[i].as_py(), np.int64))
+                    yield c.view(np.uint64), h, doc_id, tk, pa.array(at), pa.array(np.ones(len(h), np.int32))
 
-    return joined.mapInArrow(run, "common long, h long, doc_id long, tk long, lo long")
+    return joined.mapInArrow(lambda batches: combined(parts(batches)), ENTRY)
 
 
 def ranges_of(found: DataFrame, named: DataFrame) -> DataFrame:
     """Ranges of the whole entries, and of the border positions whose string is found again."""
-    again = Window.partitionBy("common", "h")
-    inner = named.repartition("common").withColumn("copies", F.count("*").over(again)).filter("copies > 1")
+    again = Window.partitionBy("common", "context")
+    inner = named.withColumn("copies", F.sum(_copies()).over(again)).filter("copies > 1")
     whole = found.filter("whole").select("doc_id", "tk", "lo", "n")
     single = inner.select("doc_id", "tk", "lo", F.lit(1).alias("n"))
     return per_row(whole.union(single), "lo", "n")
