@@ -51,6 +51,15 @@ def test_search_does_not_depend_on_partitions_or_blocks(spark, parts, monkeypatc
     assert hits(S.semantic_search(q, vectors(spark, CORPUS, parts=parts), 10)) == brute(10)
 
 
+def test_long_vectors_are_sliced_by_their_numbers(spark, monkeypatch):
+    monkeypatch.setattr(S, "BROADCAST_VALUES", 5 * 8)
+    monkeypatch.setattr(S, "SLICE_VALUES", 60 * 8)
+    q, c = vectors(spark, QUERIES, "query_id"), vectors(spark, CORPUS)
+    assert S._query_matrix(q, ["embedding"], 10_000) is None
+    assert S._n_slices(c, 50_000) == 7
+    assert hits(S.semantic_search(q, c, 10)) == brute(10)
+
+
 def test_search_with_nothing(spark):
     q, c = vectors(spark, QUERIES, "query_id"), vectors(spark, CORPUS)
     for how in ({}, {"limit": 0}):
