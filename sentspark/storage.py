@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -47,13 +48,14 @@ def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame
 def fingerprint(df: DataFrame) -> str:
     """Identity of the files behind a file-based ``df``: their paths, sizes and times.
 
-    Only the file metadata is read, no data column.
+    The files are listed, one row for each; none is read.
     """
-    files = df.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_size").alias("size"),
-        F.col("_metadata.file_modification_time").alias("time"),
-    ).distinct()
+    paths = [unquote(p) for p in df.inputFiles()]
+    if not paths:
+        return "0:None"
+    files = df.sparkSession.read.format("binaryFile").load(paths).select(
+        "path", F.col("length").alias("size"), F.col("modificationTime").alias("time")
+    )
     row = files.agg(
         F.count("*").alias("n"),
         F.sum(F.xxhash64("path", "size", "time").cast("decimal(38,0)")).alias("h"),
