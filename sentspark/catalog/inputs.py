@@ -96,7 +96,7 @@ LETTERS_SQL = r"\p{L}\p{M}\p{Nd}\p{Nl}"
 def lines_sql(source: str = "documents", id: str = "doc_id") -> str:
     return rf"""
 lines AS (
-  SELECT doc_id * 100000 + line_no AS sent_id, doc_id, line_no::INTEGER AS line_no, text
+  SELECT doc_id * 134217728 + line_no AS sent_id, doc_id, line_no::INTEGER AS line_no, text
   FROM (
     SELECT doc_id, unnest(range(len(parts))) AS line_no, unnest(parts) AS text
     FROM (

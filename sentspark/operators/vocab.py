@@ -365,7 +365,7 @@ def _bounded(df: DataFrame, limit: int) -> list | None:
 
 
 class _Encoder:
-    """Subword ids of words; one per task, from the broadcast vocabulary."""
+    """Subword ids of words. It is built once, as sorted arrays, and broadcast."""
 
     def __init__(self, vocab: list, merges: list):
         self.special = {t: i for i, t in enumerate(T.SPECIAL_TOKENS)}
@@ -470,24 +470,35 @@ class _Encoder:
 
 
 def encode_corpus(
-    df: DataFrame, vocab: DataFrame, merges: DataFrame, words: str = "words", out: str = "ids"
+    df: DataFrame,
+    vocab: DataFrame,
+    merges: DataFrame,
+    words: str = "words",
+    out: str = "ids",
+    id: str = "sent_id",
+    limit: int = BROADCAST_TOKENS,
 ) -> DataFrame:
     """Replace the word arrays by subword id arrays.
 
-    No shuffle: the merge list goes to the executors (its size is checked), and every
-    Arrow batch encodes each of its distinct words once. Exploding the corpus to join
-    word ids back would move every occurrence twice. NULL has no ids.
+    With a vocabulary and merge list of at most ``limit`` rows there is no shuffle: they go
+    to the executors, and every Arrow batch encodes each of its distinct words once. Larger
+    ones are joined: the distinct words of the corpus are merged in rounds, and their
+    occurrences, salted, are collected again by ``id``. NULL has no ids.
     """
     spark = df.sparkSession
-    vocab_rows = _bounded(vocab.select("token", "id"), BROADCAST_TOKENS)
-    merge_rows = _bounded(merges.select("rank", "left_id", "right_id", "id"), BROADCAST_TOKENS)
+    every = F.coalesce(F.col(words), F.array().cast("array<string>"))
+    vocab_rows = _bounded(vocab.select("token", "id"), limit)
+    merge_rows = _bounded(merges.select("rank", "left_id", "right_id", "id"), limit)
     if vocab_rows is None or merge_rows is None:
-        raise ValueError(f"subword vocabularies hold at most {BROADCAST_TOKENS} tokens")
-    shared = spark.sparkContext.broadcast((vocab_rows, merge_rows))
+        df = df.withColumn(words, every)
+        coded = _coded_words(df.select(F.explode(words).alias("token")).distinct(), vocab, merges)
+        unknown = F.array().cast("array<int>")
+        return _by_join(df, coded, unknown, words, out, id).withColumn(out, F.flatten(out))
+    shared = spark.sparkContext.broadcast(_Encoder(vocab_rows, merge_rows))
 
     @F.arrow_udf("array<int>")
     def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _Encoder(*shared.value)
+        encoder = shared.value
         for column in columns:
             lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             coded = column.flatten().dictionary_encode()
@@ -495,10 +506,57 @@ def encode_corpus(
             flat, picked = R.take_rows(values, sizes, coded.indices.to_numpy(zero_copy_only=False))
             yield R.list_array(flat, R.sum_rows(picked, lengths), pa.int32())
 
-    every = F.coalesce(F.col(words), F.array().cast("array<string>"))
     return df.withColumn(out, encode(every)).drop(words)
 
 
+def _coded_words(tokens: DataFrame, vocab: DataFrame, merges: DataFrame) -> DataFrame:
+    """token, code (its subword ids) of distinct words, by joins with the merge list.
+
+    A round applies to every word its first merge of lowest rank. It writes the words that
+    change and those that are finished apart, and the next one reads the former only.
+    """
+    spark = tokens.sparkSession
+    special = tokens["token"].isin(T.SPECIAL_TOKENS)
+    place = F.array_position(F.array(*map(F.lit, T.SPECIAL_TOKENS)), F.col("token")) - 1
+    fixed = tokens.filter(special).select("token", F.array(place.cast("int")).alias("ids"))
+    single = vocab.filter(F.length("token") == 1).select("token", F.col("id").alias("code"))
+    chars = tokens.filter(~special).select("token", F.split("token", "").alias("chars"))
+    state = _by_join(chars, single, F.lit(T.UNK), "chars", "ids", "token").unionByName(fixed)
+
+    n = F.size("ids")
+    salted = _salted(merges.select("left_id", "right_id", "rank", F.col("id").alias("new_id")))
+    root, schema = new_path(spark, "coded-words"), "token string, ids array<int>, round int, open int"
+    round_, changed = 0, True
+    state = materialise(state.select("token", "ids"), "words")
+    while changed:
+        both = F.arrays_zip(
+            F.slice("ids", 1, n - 1).alias("left_id"), F.slice("ids", 2, n - 1).alias("right_id")
+        )
+        pairs = state.filter(n > 1).select("token", F.posexplode(both).alias("pos", "pair"))
+        best = (
+            pairs.select("token", "pos", "pair.*", _salt("token", "pos"))
+            .join(salted, ["left_id", "right_id", "salt"])
+            .groupBy("token")
+            .agg(F.min(F.struct("rank", "pos", "new_id")).alias("best"))
+        )
+        at = F.col("best.pos")
+        merged = F.concat(
+            F.slice("ids", 1, at), F.array(F.col("best.new_id").cast("int")), F.slice("ids", at + 3, n)
+        )
+        stepped = state.join(best, "token", "left").select(
+            "token",
+            F.when(F.col("best").isNull(), F.col("ids")).otherwise(merged).alias("ids"),
+            F.col("best").isNotNull().cast("int").alias("open"),
+        )
+        path = f"{root}/round={round_}"
+        stepped.write.mode("overwrite").partitionBy("open").parquet(path)
+        state = spark.read.schema(schema).option("basePath", root).parquet(path).filter("open = 1")
+        state = state.select("token", "ids")
+        round_, changed = round_ + 1, not state.isEmpty()
+    done = spark.read.schema(schema).parquet(root).filter("open = 0")
+    return done.select("token", F.col("ids").alias("code"))
+
+
 def encode_words(
     df: DataFrame,
     vocab: DataFrame,
@@ -515,7 +573,8 @@ def encode_words(
     """
     known = _bounded(vocab.select("token", "id"), limit)
     if known is None:
-        return _encode_words_by_join(df, vocab, words, out, id)
+        codes = vocab.select("token", F.col("id").alias("code"))
+        return _by_join(df, codes, F.lit(T.UNK), words, out, id)
     shared = df.sparkSession.sparkContext.broadcast(
         ([r.token for r in known], np.array([r.id for r in known] + [T.UNK], np.int32))
     )
@@ -531,24 +590,26 @@ def encode_words(
     return df.withColumn(out, look_up(words)).drop(words)
 
 
-def _encode_words_by_join(df: DataFrame, vocab: DataFrame, words: str, out: str, id: str) -> DataFrame:
-    occurrences = df.select(id, F.posexplode(words).alias("pos", "token")).withColumn(
-        "salt", F.pmod(F.xxhash64(id, "pos"), F.lit(WORD_SALT)).cast("int")
-    )
-    salted = vocab.select("token", F.col("id").alias("token_id")).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(WORD_SALT - 1)))
-    )
+def _salt(*by: str) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(WORD_SALT)).cast("int").alias("salt")
+
+
+def _salted(table: DataFrame) -> DataFrame:
+    return table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(WORD_SALT - 1))))
+
+
+def _by_join(df: DataFrame, codes: DataFrame, unknown: Column, words: str, out: str, id: str) -> DataFrame:
+    """Replace the word arrays by arrays of the words' codes; ``codes`` has token and code."""
+    occurrences = df.select(F.col(id).alias("_id"), F.posexplode(words).alias("pos", "token"))
+    in_order = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("code", unknown).alias("code"))))
     coded = (
-        occurrences.join(salted, ["token", "salt"], "left")
-        .groupBy(id)
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(T.UNK)).alias("t")))
-            ).alias("coded")
-        )
-        .select(id, F.col("coded.t").alias(out))
+        occurrences.withColumn("salt", _salt("_id", "pos"))
+        .join(_salted(codes), ["token", "salt"], "left")
+        .groupBy("_id")
+        .agg(in_order.alias("coded"))
+        .select(F.col("_id").alias(id), F.col("coded.code").alias(out))
     )
-    empty = F.array().cast("array<int>")
+    empty = F.array().cast(coded.schema[out].dataType)
     return df.drop(words).join(coded, id, "left").withColumn(out, F.coalesce(out, empty))
 
 

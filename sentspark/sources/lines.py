@@ -1,7 +1,7 @@
 """Line tables: scans of text files and of document tables, and line sinks.
 
-Rows carry explicit ids, since a DataFrame has no positions:
-``sent_id = doc_id * LINES_PER_DOC + line_no``.
+Rows carry explicit ids, since a DataFrame has no positions. (doc_id, line_no) is the key;
+``sent_id`` is the same as one number: packed into 64 bits where both parts fit, or dense.
 """
 
 from __future__ import annotations
@@ -10,37 +10,49 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentspark.functions import text as T
+from sentspark.operators.order import with_ordinals
 
-LINES_PER_DOC = 100_000
+# Bits of the line number in a packed id; the document's number has the other 37, with its sign.
+LINE_BITS = 27
+# A table below this size, one default file split, may be dealt out over the cores.
+SPREAD_BYTES = 128 << 20
 
 
-def _sent_id(doc_id: Column, line_no: Column) -> Column:
-    too_long = F.raise_error(
-        F.concat(F.lit("document with too many lines: "), doc_id.cast("string"))
+def _packed_id(doc_id: Column, line_no: Column) -> Column:
+    most = 1 << (63 - LINE_BITS)
+    fits = doc_id.isNull() | (doc_id.between(-most, most - 1) & (line_no < 1 << LINE_BITS))
+    too_large = F.raise_error(
+        F.concat(F.lit("ids of this document do not fit, number its lines densely: "), doc_id.cast("string"))
     ).cast("bigint")
-    sent_id = doc_id * F.lit(LINES_PER_DOC) + line_no
-    return F.when(line_no < LINES_PER_DOC, sent_id).otherwise(too_long)
+    return F.when(fits, doc_id * F.lit(1 << LINE_BITS) + line_no).otherwise(too_large)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out over all cores if the files give fewer tasks than that.
-
-    Only for small inputs: a table of many files has more tasks than cores and is left
-    as it is.
+def spread(df: DataFrame, most: int = SPREAD_BYTES) -> DataFrame:
+    """Deal the rows of a table of at most ``most`` bytes out over all cores if its files give
+    fewer tasks than that. Larger tables stay as they are: their texts are never moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    n_bytes = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if n_bytes <= most and df.rdd.getNumPartitions() < cores else df
 
 
-def lines_from_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def lines_from_documents(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dense: bool = False
+) -> DataFrame:
     """One row per line of every document: sent_id, doc_id, line_no, text.
 
     A projection and a generator, so no shuffle; documents of any number are cut up
-    where they are read.
+    where they are read. ``sent_id`` is ``doc_id * 2**27 + line_no``, which holds for documents
+    below 134 million lines and numbers below 68 billion; what does not fit is an error. ``dense``
+    takes any 64-bit ids (hashes, say) and any number of lines: it numbers the lines from 0
+    in the order of (doc_id, line_no), which sorts the lines once. ``doc_id`` is unique.
     """
-    return docs.select(
+    lines = docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"), F.posexplode(T.lines(text)).alias("line_no", "text")
-    ).select(_sent_id(F.col("doc_id"), F.col("line_no")).alias("sent_id"), "doc_id", "line_no", "text")
+    )
+    if dense:
+        return with_ordinals(lines, ["doc_id", "line_no"], "sent_id").select("sent_id", *lines.columns)
+    return lines.select(_packed_id(F.col("doc_id"), F.col("line_no")).alias("sent_id"), *lines.columns)
 
 
 def read_lines(spark: SparkSession, path: str | list[str], bad_bytes: str = "drop") -> DataFrame:

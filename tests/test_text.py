@@ -36,15 +36,33 @@ def test_lines_follow_universal_newlines(spark):
     assert apply(spark, texts, T.lines) == want
 
 
-def test_lines_from_documents_ids_and_guard(spark):
-    docs = spark.createDataFrame([(7, "x\ny"), (8, "z")], "doc_id bigint, text string")
+def test_lines_from_documents_ids(spark):
+    docs = spark.createDataFrame([(7, "x\ny"), (8, "z"), (-1, "n")], "doc_id bigint, text string")
     rows = L.lines_from_documents(docs).orderBy("sent_id").collect()
-    assert [(r.sent_id, r.doc_id, r.line_no, r.text) for r in rows] == [
-        (700000, 7, 0, "x"), (700001, 7, 1, "y"), (800000, 8, 0, "z"),
+    assert [tuple(r) for r in rows] == [
+        (-(1 << 27), -1, 0, "n"), (7 << 27, 7, 0, "x"), ((7 << 27) + 1, 7, 1, "y"), (8 << 27, 8, 0, "z"),
     ]
-    long = spark.createDataFrame([(1, "a\n" * (L.LINES_PER_DOC + 1))], "doc_id bigint, text string")
-    with pytest.raises(Exception, match="too many lines"):
-        L.lines_from_documents(long).agg(F.max("sent_id")).collect()
+
+
+def test_a_document_of_many_lines(spark):
+    n = 117_324
+    docs = spark.createDataFrame([(1, "a\n" * n), (2, "b")], "doc_id bigint, text string")
+    for dense in (False, True):
+        got = L.lines_from_documents(docs, dense=dense).agg(
+            F.count("*"), F.countDistinct("sent_id"), F.max("line_no"), F.max("sent_id")
+        ).first()
+        assert tuple(got) == (n + 1, n + 1, n - 1, n if dense else 2 << 27)
+
+
+def test_documents_with_64_bit_ids(spark):
+    ids = [-(1 << 63), -5, (1 << 63) - 1]
+    docs = spark.createDataFrame([(i, "x\ny") for i in ids], "doc_id bigint, text string")
+    rows = L.lines_from_documents(docs, dense=True).orderBy("sent_id").collect()
+    assert [(r.sent_id, r.doc_id, r.line_no) for r in rows] == [
+        (2 * k + j, i, j) for k, i in enumerate(ids) for j in range(2)
+    ]
+    with pytest.raises(Exception, match="number its lines densely"):
+        L.lines_from_documents(docs).agg(F.max("sent_id")).collect()
 
 
 def test_training_keeps_blank_lines_and_search_drops_them(spark):
@@ -120,3 +138,4 @@ def test_small_inputs_are_spread_and_large_ones_left(spark):
     cores = spark.sparkContext.defaultParallelism
     assert L.spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == cores
     assert L.spread(spark.range(0, 100, 1, 40)).rdd.getNumPartitions() == 40
+    assert L.spread(spark.range(0, 100, 1, 1), most=100).rdd.getNumPartitions() == 1

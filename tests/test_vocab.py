@@ -107,6 +107,19 @@ def test_word_counts_with_a_hot_word(spark):
     assert V.top_words(V.word_frequency(frame(spark, texts), T.words("text")), 2).orderBy("id").collect()[0].token == "hot"
 
 
+def test_subwords_by_join_when_the_vocabulary_is_large(spark):
+    _, _, vocab, merges = learnt(spark, ["aa ab ab ba ba cab cd cd \U0001d51e\U0001d51e " + "ab" * 20], 30)
+    rows = [
+        (1, ["zab", "<mask>", "ab", "ab"]), (2, []), (3, None), (4, ["a" * 9, "ab" * 30 + "z"]),
+        (5, ["<unk>", "\U0001d51e\U0001d51ea", "z"]),
+    ]
+    df = spark.createDataFrame(rows, "sent_id int, words array<string>")
+    a = sorted(V.encode_corpus(df, vocab, merges).collect())
+    b = sorted(V.encode_corpus(df, vocab, merges, limit=1).select("sent_id", "ids").collect())
+    assert a == b and len(a) == 5
+    assert V.encode_corpus(df.limit(0), vocab, merges, limit=1).collect() == []
+
+
 def test_vocabulary_round_trip(spark, tmp_path):
     _, merges, vocab, table = learnt(spark, ["ab ab abc"], 12)
     V.write_vocabulary(vocab, table, str(tmp_path / "v"))
