@@ -252,10 +252,13 @@ def _in_counts(expression: str) -> str:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rejected documents, in the same columns."""
-    counted = with_counts(docs)
-    counts = materialise(_named(counted).select("lang", "source", "_counts.*"), "quality-counts")
-    return judged(counted, estimates(counts)).filter("_kept").select(*(docs[c] for c in docs.columns))
+    """``docs`` without the rejected documents, in the same columns.
+
+    The documents are written once with their counts, which cost more than the writing.
+    """
+    counted = materialise(with_counts(docs), "quality-documents")
+    counts = _named(counted).select("lang", "source", "_counts.*")
+    return judged(counted, estimates(counts)).filter("_kept").select(*(counted[c] for c in docs.columns))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
