@@ -14,6 +14,10 @@ its row. The rest works on a narrow table of integers, one row per document:
   that are nearest, then new distances.
 * A document is rejected when its squared Mahalanobis distance exceeds ``CUTOFF``.
 
+``quality_filter``, the stage of the pipeline, estimates by ``robust_estimates`` instead,
+which withstands junk of nearly half a group; the steps above, which the SQL of the query
+fixes, withstand a quarter.
+
 Sums are sums of integers, so results do not depend on the partitioning. Covariances get
 ``SPREAD`` squared on the diagonal: a statistic that is nearly constant in a group does
 not make small deviations from it outliers.
@@ -38,6 +42,10 @@ STEPS = 3
 CUTOFF = 23.5127
 #: Makes the covariance of the nearest three quarters consistent for a normal vector in 4 dimensions.
 CONSISTENCY = 1.4866
+#: The same for the nearest half.
+HALF_CONSISTENCY = 2.1090
+#: Quantiles of the statistics from which the estimate of the highest breakdown starts, and most steps of one start.
+STARTS, HALF_STEPS = (0.5, 0.25, 0.75), 30
 #: Least spread of each statistic, in thousandths.
 SPREAD = (50, 50, 150, 150)
 
@@ -165,14 +173,14 @@ _SUMS = (
 )
 
 
-def _factor() -> str:
+def _factor(consistency: float = CONSISTENCY, keys: tuple[str, ...] = ("grp",)) -> str:
     """From sums to means and the Cholesky factor, one entry a level."""
     inner = (
-        "select grp, "
+        f"select {', '.join(keys)}, "
         + ", ".join(f"s{i} / n as m{i}" for i in _AXES)
         + ", "
         + ", ".join(
-            f"(s{i}{j} / n - (s{i} / n) * (s{j} / n)) * {CONSISTENCY}" + (f" + {SPREAD[i] ** 2}" if i == j else "") + f" as c{i}{j}"
+            f"(s{i}{j} / n - (s{i} / n) * (s{j} / n)) * {consistency}" + (f" + {SPREAD[i] ** 2}" if i == j else "") + f" as c{i}{j}"
             for i in _AXES
             for j in range(i + 1)
         )
@@ -183,12 +191,38 @@ def _factor() -> str:
             less = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
             entry = f"sqrt(c{i}{i}{less})" if i == j else f"(c{i}{j}{less}) / l{j}{j}"
             inner = f"select *, {entry} as l{i}{j} from ({inner}) f{i}{j}"
-    keep = ["grp", *(f"m{i}" for i in _AXES), *(f"l{i}{j}" for i in _AXES for j in range(i + 1))]
+    keep = [*keys, *(f"m{i}" for i in _AXES), *(f"l{i}{j}" for i in _AXES for j in range(i + 1))]
     return f"select {', '.join(keep)} from ({inner}) f"
 
 
 _FACTOR = _factor()
 
+# The estimate with the highest breakdown. Documents at the radius share what is missing
+# to half of the group, so that half counts however many copies lie there.
+
+_SUMMED = {f"s{i}": f"x{i}" for i in _AXES} | {f"s{i}{j}": f"x{i} * x{j}" for i in _AXES for j in range(i + 1)}
+
+_HALF_RADII = f"""
+select p.grp, p.start, count(*) as size, percentile_disc(0.5) within group (order by {_NEAR}) as radius
+from {{members}} v join {{params}} p on v.grp = p.grp group by p.grp, p.start"""
+
+_HALF_SUMS = (
+    "select grp, start, n, "
+    + ", ".join(f"cast(a{s} as double) + share * b{s} as {s}" for s in _SUMMED)
+    + " from (select *, size / 2D as n, (size / 2D - inside) / tied as share from (select grp, start, any_value(size) as size, "
+    + "sum(case when near < radius then 1 else 0 end) as inside, sum(case when near = radius then 1 else 0 end) as tied, "
+    + ", ".join(
+        f"sum(case when near < radius then {x} else 0 end) as a{s}, sum(case when near = radius then {x} else 0 end) as b{s}"
+        for s, x in _SUMMED.items()
+    )
+    + f" from (select p.start, r.size, r.radius, v.*, {_NEAR} as near from {{members}} v join {{params}} p on v.grp = p.grp"
+    + " join {radii} r on p.grp = r.grp and p.start = r.start) x where near <= radius group by grp, start) y) z"
+)
+
+_HALF_FACTOR = _factor(HALF_CONSISTENCY, ("grp", "start"))
+
+_DETERMINANT = " + ".join(f"ln(l{i}{i})" for i in _AXES)
+
 
 def _name(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("\x01"))
@@ -228,6 +262,44 @@ def estimates(counts: DataFrame) -> DataFrame:
     return materialise(groups.join(params, "grp").drop("grp"), "quality-estimates")
 
 
+def robust_estimates(counts: DataFrame) -> DataFrame:
+    """``estimates`` that hold although nearly half of a group is junk.
+
+    Each start concentrates on the nearest half until its estimate is stable; the estimate
+    of the least determinant is taken.
+    """
+    spark = counts.sparkSession
+    vectors = spark.sql(_VECTORS.replace("from counts", "from {counts}"), counts=counts)
+    groups = materialise(spark.sql(_GROUPS.replace("from vectors", "from {vectors}"), vectors=vectors), "quality-groups")
+    members = materialise(
+        spark.sql(
+            _MEMBERS.replace("vectors v", "{vectors} v").replace("groups g", "{groups} g"), vectors=vectors, groups=groups
+        ),
+        "quality-members",
+    )
+    params = None
+    for k, at in enumerate(STARTS):
+        start = _START.replace("from members", "from {members}").replace("percentile_disc(0.5)", f"percentile_disc({at})")
+        start = spark.sql(start, members=members).withColumn("start", F.lit(k))
+        params = start if params is None else params.union(start)
+    params, stable = materialise(params, "quality-start"), []
+    for _ in range(HALF_STEPS):
+        radii = materialise(spark.sql(_HALF_RADII, members=members, params=params), "quality-radii")
+        sums = spark.sql(_HALF_SUMS, members=members, params=params, radii=radii)
+        new = spark.sql(_HALF_FACTOR.replace("from sums", "from {sums}"), sums=sums)
+        old = params.select("grp", "start", F.struct(*new.columns[2:]).alias("old"))
+        new = new.join(old, ["grp", "start"]).withColumn("moved", F.struct(*new.columns[2:]) != F.col("old")).drop("old")
+        new = materialise(new, "quality-params")
+        stable.append(new.filter(~F.col("moved")).drop("moved"))
+        params = new.filter("moved").drop("moved")
+        if params.isEmpty():
+            break
+    for more in stable:
+        params = params.unionByName(more)
+    least = params.groupBy("grp").agg(F.min_by(F.struct(*params.columns[2:]), F.struct(F.expr(_DETERMINANT), "start")).alias("p"))
+    return materialise(groups.join(least, "grp").select("lang", "source", "p.*"), "quality-estimates")
+
+
 def judged(docs: DataFrame, params: DataFrame) -> DataFrame:
     """``docs`` (with ``_counts``) with ``_base_failed`` and ``_kept``."""
     named = docs.withColumns({f"_{c}": _name(c) for c in ("lang", "source")})
@@ -258,7 +330,7 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     """
     counted = materialise(with_counts(docs), "quality-documents")
     counts = _named(counted).select("lang", "source", "_counts.*")
-    return judged(counted, estimates(counts)).filter("_kept").select(*(counted[c] for c in docs.columns))
+    return judged(counted, robust_estimates(counts)).filter("_kept").select(*(counted[c] for c in docs.columns))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
