@@ -1,11 +1,17 @@
 """Packing of documents into training sequences by lexical retrieval.
 
-A task reads its documents once and in place: it tokenises them, gathers them into shards
-of bounded size, and packs each shard, so nothing is shuffled. A shard has a BM25 inverted
-index over token ids. A seed document starts a window; its nearest unused documents follow
-until the window is full, and a document that does not fit is cut. The rest of a cut
-document is the next seed, otherwise the next unused document is. What remains at the end
-of a shard goes into sequences whose lengths are powers of two, so nothing is padded.
+Documents are tokenised once and written with their ids; document frequencies and the mean
+length are counted over the whole corpus. Documents are then ordered by their two terms of
+the highest BM25 weight (shared by at least two documents), which brings related ones
+together wherever they were read, and gathered in that order into shards of bounded size. A
+shard has a BM25 inverted index over token ids with the weights of the corpus. A seed
+document starts a window; all its terms search, and its nearest unused documents follow
+until the window is full or none is left that shares a term; a document that does not fit
+is cut. The rest of a cut document is the next seed, otherwise the next unused document is.
+What remains at the end of a shard goes into sequences whose lengths are powers of two, so
+nothing is padded.
+
+Documents in different shards do not meet.
 
 Null text is empty and still has its end id. Repeated rows are packed once each; a null id
 stays null. Sequence ids are unique: the partition's number, then a running number.
@@ -25,17 +31,23 @@ from pyspark.sql import functions as F
 from sentspark.llm.catalog import query, table
 from sentspark.llm.pretoken import Cache, encoded
 from sentspark.session import ship_package
+from sentspark.storage import materialise
 
 #: Longest sequence, and the id that ends a document.
 LENGTH, END_ID = 1024, 0
 #: Documents and tokens of a shard; a shard is closed by the document that reaches either.
 SHARD_DOCS, SHARD_TOKENS = 2048, 1 << 21
-#: Words of a seed that search for neighbours, and neighbours looked at for a window.
-QUERY_TERMS, NEIGHBOURS = 32, 16
+#: Terms of more than this share of a shard's documents have a row for all of them.
+DENSE = 1 / 16
 K1, B = 1.2, 0.75
 #: Texts tokenised at once.
 TEXTS = 256
 
+TOKENISED = pa.schema(
+    [("doc_id", pa.int64()), ("number", pa.int64()), ("size", pa.int64()), ("ids", pa.binary())]
+    + [(c, pa.list_(pa.int64())) for c in ("terms", "df")]
+)
+
 _workers: dict[str, tuple[Cache, dict[str, int]]] = {}
 
 
@@ -69,48 +81,80 @@ def document_ids(texts: list[str], path: str):
         yield np.append(ids, np.uint32(END_ID))
 
 
+class Corpus:
+    """Documents, document frequencies and mean length of the whole corpus."""
+
+    def __init__(self, n: int, mean: float, terms: np.ndarray, df: np.ndarray):
+        self.n, self.mean = n, mean
+        self.df = np.zeros(int(terms.max(initial=0)) + 1, np.int64)
+        self.df[terms] = df
+
+    def weighed(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, term and BM25 weight of every distinct pair, by document and term."""
+        size = np.array([len(d) for d in docs])
+        width = len(self.df)
+        pairs = np.repeat(np.arange(len(docs)) * width, size) + np.concatenate(docs).astype(np.int64)
+        pairs.sort()
+        first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+        tf = np.diff(np.r_[first, len(pairs)])
+        doc, term = np.divmod(pairs[first], width)
+        df = self.df[term]
+        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * size / self.mean)
+        return doc, term, idf * tf * (K1 + 1) / (tf + norm[doc])
+
+    def keys(self, docs: list[np.ndarray]) -> np.ndarray:
+        """The two strongest terms of every document that another one has, in one number."""
+        doc, term, weight = self.weighed(docs)
+        shared = self.df[term] > 1
+        doc, term, weight = doc[shared], term[shared], weight[shared]
+        order = np.lexsort((term, -weight, doc))
+        doc, term = doc[order], term[order]
+        rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        out = np.zeros(len(docs), np.int64)
+        for k, shift in ((0, 32), (1, 0)):
+            out[doc[rank == k]] += term[rank == k] << shift
+        return out
+
+
 class Index:
-    """BM25 over the token ids of a shard."""
+    """BM25 over the token ids of a shard, with the weights of the corpus."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus):
         n = len(docs)
-        size = np.array([len(d) for d in docs])
-        owner = np.repeat(np.arange(n), size)
-        pairs, tf = np.unique(np.concatenate(docs).astype(np.int64) * n + owner, return_counts=True)
-        term, self.doc = np.divmod(pairs, n)
-        terms, first, df = np.unique(term, return_index=True, return_counts=True)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * size / size.mean())
-        self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
-        self.first, self.df = first, df
-        number = np.repeat(np.arange(len(terms)), df)
-        order = np.argsort(self.doc, kind="stable")
-        self.terms, self.own = number[order], self.weight[order]
-        self.bounds = np.searchsorted(self.doc[order], np.arange(n + 1))
+        doc, term, weight = corpus.weighed(docs)
+        terms, number, df = np.unique(term, return_inverse=True, return_counts=True)
+        order = np.argsort(number, kind="stable")
+        self.doc, self.weight = doc[order], weight[order]
+        self.first, self.df = np.cumsum(df) - df, df
+        self.terms, self.bounds = number, np.searchsorted(doc, np.arange(n + 1))
+        usual = np.flatnonzero(df > max(1, DENSE * n))
+        self.row = np.full(len(terms), -1)
+        self.row[usual] = np.arange(len(usual))
+        self.rows = np.zeros((len(usual), n))
+        at = self.row[number] >= 0
+        self.rows[self.row[number[at]], doc[at]] = weight[at]
         self.unused = np.ones(n, bool)
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """The best unused documents for a seed, best first."""
-        part = slice(self.bounds[seed], self.bounds[seed + 1])
-        terms, own = self.terms[part], self.own[part]
-        shared = self.df[terms] > 1
-        terms, own = terms[shared], own[shared]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-own, QUERY_TERMS)[:QUERY_TERMS]]
-        if not len(terms):
-            return terms
-        at = np.concatenate([np.arange(f, f + d) for f, d in zip(self.first[terms], self.df[terms], strict=True)])
-        score = np.bincount(self.doc[at], self.weight[at], len(self.unused))
-        score[~self.unused] = 0
-        best = np.argpartition(-score, min(NEIGHBOURS, len(score) - 1))[:NEIGHBOURS]
-        best = best[score[best] > 0]
-        return best[np.lexsort((best, -score[best]))]
-
-
-def pack(docs: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
+        """All unused documents that share a term with a seed, best first."""
+        terms = self.terms[self.bounds[seed] : self.bounds[seed + 1]]
+        row = self.row[terms]
+        score = self.rows[row[row >= 0]].sum(0)
+        terms = terms[(row < 0) & (self.df[terms] > 1)]
+        if len(terms):
+            many = self.df[terms]
+            at = np.repeat(self.first[terms] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            score += np.bincount(self.doc[at], self.weight[at], len(score))
+        best = np.flatnonzero(self.unused & (score > 0))
+        return best[np.argsort(-score[best], kind="stable")]
+
+
+def pack(docs: list[np.ndarray], corpus: Corpus) -> list[tuple[int, int, int, int, int]]:
     """Pieces of a shard as (document, start, length, sequence, offset)."""
-    index, n = Index(docs), len(docs)
+    index, n = Index(docs, corpus), len(docs)
     unused, size = index.unused, [len(d) for d in docs]
+    sizes = np.array(size)
     pieces: list[tuple[int, int, int, int, int]] = []
     sequence, filled, coming = 0, 0, 0
 
@@ -141,16 +185,15 @@ def pack(docs: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
             seed = None
             continue
         near = index.neighbours(seed)
-        cut = None
-        for doc in near:
-            if size[doc] <= LENGTH - filled:
-                unused[doc] = False
-                place_all(doc)
-                if not filled:
-                    break
-            elif cut is None:
-                cut = int(doc)
-        if filled and cut is not None:
+        fitting = near[sizes[near] <= LENGTH - filled]
+        while filled and len(fitting):
+            doc, fitting = int(fitting[0]), fitting[1:]
+            unused[doc] = False
+            place_all(doc)
+            fitting = fitting[sizes[fitting] <= LENGTH - filled]
+        near = near[unused[near]]
+        if filled and len(near):
+            cut = int(near[0])
             unused[cut] = False
             place_all(cut)
             seed = cut
@@ -183,33 +226,88 @@ SCHEMA = (
 )
 
 
+def _tokenised(docs: DataFrame, vocabulary: str, text: str, id: str) -> DataFrame:
+    """Documents with their token ids and a number of their own; and, without ids, the
+    document frequencies of each task."""
+
+    def run(batches):
+        number, df = TaskContext.get().partitionId() << 33, np.zeros(0, np.int64)
+        for batch in batches:
+            every, texts = batch.column("doc_id"), batch.column("text")
+            for k in range(0, batch.num_rows, TEXTS):
+                some = [t or "" for t in texts.slice(k, TEXTS).to_pylist()]
+                found = [d.astype("<u4") for d in document_ids(some, vocabulary)]
+                terms = np.concatenate([np.unique(d) for d in found])
+                count = np.bincount(terms, minlength=len(df))
+                count[: len(df)] += df
+                df, n = count, len(found)
+                yield pa.record_batch(
+                    {
+                        "doc_id": every.slice(k, n),
+                        "number": np.arange(number, number + n),
+                        "size": pa.array([len(d) for d in found], pa.int64()),
+                        "ids": pa.array([d.tobytes() for d in found], pa.binary()),
+                        "terms": pa.nulls(n, pa.list_(pa.int64())),
+                        "df": pa.nulls(n, pa.list_(pa.int64())),
+                    }
+                )
+                number += n
+        terms = np.flatnonzero(df)
+        if len(terms):
+            counted = {"terms": terms.tolist(), "df": df[terms].tolist()}
+            none = {"doc_id": None, "number": None, "size": None, "ids": None}
+            yield pa.RecordBatch.from_pylist([none | counted], TOKENISED)
+
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    schema = "doc_id long, number long, size long, ids binary, terms array<long>, df array<long>"
+    return materialise(rows.mapInArrow(run, schema), "packing-ids")
+
+
+def corpus_counts(tokenised: DataFrame) -> Corpus:
+    """The counts of the whole corpus; as many terms as the vocabulary has come to the driver."""
+    n, tokens = tokenised.filter("ids is not null").agg(F.count("*"), F.sum("size")).first()
+    each = tokenised.filter("df is not null").select(F.explode(F.arrays_zip("terms", "df")).alias("x")).select("x.*")
+    found = each.groupBy("terms").agg(F.sum("df").alias("df")).toArrow()
+    terms, df = (np.asarray(found.column(c).to_numpy(), np.int64) for c in ("terms", "df"))
+    return Corpus(n, (tokens or 0) / max(n, 1), terms, df)
+
+
 def packed(docs: DataFrame, vocabulary: str, text: str = "text", id: str = "doc_id") -> DataFrame:
     """The pieces of all documents; ``vocabulary`` is the path of a byte-level BPE file."""
+    tokenised = _tokenised(docs, vocabulary, text, id)
+    corpus = corpus_counts(tokenised)
+
+    @F.arrow_udf("long")
+    def key(ids: pa.Array) -> pa.Array:
+        out = [np.zeros(0, np.int64)]
+        for k in range(0, len(ids), TEXTS):
+            out.append(corpus.keys([np.frombuffer(x, "<u4") for x in ids.slice(k, TEXTS).to_pylist()]))
+        return pa.array(np.concatenate(out))
 
     def run(batches):
         partition = TaskContext.get().partitionId()
         base, ids, shard, tokens = partition << 32, [], [], 0
         for batch in batches:
-            every, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for k in range(0, batch.num_rows, TEXTS):
-                some = [t or "" for t in texts.slice(k, TEXTS).to_pylist()]
-                for doc_id, doc in zip(every[k : k + TEXTS], document_ids(some, vocabulary), strict=True):
-                    ids.append(doc_id)
-                    shard.append(doc)
-                    tokens += len(doc)
-                    if len(shard) >= SHARD_DOCS or tokens >= SHARD_TOKENS:
-                        out, used = _rows(ids, shard, base)
-                        yield out
-                        base, ids, shard, tokens = base + used, [], [], 0
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+                doc = np.frombuffer(data.as_py(), "<u4")
+                ids.append(doc_id)
+                shard.append(doc)
+                tokens += len(doc)
+                if len(shard) >= SHARD_DOCS or tokens >= SHARD_TOKENS:
+                    out, used = _rows(ids, shard, base, corpus)
+                    yield out
+                    base, ids, shard, tokens = base + used, [], [], 0
         if shard:
-            yield _rows(ids, shard, base)[0]
+            yield _rows(ids, shard, base, corpus)[0]
 
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    rows = tokenised.filter("ids is not null").select("doc_id", "number", "ids").withColumn("key", key("ids"))
+    # the number deals out documents of one key and id
+    near = rows.repartitionByRange("key", "doc_id", "number").sortWithinPartitions("key", "doc_id", "number")
+    return near.select("doc_id", "ids").mapInArrow(run, SCHEMA)
 
 
-def _rows(ids: list, docs: list[np.ndarray], base: int) -> tuple[pa.RecordBatch, int]:
-    pieces = pack(docs)
+def _rows(ids: list, docs: list[np.ndarray], base: int, corpus: Corpus) -> tuple[pa.RecordBatch, int]:
+    pieces = pack(docs, corpus)
     doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
     crc = [zlib.crc32(docs[d][s : s + n].astype("<u4")) for d, s, n, _, _ in pieces]
     out = pa.record_batch(
