@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentspark.llm.catalog import query, table
+from sentspark.operators.order import with_ordinals
 from sentspark.session import ship_package
+from sentspark.storage import materialise
 
 START, MIDDLE, END = "<|", "|>\n", "<|end|>\n"
 LEARNT = "assistant"
@@ -40,12 +42,37 @@ def replaced_replies(talks: DataFrame) -> DataFrame:
     ``conv_id`` names the pair. A conversation without a reply, or whose successor (by id)
     has none, makes no pair.
     """
-    at = F.array_max(F.filter(F.transform("turns", lambda x, i: F.when(x["role"] == LEARNT, i)), lambda i: i.isNotNull()))
-    ended = talks.withColumn("last", at).filter("last is not null")
+    ended = _ended(talks)
     reply = F.get("turns", F.col("last"))["text"]
     next_reply = ended.select((F.col("conv_id") - 1).alias("conv_id"), reply.alias("other"))
+    return _pairs(ended, next_reply)
+
+
+def next_replies(talks: DataFrame) -> DataFrame:
+    """``replaced_replies`` with the next conversation that has a reply, in the order of ids.
+
+    The first one follows the last, so every conversation with a reply makes a pair, unless
+    it is the only one. Replies are numbered in range partitions, without a window over all.
+    """
+    ended = _ended(talks)
+    replies = with_ordinals(ended.select("conv_id", F.get("turns", F.col("last"))["text"].alias("other")), ["conv_id"])
+    replies = materialise(replies, "preference-replies")
+    n = replies.count()
+    if n < 2:
+        return _pairs(ended.limit(0), replies.select("conv_id", "other"))
+    before = replies.select(F.pmod(F.col("pos") - 1, F.lit(n)).alias("pos"), "other")
+    return _pairs(ended, replies.select("conv_id", "pos").join(before, "pos").select("conv_id", "other"))
+
+
+def _ended(talks: DataFrame) -> DataFrame:
+    """Conversations with a reply, and the place of the last one."""
+    at = F.array_max(F.filter(F.transform("turns", lambda x, i: F.when(x["role"] == LEARNT, i)), lambda i: i.isNotNull()))
+    return talks.withColumn("last", at).filter("last is not null")
+
+
+def _pairs(ended: DataFrame, replies: DataFrame) -> DataFrame:
     other = F.array(_turn(F.lit(LEARNT), F.col("other")))
-    return ended.join(next_reply, "conv_id").select(
+    return ended.join(replies, "conv_id").select(
         "conv_id",
         F.slice("turns", F.lit(1), F.col("last") + 1).alias("chosen"),
         F.concat(F.slice("turns", F.lit(1), F.col("last")), other).alias("rejected"),
