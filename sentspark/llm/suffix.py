@@ -281,6 +281,10 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     def trimmed(texts: pa.Array, ranges: pa.Array) -> pa.Array:
         out = []
         for t, r in zip(texts.to_pylist(), ranges.to_pylist(), strict=True):
+            # also called for rows that nothing is cut from
+            if t is None or r is None:
+                out.append(t)
+                continue
             data = t.encode()
             out.append(_kept(data, cut_spans(r, len(data))).decode("utf-8", "ignore"))
         return pa.array(out, pa.string())
