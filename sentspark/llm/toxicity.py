@@ -98,7 +98,8 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[float, DataFram
     chosen = sure.withColumn("toxic", F.lit(True)).union(some.withColumn("toxic", F.lit(False)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _body())
     # at most POSITIVES + UNLABELLED rows of two columns
-    return prior, _word_sets(texts.join(F.broadcast(chosen), "doc_id").select("toxic", "data"))
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("toxic", "doc_id").agg(F.min("data").alias("data"))
+    return prior, _word_sets(one.select("toxic", "data"))
 
 
 def _features(sets: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
