@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    from sentspark.llm import anchors, bpe, codes, jaccard, licenses, packing, personal, preference, quality, suffix, topk, toxicity  # noqa: F401
+    from sentspark.llm import alignment, anchors, bpe, codes, jaccard, licenses, packing, personal, preference, quality, suffix, topk, toxicity  # noqa: F401
