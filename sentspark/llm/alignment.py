@@ -23,6 +23,7 @@ nothing, an empty table gives no rows. Special tokens' strings inside texts are
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -32,19 +33,19 @@ from pyspark.sql import functions as F
 
 from sentspark.llm.catalog import query, table
 from sentspark.llm.packing import _encoder, byte_alphabet, byte_vocabulary
-from sentspark.llm.pretoken import CHARS, Cache, blocks, code_points, encoded
-from sentspark.llm.rolling import numbers, planes, ramp
+from sentspark.llm.pretoken import CHARS, REMEMBERED, Cache, blocks, code_points, encoded
+from sentspark.llm.rolling import Sums, mix, numbers, planes, ramp
 from sentspark.session import ship_package
 from sentspark.storage import materialise
 
 #: Bytes of text aligned together, and bytes after which a lane of a long document may end.
-BLOCK, LANE = 8 << 20, 512
+BLOCK, LANE = 2 << 20, 512
 #: Bytes of a packed number of a pair within its block, and of a packed multiplicity.
 _PLACE, _TIMES = 4, 4
 
 _BORDER = 0x110000
 _pieces: dict[str, Pieces] = {}
-_letters: dict[str, Tokens] = {}
+_letters: dict[str, tuple[Tokens, Words]] = {}
 
 
 class Tokens:
@@ -55,10 +56,11 @@ class Tokens:
         self.first = np.cumsum(self.size) - self.size
         self.flat = np.frombuffer(b"".join(table), np.uint8)
         written = [str(i).encode() for i in range(len(table))]
-        self.digits = np.zeros((len(table), max(map(len, written), default=1)), np.uint8)
-        for i, w in enumerate(written):
-            self.digits[i, : len(w)] = np.frombuffer(w, np.uint8)
         self.width = np.array([len(w) for w in written])
+        if self.width.max(initial=0) > 7:
+            raise ValueError("ids of more than seven digits")
+        # the digits are the low bytes of a number, with room for a sign after them
+        self.digits = np.array([int.from_bytes(w, "little") for w in written], np.uint64)
 
     def __len__(self) -> int:
         return len(self.size)
@@ -68,19 +70,46 @@ class Tokens:
         size = self.size[ids]
         return self.flat[np.repeat(self.first[ids], size) + ramp(size)]
 
+    def written(self, ids: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """The decimal form of every id with a sign after it, as eight bytes filled up with zeros."""
+        return self.digits[ids] + (after.astype(np.uint64) << (8 * self.width[ids]).astype(np.uint64))
 
-def byte_tokens(path: str) -> Tokens:
-    """Byte-level decoded entries of the vocabulary file."""
-    if path not in _letters:
-        import json
 
+class Words(Cache):
+    """A cache that first looks into a table by the leading bits of a word's hash."""
+
+    BITS = 20
+
+    def clear(self) -> None:
+        super().clear()
+        self.seen = np.zeros(1 << self.BITS, np.uint64)
+        self.entry = np.zeros(1 << self.BITS, np.int64)
+
+    def numbers(self, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if not len(start):
+            return np.zeros(0, np.int64)
+        if len(self.keys) > REMEMBERED:
+            self.clear()
+        keys = Sums(mix(cp.astype(np.uint64) + np.uint64(1))).spans(start, end)
+        slot = (keys >> np.uint64(64 - self.BITS)).astype(np.int64)
+        out = self.entry[slot]
+        other = np.flatnonzero(self.seen[slot] != keys)
+        if len(other):
+            out[other] = super().numbers(cp, start[other], end[other])
+            self.seen[slot[other]], self.entry[slot[other]] = keys[other], out[other]
+        return out
+
+
+def byte_tokens(path: str) -> tuple[Tokens, Words]:
+    """Byte-level decoded entries of the vocabulary file, and the worker's encoded words."""
+    if path not in _letters:
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         letters = byte_alphabet()
         table = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             table[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-        _letters[path] = Tokens(table)
+        _letters[path] = Tokens(table), Words(_encoder(path)[0].compute)
     return _letters[path]
 
 
@@ -105,7 +134,7 @@ class Pieces:
             for i, p in enumerate(names)
         ]
         self.tokens = Tokens(table)
-        self.cache = Cache(self._word)
+        self.cache = Words(self._word)
 
     def _word(self, word: str) -> list[int]:
         # the model writes the first space itself, but none for an empty text
@@ -188,17 +217,12 @@ class Block:
     def __init__(self, texts: list[str], path_a: str, path_b: str):
         n = len(texts)
         asked = [" " + t for t in texts]
-        known_a, known_b = byte_tokens(path_a), pieces(path_b)
-        self.tokens_a, self.tokens_b = known_a, known_b.tokens
-        a = [x.astype(np.int64) for x in encoded(asked, _encoder(path_a)[0], True, {})]
+        (self.tokens_a, words), known_b = byte_tokens(path_a), pieces(path_b)
+        self.tokens_b = known_b.tokens
+        a = [x.astype(np.int64) for x in encoded(asked, words, True, {})]
         b = [x.astype(np.int64) for x in known_b.encode(asked)]
+        self._drop_unlike(asked, a, b)
         none = np.zeros(0, np.int64)
-        for k, text in enumerate(asked):
-            whole = np.frombuffer(text.encode(), np.uint8)
-            if len(text) == 1 or not (
-                np.array_equal(self.tokens_a.joined(a[k]), whole) and np.array_equal(self.tokens_b.joined(b[k]), whole)
-            ):
-                a[k] = b[k] = none
         self.n_a, self.n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
         self.a, self.b = (np.concatenate([none, *side]) for side in (a, b))
         self.first_a, self.first_b = (np.r_[0, np.cumsum(m)] for m in (self.n_a, self.n_b))
@@ -208,6 +232,23 @@ class Block:
         self.n_links = np.bincount(self.doc_a[self.link_a], minlength=n)
         self.n_groups = np.bincount(self.doc_a[self.cut_a], minlength=n)
 
+    def _drop_unlike(self, texts: list[str], a: list[np.ndarray], b: list[np.ndarray]) -> None:
+        """Take the tokens from texts that are only the added space, or whose tokens have other bytes."""
+        whole = [t.encode() for t in texts]
+        size = np.array([len(w) for w in whole])
+        unlike = size == 1
+        for tokens, side in ((self.tokens_a, a), (self.tokens_b, b)):
+            owner = np.repeat(np.arange(len(side)), [len(x) for x in side])
+            ids = np.concatenate([np.zeros(0, np.int64), *side])
+            unlike |= np.bincount(owner, tokens.size[ids], len(side)).astype(np.int64) != size
+            flat = tokens.joined(ids[~unlike[owner]])
+            same = np.frombuffer(b"".join(w for w, x in zip(whole, unlike, strict=True) if not x), np.uint8)
+            doc = np.flatnonzero(~unlike)
+            differ = np.flatnonzero(flat != same)
+            unlike[doc[np.unique(np.searchsorted(np.cumsum(size[doc]), differ, "right"))]] = True
+        for k in np.flatnonzero(unlike):
+            a[k] = b[k] = np.zeros(0, np.int64)
+
     def _lanes(self):
         """First A and B token of every lane, and its last A token plus one."""
         if not len(self.a):
@@ -225,21 +266,18 @@ class Block:
     def group_texts(self) -> list[bytes]:
         """``a1,a2|b1;a3|b2,b3`` for every document."""
         n_a, n_b = len(self.a), len(self.b)
-        group_a = np.searchsorted(self.cut_a, np.arange(n_a))
-        group_b = np.searchsorted(self.cut_b, np.arange(n_b))
+        group_a, group_b = _groups(self.cut_a, n_a), _groups(self.cut_b, n_b)
         # all A tokens of a group come before its B tokens
         before_b = np.r_[0, self.cut_b + 1]
         at_a = np.arange(n_a) + before_b[group_a]
         at_b = np.arange(n_b) + self.cut_a[group_b] + 1 if n_b else np.zeros(0, np.int64)
-        digits = np.zeros((n_a + n_b, max(self.tokens_a.digits.shape[1], self.tokens_b.digits.shape[1]) + 1), np.uint8)
-        width = np.zeros(n_a + n_b, np.int64)
-        after = np.full(n_a + n_b, ord(","), np.uint8)
-        for at, tokens, ids in ((at_a, self.tokens_a, self.a), (at_b, self.tokens_b, self.b)):
-            digits[at, : tokens.digits.shape[1]] = tokens.digits[ids]
-            width[at] = tokens.width[ids]
-        after[at_a[self.cut_a]], after[at_b[self.cut_b]] = ord("|"), ord(";")
-        digits[np.arange(len(width)), width] = after
-        flat = digits[np.arange(digits.shape[1]) <= width[:, None]].tobytes()
+        after_a, after_b = np.full(n_a, ord(","), np.uint8), np.full(n_b, ord(","), np.uint8)
+        after_a[self.cut_a], after_b[self.cut_b] = ord("|"), ord(";")
+        written, width = np.empty(n_a + n_b, np.uint64), np.empty(n_a + n_b, np.int64)
+        written[at_a], written[at_b] = self.tokens_a.written(self.a, after_a), self.tokens_b.written(self.b, after_b)
+        width[at_a], width[at_b] = self.tokens_a.width[self.a], self.tokens_b.width[self.b]
+        spread = written.astype("<u8").view(np.uint8)
+        flat = spread[spread != 0].tobytes()
         ends = np.r_[0, np.cumsum(width + 1)][self.first_a + self.first_b]
         return [flat[x : max(y - 1, x)] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
@@ -267,6 +305,13 @@ def _blocks_of(batches):
         yield ids, texts
 
 
+def _groups(last: np.ndarray, n: int) -> np.ndarray:
+    """The group of each of ``n`` tokens, where ``last`` are the last ones of the groups."""
+    first = np.zeros(n + 1, np.int64)
+    first[last + 1] = 1
+    return np.cumsum(first[:-1])
+
+
 _DOC = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
 
