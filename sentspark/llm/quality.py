@@ -9,14 +9,17 @@ its row. The rest works on a narrow table of integers, one row per document:
 * Documents of one language and source form a group. Sources with fewer than ``MIN_GROUP``
   documents that pass the base rules form one group per language, and languages that are
   still smaller form one group together.
-* Each group's minimum-covariance-determinant estimate starts from the medians and takes
-  ``STEPS`` concentration steps: mean and covariance of the three quarters of documents
-  that are nearest, then new distances.
+* Each group's minimum-covariance-determinant estimate: from three starts (the quartiles of
+  every statistic), ``STEPS`` concentration steps take mean and covariance of the nearest half
+  of the documents; the estimate of the least determinant is taken. Junk of nearly half a
+  group does not move it.
 * A document is rejected when its squared Mahalanobis distance exceeds ``CUTOFF``.
 
-``quality_filter``, the stage of the pipeline, estimates by ``robust_estimates`` instead,
-which withstands junk of nearly half a group; the steps above, which the SQL of the query
-fixes, withstand a quarter.
+A step is one statement over the narrow table: documents are counted and summed by group,
+start and rounded distance, so what leaves a task is bounded by the number of distances
+(``FAR``), however large a group is. Buckets are added up from the nearest until half of the
+group is reached; the bucket that passes half counts with the share that is missing, so
+half counts however many copies lie there.
 
 Sums are sums of integers, so results do not depend on the partitioning. Covariances get
 ``SPREAD`` squared on the diagonal: a statistic that is nearly constant in a group does
@@ -37,17 +40,18 @@ from sentspark.session import ship_package
 from sentspark.storage import materialise
 
 MIN_GROUP = 50
-STEPS = 3
+#: Concentration steps from each start; later steps of a stable estimate change nothing.
+STEPS = 6
+#: Quantiles of the statistics at which the starts lie.
+STARTS = (0.5, 0.25, 0.75)
 #: 0.9999 quantile of the chi-squared distribution with 4 degrees of freedom.
 CUTOFF = 23.5127
-#: Makes the covariance of the nearest three quarters consistent for a normal vector in 4 dimensions.
-CONSISTENCY = 1.4866
-#: The same for the nearest half.
-HALF_CONSISTENCY = 2.1090
-#: Quantiles of the statistics from which the estimate of the highest breakdown starts, and most steps of one start.
-STARTS, HALF_STEPS = (0.5, 0.25, 0.75), 30
+#: Makes the covariance of the nearest half consistent for a normal vector in 4 dimensions.
+CONSISTENCY = 2.1090
 #: Least spread of each statistic, in thousandths.
-SPREAD = (50, 50, 150, 150)
+SPREAD = (50, 50, 100, 100)
+#: Sixteenths of a squared distance from which documents count as equally far.
+FAR = 16000
 
 _GAP = "[\\x20\\x09-\\x0D]+"
 _GAPS = " \t\n\x0b\x0c\r"
@@ -89,8 +93,9 @@ def _repeated(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(_let(hashes, ordered))
 
 
-def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct ``_counts`` of the document's counts."""
+def with_counts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """``row`` (a struct of the columns ``keep``), ``lang`` and ``source`` without nulls, and
+    the struct ``counts`` of every document."""
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(t, _GAP), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(_GAPS)) != "")
@@ -106,7 +111,8 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             long(F.size(x["l"])).alias("n_lines"),
         ),
     )
-    return docs.withColumn("_counts", counts)
+    row = F.struct(*(F.col(f"`{c}`") for c in keep))
+    return docs.select(row.alias("row"), *(_name(c).alias(c) for c in ("lang", "source")), counts.alias("counts"))
 
 
 # The statements below are written in SQL that Spark and DuckDB read alike; the oracle is
@@ -138,188 +144,140 @@ from (select lang, source, count(*) as n from vectors group by lang, source) x""
 
 _MEMBERS = """select g.grp, v.* from vectors v join groups g on v.lang = g.lang and v.source = g.source"""
 
-_START = (
-    "select grp, "
-    + ", ".join(f"cast(percentile_disc(0.5) within group (order by x{i}) as double) as m{i}" for i in _AXES)
-    + ", "
+_PAIRS = [(i, j) for i in _AXES for j in range(i + 1)]
+
+_QUANTILES = (
+    "select grp, count(*) as size, "
     + ", ".join(
-        f"{f'cast({SPREAD[i]} as double)' if i == j else 'cast(0 as double)'} as l{i}{j}" for i in _AXES for j in range(i + 1)
+        f"cast(percentile_disc({q}) within group (order by x{i}) as double) as q{k}{i}"
+        for k, q in enumerate(STARTS)
+        for i in _AXES
     )
     + " from members group by grp"
 )
 
+#: An estimate has a mean ``m`` and the inverse ``k`` of the covariance's Cholesky factor.
+_START = " union all ".join(
+    f"select grp, size, {k} as start, "
+    + ", ".join(f"q{k}{i} as m{i}" for i in _AXES)
+    + ", "
+    + ", ".join(f"cast({1 / SPREAD[i] if i == j else 0} as double) as k{i}{j}" for i, j in _PAIRS)
+    + ", cast(0 as double) as det from quantiles"
+    for k in range(len(STARTS))
+)
+
 
 def _distance(x: str = "v", p: str = "p") -> str:
-    """Squared distance by forward substitution through the Cholesky factor."""
-    parts = []
-    for i in _AXES:
-        rest = "".join(f" - {p}.l{i}{j} * ({parts[j]})" for j in range(i))
-        parts.append(f"(({x}.x{i} - {p}.m{i}{rest}) / {p}.l{i}{i})")
-    return " + ".join(f"{z} * {z}" for z in parts)
+    """Squared Mahalanobis distance."""
+    terms = [" + ".join(f"{p}.k{i}{j} * ({x}.x{j} - {p}.m{j})" for j in range(i + 1)) for i in _AXES]
+    return " + ".join(f"({z}) * ({z})" for z in terms)
 
 
-_NEAR = f"cast(floor(least(16 * ({_distance()}), 1000000.0)) as bigint)"
+_SUMMED = {f"s{i}": f"x{i}" for i in _AXES} | {f"s{i}{j}": f"x{i} * x{j}" for i, j in _PAIRS}
 
-_RADIUS = f"""
-select p.grp, percentile_disc(0.75) within group (order by {_NEAR}) as radius
-from members v join params p on v.grp = p.grp group by p.grp"""
-
-_SUMS = (
-    "select p.grp, cast(count(*) as double) as n, "
-    + ", ".join(f"cast(sum(v.x{i}) as double) as s{i}" for i in _AXES)
-    + ", "
-    + ", ".join(f"cast(sum(v.x{i} * v.x{j}) as double) as s{i}{j}" for i in _AXES for j in range(i + 1))
-    + f" from members v join params p on v.grp = p.grp join radii r on v.grp = r.grp where {_NEAR} <= r.radius group by p.grp"
+#: Documents of every group, start and distance, with their sums.
+_BUCKETS = (
+    "select grp, start, size, near, count(*) as n, "
+    + ", ".join(f"sum({x}) as {s}" for s, x in _SUMMED.items())
+    + f" from (select v.*, p.start, p.size, cast(floor(least(16 * ({_distance()}), {FAR}.0)) as bigint) as near"
+    + " from members v join params p on v.grp = p.grp) x group by grp, start, size, near"
 )
 
 
-def _factor(consistency: float = CONSISTENCY, keys: tuple[str, ...] = ("grp",)) -> str:
-    """From sums to means and the Cholesky factor, one entry a level."""
+def _step() -> str:
+    """From the buckets to the means and the inverse Cholesky factor, one entry a level."""
+    full, last = "before + n <= half", "before < half and before + n > half"
+    sums = (
+        "select grp, start, size, half, coalesce(max(case when " + last + " then (half - before) / n end), 0) as share, "
+        + ", ".join(
+            f"cast(sum(case when {full} then {s} else 0 end) as double) as a{s}, "
+            f"cast(sum(case when {last} then {s} else 0 end) as double) as b{s}"
+            for s in _SUMMED
+        )
+        + " from (select *, size / cast(2 as double) as half, cast(sum(n) over (partition by grp, start order by near) - n"
+        + " as double) as before from buckets) x group by grp, start, size, half"
+    )
+    means = (
+        "select grp, start, size, "
+        + ", ".join(f"(a{s} + share * b{s}) / half as {'m' + s[1:] if len(s) == 2 else s}" for s in _SUMMED)
+        + f" from ({sums}) x"
+    )
     inner = (
-        f"select {', '.join(keys)}, "
-        + ", ".join(f"s{i} / n as m{i}" for i in _AXES)
+        "select grp, start, size, "
+        + ", ".join(f"m{i}" for i in _AXES)
         + ", "
         + ", ".join(
-            f"(s{i}{j} / n - (s{i} / n) * (s{j} / n)) * {consistency}" + (f" + {SPREAD[i] ** 2}" if i == j else "") + f" as c{i}{j}"
-            for i in _AXES
-            for j in range(i + 1)
+            f"(s{i}{j} - m{i} * m{j}) * {CONSISTENCY}" + (f" + {SPREAD[i] ** 2}" if i == j else "") + f" as c{i}{j}"
+            for i, j in _PAIRS
         )
-        + " from sums"
+        + f" from ({means}) x"
     )
+    for i, j in _PAIRS:
+        less = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        entry = f"sqrt(c{i}{i}{less})" if i == j else f"(c{i}{j}{less}) / l{j}{j}"
+        inner = f"select *, {entry} as l{i}{j} from ({inner}) f{i}{j}"
     for i in _AXES:
-        for j in range(i + 1):
-            less = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
-            entry = f"sqrt(c{i}{i}{less})" if i == j else f"(c{i}{j}{less}) / l{j}{j}"
-            inner = f"select *, {entry} as l{i}{j} from ({inner}) f{i}{j}"
-    keep = [*keys, *(f"m{i}" for i in _AXES), *(f"l{i}{j}" for i in _AXES for j in range(i + 1))]
-    return f"select {', '.join(keep)} from ({inner}) f"
-
-
-_FACTOR = _factor()
-
-# The estimate with the highest breakdown. Documents at the radius share what is missing
-# to half of the group, so that half counts however many copies lie there.
-
-_SUMMED = {f"s{i}": f"x{i}" for i in _AXES} | {f"s{i}{j}": f"x{i} * x{j}" for i in _AXES for j in range(i + 1)}
-
-_HALF_RADII = f"""
-select p.grp, p.start, count(*) as size, percentile_disc(0.5) within group (order by {_NEAR}) as radius
-from {{members}} v join {{params}} p on v.grp = p.grp group by p.grp, p.start"""
+        entries = [
+            f"1 / l{i}{i} as k{i}{j}" if i == j else f"-({' + '.join(f'l{i}{k} * k{k}{j}' for k in range(j, i))}) / l{i}{i} as k{i}{j}"
+            for j in range(i + 1)
+        ]
+        inner = f"select *, {', '.join(entries)} from ({inner}) k{i}"
+    keep = ["grp", "size", "start", *(f"m{i}" for i in _AXES), *(f"k{i}{j}" for i, j in _PAIRS)]
+    return f"select {', '.join(keep)}, {' * '.join(f'l{i}{i}' for i in _AXES)} as det from ({inner}) f"
 
-_HALF_SUMS = (
-    "select grp, start, n, "
-    + ", ".join(f"cast(a{s} as double) + share * b{s} as {s}" for s in _SUMMED)
-    + " from (select *, size / 2D as n, (size / 2D - inside) / tied as share from (select grp, start, any_value(size) as size, "
-    + "sum(case when near < radius then 1 else 0 end) as inside, sum(case when near = radius then 1 else 0 end) as tied, "
-    + ", ".join(
-        f"sum(case when near < radius then {x} else 0 end) as a{s}, sum(case when near = radius then {x} else 0 end) as b{s}"
-        for s, x in _SUMMED.items()
-    )
-    + f" from (select p.start, r.size, r.radius, v.*, {_NEAR} as near from {{members}} v join {{params}} p on v.grp = p.grp"
-    + " join {radii} r on p.grp = r.grp and p.start = r.start) x where near <= radius group by grp, start) y) z"
-)
 
-_HALF_FACTOR = _factor(HALF_CONSISTENCY, ("grp", "start"))
+_STEP = _step()
 
-_DETERMINANT = " + ".join(f"ln(l{i}{i})" for i in _AXES)
+_LEAST = "select * from (select *, row_number() over (partition by grp order by det, start) as place from params) x where place = 1"
 
 
 def _name(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("\x01"))
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({c: _name(c) for c in ("lang", "source")})
+def _over(statement: str, **tables: DataFrame) -> DataFrame:
+    """A statement over DataFrames in place of the tables it names."""
+    spark = next(iter(tables.values())).sparkSession
+    for name in tables:
+        statement = statement.replace(f"from {name}", f"from {{{name}}}").replace(f"join {name}", f"join {{{name}}}")
+    return spark.sql(statement, **tables)
 
 
 def estimates(counts: DataFrame) -> DataFrame:
-    """Means and Cholesky factor of every (lang, source) among ``counts``.
+    """Mean and inverse Cholesky factor of every (lang, source) among ``counts``.
 
     ``counts`` has ``lang`` and ``source`` without nulls and the counts of each document.
     """
-    spark = counts.sparkSession
-    vectors = spark.sql(_VECTORS.replace("from counts", "from {counts}"), counts=counts)
-    groups = materialise(spark.sql(_GROUPS.replace("from vectors", "from {vectors}"), vectors=vectors), "quality-groups")
-    members = materialise(
-        spark.sql(
-            _MEMBERS.replace("vectors v", "{vectors} v").replace("groups g", "{groups} g"), vectors=vectors, groups=groups
-        ),
-        "quality-members",
-    )
-    params = materialise(spark.sql(_START.replace("from members", "from {members}"), members=members), "quality-start")
+    vectors = _over(_VECTORS, counts=counts)
+    groups = materialise(_over(_GROUPS, vectors=vectors), "quality-groups")
+    members = materialise(_over(_MEMBERS, vectors=vectors, groups=groups), "quality-members")
+    params = _over(_START, quantiles=materialise(_over(_QUANTILES, members=members), "quality-quantiles"))
     for _ in range(STEPS):
-        radii = spark.sql(
-            _RADIUS.replace("members v", "{members} v").replace("params p", "{params} p"), members=members, params=params
-        )
-        sums = spark.sql(
-            _SUMS.replace("members v", "{members} v").replace("params p", "{params} p").replace("radii r", "{radii} r"),
-            members=members,
-            params=params,
-            radii=materialise(radii, "quality-radii"),
-        )
-        params = materialise(spark.sql(_FACTOR.replace("from sums", "from {sums}"), sums=sums), "quality-params")
+        params = materialise(params, "quality-params")
+        params = _over(_STEP, buckets=_over(_BUCKETS, members=members, params=params))
     # written, so that its size is known where it is joined
-    return materialise(groups.join(params, "grp").drop("grp"), "quality-estimates")
-
+    return materialise(groups.join(_over(_LEAST, params=params), "grp").drop("grp", "size", "start", "place"), "quality-estimates")
 
-def robust_estimates(counts: DataFrame) -> DataFrame:
-    """``estimates`` that hold although nearly half of a group is junk.
 
-    Each start concentrates on the nearest half until its estimate is stable; the estimate
-    of the least determinant is taken.
-    """
-    spark = counts.sparkSession
-    vectors = spark.sql(_VECTORS.replace("from counts", "from {counts}"), counts=counts)
-    groups = materialise(spark.sql(_GROUPS.replace("from vectors", "from {vectors}"), vectors=vectors), "quality-groups")
-    members = materialise(
-        spark.sql(
-            _MEMBERS.replace("vectors v", "{vectors} v").replace("groups g", "{groups} g"), vectors=vectors, groups=groups
-        ),
-        "quality-members",
-    )
-    params = None
-    for k, at in enumerate(STARTS):
-        start = _START.replace("from members", "from {members}").replace("percentile_disc(0.5)", f"percentile_disc({at})")
-        start = spark.sql(start, members=members).withColumn("start", F.lit(k))
-        params = start if params is None else params.union(start)
-    params, stable = materialise(params, "quality-start"), []
-    for _ in range(HALF_STEPS):
-        radii = materialise(spark.sql(_HALF_RADII, members=members, params=params), "quality-radii")
-        sums = spark.sql(_HALF_SUMS, members=members, params=params, radii=radii)
-        new = spark.sql(_HALF_FACTOR.replace("from sums", "from {sums}"), sums=sums)
-        old = params.select("grp", "start", F.struct(*new.columns[2:]).alias("old"))
-        new = new.join(old, ["grp", "start"]).withColumn("moved", F.struct(*new.columns[2:]) != F.col("old")).drop("old")
-        new = materialise(new, "quality-params")
-        stable.append(new.filter(~F.col("moved")).drop("moved"))
-        params = new.filter("moved").drop("moved")
-        if params.isEmpty():
-            break
-    for more in stable:
-        params = params.unionByName(more)
-    least = params.groupBy("grp").agg(F.min_by(F.struct(*params.columns[2:]), F.struct(F.expr(_DETERMINANT), "start")).alias("p"))
-    return materialise(groups.join(least, "grp").select("lang", "source", "p.*"), "quality-estimates")
-
-
-def judged(docs: DataFrame, params: DataFrame) -> DataFrame:
-    """``docs`` (with ``_counts``) with ``_base_failed`` and ``_kept``."""
-    named = docs.withColumns({f"_{c}": _name(c) for c in ("lang", "source")})
+def judged(counted: DataFrame) -> DataFrame:
+    """``row``, ``counts``, ``base_failed`` and ``kept`` of the documents of :func:`with_counts`."""
+    params = estimates(counted.select("lang", "source", "counts.*"))
     p = params.select(
-        F.struct(*(c for c in params.columns if c not in ("lang", "source"))).alias("_p"),
-        F.col("lang").alias("_lang"),
-        F.col("source").alias("_source"),
+        F.struct(*(c for c in params.columns if c not in ("lang", "source"))).alias("p"),
+        F.col("lang").alias("p_lang"),
+        F.col("source").alias("p_source"),
     )
-    joined = named.join(p, ["_lang", "_source"], "left")
-    counts = {c: F.col("_counts")[c] for c in _COUNTS}
-    failed = (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
+    joined = counted.join(p, (F.col("lang") == F.col("p_lang")) & (F.col("source") == F.col("p_source")), "left")
     vector = F.expr("named_struct(" + ", ".join(f"'x{i}', {_in_counts(v)}" for i, v in enumerate(_VECTOR)) + ")")
-    joined = joined.withColumn("_base_failed", failed).withColumn("_v", F.when(~failed, vector))
-    near = F.expr(f"{_distance('_v', '_p')} <= {CUTOFF}")
-    return joined.withColumn("_kept", ~F.col("_base_failed") & F.coalesce(near, F.lit(True))).drop("_lang", "_source", "_p", "_v")
+    joined = joined.withColumn("base_failed", F.expr(_in_counts(BASE_FAILED)))
+    joined = joined.withColumn("v", F.when(~F.col("base_failed"), vector))
+    near = F.coalesce(F.expr(f"{_distance()} <= {CUTOFF}"), F.lit(True))
+    return joined.select("row", "counts", "base_failed", (~F.col("base_failed") & near).alias("kept"))
 
 
 def _in_counts(expression: str) -> str:
     for c in _COUNTS:
-        expression = expression.replace(c, f"_counts.{c}")
+        expression = expression.replace(c, f"counts.{c}")
     return expression
 
 
@@ -328,21 +286,18 @@ def quality_filter(docs: DataFrame) -> DataFrame:
 
     The documents are written once with their counts, which cost more than the writing.
     """
-    counted = materialise(with_counts(docs), "quality-documents")
-    counts = _named(counted).select("lang", "source", "_counts.*")
-    return judged(counted, robust_estimates(counts)).filter("_kept").select(*(counted[c] for c in docs.columns))
+    counted = materialise(with_counts(docs, docs.columns), "quality-documents")
+    return judged(counted).filter("kept").select("row.*")
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """Counts and verdict of every document."""
-    narrow = with_counts(docs).select("doc_id", "lang", "source", "_counts")
-    counted = materialise(narrow, "quality-counts")
-    result = judged(counted, estimates(_named(counted).select("lang", "source", "_counts.*")))
+    result = judged(materialise(with_counts(docs, ["doc_id"]), "quality-counts"))
     return result.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        *(F.col("_counts")[c].alias(c) for c in _COUNTS[:5]),
-        F.col("_base_failed").alias("base_failed"),
-        F.col("_kept").alias("kept"),
+        F.col("row.doc_id").cast("long").alias("doc_id"),
+        *(F.col("counts")[c].alias(c) for c in _COUNTS[:5]),
+        "base_failed",
+        "kept",
     )
 
 
@@ -367,20 +322,20 @@ def _oracle() -> str:
         f"vectors as materialized ({_VECTORS})",
         f"groups as materialized ({_GROUPS})",
         f"members as materialized ({_MEMBERS})",
+        f"quantiles as materialized ({_QUANTILES})",
         f"params0 as materialized ({_START})",
     ]
     for k in range(STEPS):
         steps += [
-            f"radii{k} as materialized ({_RADIUS.replace('params p', f'params{k} p')})",
-            f"sums{k} as materialized ({_SUMS.replace('params p', f'params{k} p').replace('radii r', f'radii{k} r')})",
-            f"params{k + 1} as materialized ({_FACTOR.replace('from sums', f'from sums{k}')})",
+            f"buckets{k} as materialized ({_BUCKETS.replace('join params p', f'join params{k} p')})",
+            f"params{k + 1} as materialized ({_STEP.replace('from buckets', f'from buckets{k}')})",
         ]
     vectors = ", ".join(f"case when {BASE_FAILED} then null else {v} end as x{i}" for i, v in enumerate(_VECTOR))
-    return f"""with {', '.join(steps)}
+    return f"""with {', '.join(steps)}, least as ({_LEAST.replace('from params', f'from params{STEPS}')})
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {BASE_FAILED} as base_failed,
   not ({BASE_FAILED}) and coalesce({_distance()} <= {CUTOFF}, true) as kept
 from (select *, {vectors} from counts) v left join groups g on v.lang = g.lang and v.source = g.source
-left join params{STEPS} p on g.grp = p.grp"""
+left join least p on g.grp = p.grp"""
 
 
 @query("op10_quality_outliers", _oracle())
