@@ -24,8 +24,12 @@ WORD_SALT = 32
 # Words with more symbols are encoded one by one.
 LONG_WORD = 64
 # Fixed lengths of the lists a round of vocabulary learning brings to the driver.
-TOP_PAIRS = 1_000
+TOP_PAIRS = 2_000
 COUNTED_PAIRS = 300
+# Merges that a round decides from words on the driver: at least so many pairs, whose words
+# hold at most so many symbols (a bound, since a word counts once for every such pair).
+GATHERED_PAIRS = 32
+GATHERED_SYMBOLS = 1 << 20
 # Groups of merges between two rewrites of the word table.
 GROUPS_PER_TABLE = 16
 
@@ -139,21 +143,24 @@ def _as_arrays(merges: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarr
 
 
 def _count_pairs(words: DataFrame, pending: list) -> DataFrame:
+    """pair, freq, and symbols: at least the length of all words that hold the pair."""
+
     def count(batches):
         for flat, lengths, freq in _merged_words(batches, pending):
             if len(flat) < 2:
                 continue
             keys = _pair_keys(flat, lengths)
             inside = keys >= 0
+            _, size = _sum_by_key(keys[inside], np.repeat(lengths, lengths)[:-1][inside])
             keys, n = _sum_by_key(keys[inside], np.repeat(freq, lengths)[:-1][inside])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(n)], names=["pair", "freq"]
+                [pa.array(keys), pa.array(n), pa.array(size)], names=["pair", "freq", "symbols"]
             )
 
     return (
-        words.mapInArrow(count, "pair bigint, freq bigint")
+        words.mapInArrow(count, "pair bigint, freq bigint, symbols bigint")
         .groupBy("pair")
-        .agg(F.sum("freq").alias("freq"))
+        .agg(F.sum("freq").alias("freq"), F.sum("symbols").alias("symbols"))
     )
 
 
@@ -258,6 +265,98 @@ def _next_merges(
     return groups
 
 
+def _with_pairs(words: DataFrame, pending: list, pairs: np.ndarray, inside: bool) -> DataFrame:
+    """The words that hold one of the sorted ``pairs`` (or none of them), after the pending merges."""
+
+    def pick(batches):
+        for flat, lengths, freq in _merged_words(batches, pending):
+            if len(flat) < 2:
+                continue
+            _, known = _listed(_pair_keys(flat, lengths), pairs)
+            holds = R.sum_rows(np.append(known, False).astype(np.int64), lengths) > 0
+            keep = np.flatnonzero((holds == inside) & (lengths > 1))
+            values, n = R.take_rows(flat, lengths, keep)
+            yield pa.RecordBatch.from_arrays(
+                [R.list_array(values, n, pa.int32()), pa.array(freq[keep])], names=["ids", "freq"]
+            )
+
+    return words.mapInArrow(pick, WORDS_SCHEMA)
+
+
+def _gathered(ranking: list[tuple[int, int, int, int]]) -> int:
+    """How many of the first pairs have words that fit on the driver."""
+    sizes = np.cumsum([symbols for _, _, _, symbols in ranking])
+    return int(np.searchsorted(sizes, GATHERED_SYMBOLS, "right"))
+
+
+class _Neighbourhood:
+    """The first ranked pairs with all words that hold one of them: one-by-one merging, exactly.
+
+    The counts of ranked pairs are those of the corpus, and every word in which one of them
+    can change is here; a pair with a token made here occurs in these words only. So merging
+    goes on as long as the next pair comes before ``horizon``, the last ranked pair, which
+    no pair outside can do: its count only falls. A token that existed before ends it, since
+    its pairs occur elsewhere too.
+    """
+
+    def __init__(self, ranking: list[tuple[int, int, int]], complete: bool, words: list[list[int]], freq: list[int]):
+        self.words, self.freq = words, freq
+        self.count = {(l, r): n for l, r, n in ranking}
+        self.where: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for k, w in enumerate(words):
+            for p in zip(w, w[1:]):
+                if p in self.count:
+                    self.where[p].add(k)
+        self.heap = [(-n, l, r) for l, r, n in ranking]
+        heapq.heapify(self.heap)
+        self.horizon = None if complete else max(self.heap)
+
+    def merges(self, tokens: list[str], ids: dict[str, int], vocab_size: int, least: int):
+        """The merges in order, as (left, right, id); extends ``tokens`` and ``ids``."""
+        out, made = [], set()
+        while self.heap and len(tokens) < vocab_size:
+            key = heapq.heappop(self.heap)
+            n, pair = -key[0], key[1:]
+            if n != self.count[pair]:
+                continue
+            if n < least or (self.horizon is not None and key > self.horizon):
+                break
+            token = tokens[pair[0]] + tokens[pair[1]]
+            known = token in ids
+            if not known:
+                ids[token] = len(tokens)
+                tokens.append(token)
+                made.add(ids[token])
+            out.append((*pair, ids[token]))
+            self._merge(pair, ids[token], made)
+            if known:
+                break
+        return out
+
+    def _merge(self, pair: tuple[int, int], new: int, made: set[int]) -> None:
+        changed = set()
+        for k in list(self.where[pair]):
+            word, n = self.words[k], self.freq[k]
+            for p in zip(word, word[1:]):
+                if p in self.count:
+                    self.count[p] -= n
+                    changed.add(p)
+            merged, i = [], 0
+            while i < len(word):
+                hit = i + 1 < len(word) and word[i] == pair[0] and word[i + 1] == pair[1]
+                merged.append(new if hit else word[i])
+                i += 2 if hit else 1
+            self.words[k] = merged
+            for p in zip(merged, merged[1:]):
+                if p in self.count or p[0] in made or p[1] in made:
+                    self.count[p] = self.count.get(p, 0) + n
+                    self.where[p].add(k)
+                    changed.add(p)
+        for p in changed:
+            if self.count[p] > 0:
+                heapq.heappush(self.heap, (-self.count[p], *p))
+
+
 def learn_bpe(
     words: DataFrame, vocab_size: int, min_frequency: int = 0
 ) -> tuple[DataFrame, DataFrame]:
@@ -267,10 +366,12 @@ def learn_bpe(
     Ids: reserved tokens, then the characters by code point, then one token per merge.
     Each step merges the most frequent adjacent pair, ties by the smaller ids.
 
-    The words stay on the executors as id arrays. A round ranks the pairs, counts the
-    symbols next to the best ones, and merges at once as many as one-by-one merging
-    would have merged in the same order. Only the two rankings, of fixed length, come
-    to the driver.
+    The words stay on the executors as id arrays. A round ranks the pairs, and merges at once
+    as many as one-by-one merging would have merged in the same order. Frequent pairs are
+    decided from a second ranking, of the symbols next to them. Once the words of the next
+    pairs are few (``GATHERED_SYMBOLS``), these words come to the driver, where the exact
+    order is followed as far as they determine it, ties included. What comes to the driver
+    has a fixed size in either case.
     """
     spark = words.sparkSession
     chars = words.select(F.explode(F.split("word", "")).alias("c")).distinct()
@@ -283,16 +384,35 @@ def learn_bpe(
     n_tables, pending, merges = 1, [], []
 
     while len(tokens) < vocab_size:
-        ranking = [
-            (r.pair >> 32, r.pair & 0xFFFFFFFF, r.freq)
+        sized = [
+            (r.pair >> 32, r.pair & 0xFFFFFFFF, r.freq, r.symbols)
             for r in _count_pairs(table, pending)
             .filter(F.col("freq") >= max(1, min_frequency))
             .orderBy(F.desc("freq"), "pair")
             .limit(TOP_PAIRS)
             .collect()
         ]
-        if not ranking:
+        if not sized:
             break
+        ranking = [row[:3] for row in sized]
+        near = _gathered(sized)
+        if near >= min(GATHERED_PAIRS, len(sized)):
+            pairs = np.sort(np.array([(l << 32) | r for l, r, _ in ranking[:near]], np.int64))
+            found = _with_pairs(table, pending, pairs, True).toArrow()
+            complete = near == len(sized) < TOP_PAIRS
+            local = _Neighbourhood(ranking[:near], complete, found["ids"].to_pylist(), found["freq"].to_pylist())
+            merges += local.merges(tokens, ids, vocab_size, max(1, min_frequency))
+            longer = [(w, n) for w, n in zip(local.words, local.freq, strict=True) if len(w) > 1]
+            again = pa.table(
+                {
+                    "ids": pa.array([w for w, _ in longer], pa.list_(pa.int32())),
+                    "freq": pa.array([n for _, n in longer], pa.int64()),
+                }
+            )
+            rest = _with_pairs(table, pending, pairs, False).union(spark.createDataFrame(again))
+            table = materialise(rest, "bpe-words", slots[n_tables % 2])
+            n_tables, pending = n_tables + 1, []
+            continue
         ranked = np.array([(l << 32) | r for l, r, _ in ranking], np.int64)
         n_counted = min(COUNTED_PAIRS, len(ranking))
         neighbours = _count_neighbours(table, pending, ranked, n_counted).collect()

@@ -68,6 +68,31 @@ def test_merges_and_ids_agree_with_library(spark, seed, alphabet, n, size):
     assert [r.ids for r in rows] == [tok.encode(t).ids for t in unseen]
 
 
+@pytest.mark.parametrize("symbols, top", [(0, 1000), (300, 20), (3000, 40)])
+def test_merges_agree_whatever_the_driver_may_hold(spark, monkeypatch, symbols, top):
+    monkeypatch.setattr(V, "GATHERED_SYMBOLS", symbols)
+    monkeypatch.setattr(V, "GATHERED_PAIRS", 2)
+    monkeypatch.setattr(V, "TOP_PAIRS", top)
+    texts = random_texts(8, "abcde", 40)
+    model = json.loads(library(texts, 90).to_str())["model"]
+    ids, merges, _, _ = learnt(spark, texts, 90)
+    assert merges == [tuple(m) for m in model["merges"]]
+    assert ids == model["vocab"]
+
+
+def test_thousands_of_merges_agree_with_library(spark, monkeypatch):
+    rounds = []
+    count = V._count_pairs
+    monkeypatch.setattr(V, "_count_pairs", lambda *a: rounds.append(1) or count(*a))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = [r.text for r in docs.filter("text is not null").collect()]
+    model = json.loads(library(texts, 5300).to_str())["model"]
+    ids, merges, _, _ = learnt(spark, texts, 5300)
+    assert len(merges) >= 5000 and merges == [tuple(m) for m in model["merges"]]
+    assert ids == model["vocab"]
+    assert len(rounds) < 150
+
+
 def test_real_words_agree_with_library(spark, monkeypatch):
     monkeypatch.setattr(V, "GROUPS_PER_TABLE", 3)
     docs = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
