@@ -13,10 +13,10 @@ from sentspark.operators import vocab as V
 from sentspark.operators.losses import pair_views
 from sentspark.operators.pooling import mean_pool
 from sentspark.sources.lines import lines_from_documents, spread, training_lines
-from sentspark.storage import fingerprint, read_or_build, shared_dir
+from sentspark.storage import provenance, read_or_build, shared_dir
 
-# Size of the word-level vocabulary of the encoding and example queries.
-N_WORDS = 2000
+# Size of the word-level vocabulary of the encoding and example queries; with the reserved tokens 35,000.
+N_WORDS = 34_995
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +31,16 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_from_documents(documents(spark, sf_dir))
 
 
-def reusable(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A result that this application keeps in the shared folder while the documents stay
-    the same."""
+def reusable_path(spark: SparkSession, sf_dir: str, name: str) -> str:
     tag = hashlib.md5(f"{spark.sparkContext.applicationId}:{sf_dir}".encode()).hexdigest()[:12]
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{tag}"
-    return read_or_build(spark, path, build, fingerprint(table(spark, sf_dir, "documents")))
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{tag}"
+
+
+def reusable(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], **settings) -> DataFrame:
+    """A result that this application keeps in the shared folder while the documents and the
+    ``settings`` it is built with stay the same."""
+    stamp = provenance(table(spark, sf_dir, "documents"), **settings)
+    return read_or_build(spark, reusable_path(spark, sf_dir, name), build, stamp)
 
 
 def word_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,9 +48,14 @@ def word_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = training_lines(document_lines(spark, sf_dir)).select(
         "sent_id", T.words("text").alias("words")
     )
-    build = lambda: V.top_words(V.word_frequency(lines, F.col("words")), N_WORDS)
-    vocab = reusable(spark, sf_dir, "word-vocab", build)
-    return V.encode_words(lines, vocab).filter(F.size("ids") > 0)
+    return V.encode_words(lines, word_vocabulary(spark, sf_dir)).filter(F.size("ids") > 0)
+
+
+def word_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary of :func:`word_ids`."""
+    words = training_lines(document_lines(spark, sf_dir)).select(T.words("text").alias("words"))
+    build = lambda: V.top_words(V.word_frequency(words, F.col("words")), N_WORDS)
+    return reusable(spark, sf_dir, "word-vocab", build, n_words=N_WORDS)
 
 
 def joined(column: str, as_: str | None = None):

@@ -12,18 +12,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentspark.catalog import query
-from sentspark.catalog.inputs import LINES_SQL, document_lines, joined, reusable, words_sql
+from sentspark.catalog.inputs import (
+    LINES_SQL,
+    N_WORDS,
+    WORD_IDS_SQL,
+    document_lines,
+    joined,
+    joined_sql,
+    reusable,
+    reusable_path,
+    table,
+    trim_sql,
+    word_ids,
+    word_vocabulary,
+    words_sql,
+)
 from sentspark.catalog.lines import UNIQUE_SQL, split_sql
 from sentspark.operators import learn as Le
+from sentspark.functions import text as T
+from sentspark.operators import vocab as V
 from sentspark.operators.examples import make_batches
-from sentspark.plans.embed import embed_corpus, encode_lines, learn_vocabulary
+from sentspark.operators.pooling import encode
+from sentspark.plans.embed import embed_in_chunks, encode_lines, learn_vocabulary
 from sentspark.plans.prepare import prepare_corpus
 from sentspark.sources import lines as L
+from sentspark.storage import provenance
 
-VOCAB_SIZE = 300
-DIM = 32
-SPACE = {"dim": [16, 32], "step_size": (0.01, 0.05), "dropout": (0.05, 0.2)}
-TRIALS = 2
+# The size that the SQL of the vocabulary can follow, and the usual one.
+VOCAB_SIZE, FULL_SIZE = 300, 35_000
+DIM, EPOCHS, WINDOW, SEED = 32, 2, 5, 42
+CHUNK = 1_000
+SPACE = {"dim": [16, 32], "window": (2, 6, 2), "dropout": (0.02, 0.2, "log")}
+TRIALS = 8
 BATCH = 32
 
 
@@ -36,12 +56,12 @@ def train_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.training_lines(train).filter(F.col("text") != "")
 
 
-def vocabulary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def vocabulary(spark: SparkSession, sf_dir: str, size: int = VOCAB_SIZE) -> tuple[DataFrame, DataFrame]:
     """Learnt from the train lines once, and reused."""
     train = split_lines(spark, sf_dir).filter(F.col("split") == "train")
-    learn = functools.cache(lambda: learn_vocabulary(train, VOCAB_SIZE))
-    vocab = reusable(spark, sf_dir, f"vocab-{VOCAB_SIZE}", lambda: learn()[0])
-    return vocab, reusable(spark, sf_dir, f"merges-{VOCAB_SIZE}", lambda: learn()[1])
+    learn = functools.cache(lambda: learn_vocabulary(train, size))
+    vocab = reusable(spark, sf_dir, f"vocab-{size}", lambda: learn()[0], size=size)
+    return vocab, reusable(spark, sf_dir, f"merges-{size}", lambda: learn()[1], size=size)
 
 
 def train_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +70,9 @@ def train_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    build = lambda: Le.fit_encoder(train_ids(spark, sf_dir), DIM)
-    return reusable(spark, sf_dir, f"token-vectors-{VOCAB_SIZE}-{DIM}", build)
+    settings = {"dim": DIM, "epochs": EPOCHS, "window": WINDOW, "seed": SEED}
+    build = lambda: Le.fit_encoder(word_ids(spark, sf_dir), **settings)
+    return reusable(spark, sf_dir, "token-vectors", build, n_words=N_WORDS, **settings)
 
 
 # One row per distinct word (kind 0: ids in brackets, frequency among the train lines),
@@ -137,16 +158,124 @@ def _(spark, sf_dir):
     return encode_lines(lines, *vocabulary(spark, sf_dir)).select("sent_id", joined("ids"))
 
 
-@query("fit_encoder")
+@query("learn_bpe_full")
+def _(spark, sf_dir):
+    _, merges = vocabulary(spark, sf_dir, FULL_SIZE)
+    return merges.select("rank", "left", "right", "id")
+
+
+@query("bpe_encode_full")
+def _(spark, sf_dir):
+    lines = document_lines(spark, sf_dir).select("sent_id", "text")
+    return encode_lines(lines, *vocabulary(spark, sf_dir, FULL_SIZE)).select("sent_id", joined("ids"))
+
+
+def _epochs_sql() -> str:
+    """Token vectors after every epoch: u1, u2, ..."""
+    steps = []
+    for k in range(1, EPOCHS + 1):
+        steps.append(f"""x{k} AS MATERIALIZED (
+  SELECT a.token, d, sum(q * u[d])::DOUBLE AS x
+  FROM association a JOIN u{k - 1} v ON a.context = v.token, range(1, {DIM + 1}) t(d) GROUP BY a.token, d
+),
+u{k} AS MATERIALIZED (
+  SELECT token, list(round(x * {Le.UNIT} / length)::BIGINT ORDER BY d) AS u
+  FROM (SELECT token, d, x, sqrt(sum(x * x) OVER (PARTITION BY token)) AS length FROM x{k}) GROUP BY token
+)""")
+    return ",\n".join(steps)
+
+
+_NEAR_SQL = " UNION ALL ".join(
+    f"SELECT token, lead(token, {d}) OVER (PARTITION BY sent_id ORDER BY pos) AS context, {WINDOW + 1 - d} AS w FROM tokens"
+    for d in range(1, WINDOW + 1)
+)
+
+ENCODER_SQL = f"""{WORD_IDS_SQL},
+near AS (SELECT * FROM ({_NEAR_SQL}) WHERE context IS NOT NULL),
+pairs AS MATERIALIZED (
+  SELECT token, context, sum(w)::BIGINT AS n
+  FROM (SELECT token, context, w FROM near UNION ALL SELECT context, token, w FROM near) GROUP BY token, context
+),
+alone AS MATERIALIZED (SELECT token, sum(n)::BIGINT AS n FROM pairs GROUP BY token),
+association AS MATERIALIZED (
+  SELECT * FROM (
+    SELECT p.token, p.context, round(1024 * ln((p.n::DOUBLE * (SELECT sum(n)::DOUBLE FROM alone))
+                                               / (a.n::DOUBLE * b.n::DOUBLE)))::BIGINT AS q
+    FROM pairs p JOIN alone a ON p.token = a.token JOIN alone b ON p.context = b.token
+  ) WHERE q > 0
+),
+u0 AS MATERIALIZED (
+  SELECT token, list_transform(range({DIM}),
+    lambda d: 2 * ((('0x' || substr(h, d // 4 + 1, 1))::INTEGER >> (d % 4)::INTEGER) & 1) - 1) AS u
+  FROM (SELECT token, md5('{SEED}:project:0:' || token) AS h FROM (SELECT DISTINCT token FROM association))
+),
+{_epochs_sql()}"""
+
+
+@query(
+    "fit_encoder",
+    f"""WITH {ENCODER_SQL}
+SELECT token, {joined_sql('u')} AS vector FROM u{EPOCHS}""",
+)
 def _(spark, sf_dir):
-    return token_vectors(spark, sf_dir).select("token", F.size("vector").alias("dim"))
+    whole = F.transform("vector", lambda x: F.round(x * Le.UNIT).cast("bigint"))
+    return token_vectors(spark, sf_dir).withColumn("vector", whole).select("token", joined("vector"))
+
+
+def embedded_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Embeddings of the non-blank lines in chunks, and their manifest."""
+    lines = L.search_lines(document_lines(spark, sf_dir).select("sent_id", "text"))
+    vocab, vectors = word_vocabulary(spark, sf_dir), token_vectors(spark, sf_dir)
+
+    def embed(numbered: DataFrame) -> DataFrame:
+        words = numbered.withColumn("words", T.words("text")).drop("text")
+        return encode(V.encode_words(words, vocab), vectors, id="vec_id")
 
+    documents = table(spark, sf_dir, "documents")
+    stamp = provenance(documents, n_words=N_WORDS, dim=DIM, epochs=EPOCHS, window=WINDOW, seed=SEED, chunk=CHUNK)
+    return embed_in_chunks(lines, embed, reusable_path(spark, sf_dir, "corpus"), stamp, CHUNK, segments=4)
 
-@query("embed_corpus")
+
+SEARCH_LINES_SQL = f"""
+numbered AS (
+  SELECT row_number() OVER (ORDER BY sent_id) - 1 AS vec_id, text
+  FROM (SELECT sent_id, {trim_sql()} AS text FROM lines) WHERE text <> ''
+)"""
+
+
+@query(
+    "embed_corpus",
+    f"""WITH {ENCODER_SQL}, {SEARCH_LINES_SQL},
+line_tokens AS (
+  SELECT vec_id, coalesce(id, 2)::INTEGER AS token
+  FROM (SELECT vec_id, unnest({words_sql()}) AS word FROM numbered) LEFT JOIN vocab USING (word)
+),
+means AS (
+  SELECT vec_id, d, sum(u[d]) / {Le.UNIT}::DOUBLE / count(*) AS m
+  FROM line_tokens JOIN u{EPOCHS} USING (token), range(1, {DIM + 1}) t(d) GROUP BY vec_id, d
+),
+pooled AS (
+  SELECT vec_id, list(round((m / greatest(length, 1e-12::DOUBLE))::FLOAT::DOUBLE * 1000)::BIGINT ORDER BY d) AS e
+  FROM (SELECT vec_id, d, m, sqrt(sum(m * m) OVER (PARTITION BY vec_id)) AS length FROM means) GROUP BY vec_id
+)
+SELECT vec_id, (vec_id // {CHUNK})::BIGINT AS chunk_id,
+       coalesce({joined_sql('e')}, array_to_string(list_transform(range({DIM}), lambda d: 0), ' ')) AS embedding
+FROM numbered LEFT JOIN pooled USING (vec_id)""",
+)
+def _(spark, sf_dir):
+    rounded = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("bigint"))
+    embedded, _ = embedded_corpus(spark, sf_dir)
+    return embedded.withColumn("embedding", rounded).select("vec_id", "chunk_id", joined("embedding"))
+
+
+@query(
+    "corpus_chunks",
+    f"""WITH {LINES_SQL}, {SEARCH_LINES_SQL}
+SELECT (vec_id // {CHUNK})::BIGINT AS chunk_id, count(*) AS n_rows, min(vec_id) AS first_id, max(vec_id) AS last_id
+FROM numbered GROUP BY vec_id // {CHUNK}""",
+)
 def _(spark, sf_dir):
-    lines = L.search_lines(document_lines(spark, sf_dir))
-    vectors = embed_corpus(lines, *vocabulary(spark, sf_dir), token_vectors(spark, sf_dir))
-    return vectors.withColumn("embedding", joined("embedding"))
+    return embedded_corpus(spark, sf_dir)[1]
 
 
 @query("sweep_trials")
@@ -154,11 +283,13 @@ def _(spark, sf_dir):
     train = train_ids(spark, sf_dir)
     test = split_lines(spark, sf_dir).filter(F.col("split") == "test").drop("split")
     test = L.training_lines(test).filter(F.col("text") != "")
-    held_out = make_batches(encode_lines(test, *vocabulary(spark, sf_dir)), BATCH)
+    encode_test = lambda: make_batches(encode_lines(test, *vocabulary(spark, sf_dir)), BATCH)
+    held_out = reusable(spark, sf_dir, "held-out", encode_test, size=VOCAB_SIZE, batch=BATCH)
 
     def objective(params):
-        vectors = Le.fit_encoder(train, params["dim"], step_size=params["step_size"])
-        loss = Le.evaluate_encoder(held_out, vectors, params["dropout"]).first().loss
-        return {0: loss}
+        epochs = Le.encoder_epochs(train, params["dim"], epochs=EPOCHS, window=params["window"])
+        return {k: Le.evaluate_encoder(held_out, v, params["dropout"]).first().loss for k, v in enumerate(epochs)}
 
-    return Le.sweep(spark, SPACE, objective, TRIALS)
+    report = reusable_path(spark, sf_dir, "trials")
+    Le.sweep(spark, SPACE, objective, TRIALS, report=report)
+    return Le.read_report(spark, report)

@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+import math
+import threading
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sentspark.functions.draws import uniform
+from sentspark.functions.draws import draw_key, uniform
 from sentspark.operators.losses import contrastive_eval
 from sentspark.operators.pooling import encode
+from sentspark.storage import materialise
+
+#: Length of a token vector in whole numbers.
+UNIT = 4096
 
 TRIALS = (
     "trial_number int, value double, state string, params map<string,string>, "
@@ -21,38 +27,110 @@ TRIALS = (
 )
 
 
+def cooccurrences(df: DataFrame, window: int = 5, ids: str = "ids") -> DataFrame:
+    """token, context, n: how often two tokens stand within ``window`` places of each other
+    in a row, a pair ``d`` places apart weighing ``window + 1 - d``. Both directions are listed.
+
+    Pairs are counted inside the tasks first, so a token that is a third of the corpus moves no
+    more rows than another one. A null array has no tokens.
+    """
+    near = [_beside(ids, d, window + 1 - d) for d in range(1, window + 1)]
+    pairs = df.select(F.explode(F.concat(*near)).alias("p")).select("p.*")
+    one_way = pairs.groupBy("token", "context").agg(F.sum("w").alias("n"))
+    other = one_way.select(F.col("context").alias("token"), F.col("token").alias("context"), "n")
+    return one_way.union(other).groupBy("token", "context").agg(F.sum("n").alias("n"))
+
+
+def _beside(ids: str, distance: int, weight: int) -> Column:
+    """The pairs of tokens of an array that are ``distance`` places apart."""
+    n = F.greatest(F.size(ids) - distance, F.lit(0))
+
+    def pair(a: Column, b: Column) -> Column:
+        return F.struct(a.cast("int").alias("token"), b.cast("int").alias("context"), F.lit(weight).alias("w"))
+
+    return F.zip_with(F.slice(ids, F.lit(1), n), F.slice(ids, F.lit(1 + distance), n), pair)
+
+
+def association(pairs: DataFrame) -> DataFrame:
+    """token, context, q: positive pointwise mutual information, in 1/1024, of :func:`cooccurrences`."""
+    total = pairs.groupBy("token").agg(F.sum("n").alias("n_token"))
+    every = total.agg(F.sum("n_token").alias("n_all"))
+    known = pairs.join(total, "token").join(
+        total.select(F.col("token").alias("context"), F.col("n_token").alias("n_context")), "context"
+    )
+    both, alone = (
+        F.col(a).cast("double") * F.col(b).cast("double") for a, b in (("n", "n_all"), ("n_token", "n_context"))
+    )
+    q = F.round(F.lit(1024) * F.ln(both / alone)).cast("bigint")
+    return known.crossJoin(F.broadcast(every)).select("token", "context", q.alias("q")).filter("q > 0")
+
+
+def _signs(token: Column, dim: int, seed: int) -> Column:
+    """``dim`` signs of a token, one for each bit of its digits: 1 or -1."""
+    digits = F.concat(*(draw_key(seed, f"project:{k}", token) for k in range(-(-dim // 128))))
+    return F.array(*(_bit_sign(digits, d) for d in range(dim)))
+
+
+def _bit_sign(digits: Column, place: int) -> Column:
+    digit = F.conv(F.substring(digits, place // 4 + 1, 1), 16, 10).cast("int")
+    return (F.shiftright(digit, place % 4).bitwiseAND(F.lit(1)) * 2 - 1).cast("bigint")
+
+
+def _projected(weights: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+    """token, u: weighted sums of the contexts' vectors, scaled to whole numbers of length UNIT."""
+    joined = weights.join(vectors.select(F.col("token").alias("context"), "u"), "context")
+    sums = joined.groupBy("token").agg(*(F.sum(F.col("q") * F.col("u")[d]).alias(f"x{d}") for d in range(dim)))
+    row = sums.select("token", F.array(*(f"x{d}" for d in range(dim))).alias("x"))
+    length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda t, e: t + e.cast("double") * e.cast("double")))
+    scaled = F.transform("x", lambda e: F.round(e.cast("double") * UNIT / F.col("length")).cast("bigint"))
+    zero = F.transform("x", lambda e: F.lit(0).cast("bigint"))
+    return row.withColumn("length", length).select("token", F.when(F.col("length") > 0, scaled).otherwise(zero).alias("u"))
+
+
+def _without_rare(df: DataFrame, ids: str, min_count: int) -> DataFrame:
+    """The arrays without tokens that occur less than ``min_count`` times: rows are numbered,
+    their tokens meet the counts in a join and are put together again."""
+    numbered = df.select(ids, F.monotonically_increasing_id().alias("row"))
+    tokens = materialise(numbered.select("row", F.posexplode(ids).alias("pos", "token")), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count).select("token")
+    kept = tokens.join(often, "token", "left_semi").groupBy("row").agg(F.collect_list(F.struct("pos", "token")).alias("t"))
+    return kept.select(F.transform(F.array_sort("t"), lambda x: x["token"]).alias(ids))
+
+
+def encoder_epochs(
+    df: DataFrame, dim: int = 64, min_count: int = 1, epochs: int = 1, window: int = 5, seed: int = 42, ids: str = "ids"
+) -> Iterator[DataFrame]:
+    """Token vectors after every epoch: token, vector (see :func:`fit_encoder`)."""
+    if min_count > 1:
+        df = _without_rare(df, ids, min_count)
+    pairs = materialise(cooccurrences(df, window, ids), "cooccurrences")
+    weights = materialise(association(pairs), "association")
+    tokens = weights.select("token").distinct()
+    vectors = tokens.withColumn("u", _signs(F.col("token"), dim, seed))
+    for _ in range(epochs):
+        vectors = materialise(_projected(weights, vectors, dim), "token-vectors")
+        yield vectors.select("token", F.transform("u", lambda e: (e / F.lit(float(UNIT))).cast("float")).alias("vector"))
+
+
 def fit_encoder(
-    df: DataFrame,
-    dim: int = 64,
-    min_count: int = 1,
-    epochs: int = 1,
-    step_size: float = 0.025,
-    seed: int = 42,
-    partitions: int | None = None,
-    ids: str = "ids",
+    df: DataFrame, dim: int = 64, min_count: int = 1, epochs: int = 1, window: int = 5, seed: int = 42, ids: str = "ids"
 ) -> DataFrame:
     """Token vectors from id arrays: token, vector.
 
-    A bag-of-subwords model, so not of the quality of a Transformer. The tokens come from
-    a vocabulary of bounded size, which bounds the model. ``partitions`` train side by
-    side and are averaged after each epoch: one per core, unless given.
+    Tokens that stand near each other are counted, the counts become positive pointwise
+    mutual information, and the first epoch projects every token's row of it to ``dim``
+    numbers by random signs of the contexts. A further epoch replaces a token's vector by the
+    weighted sum of its contexts' vectors, which reaches contexts of contexts. Vectors have
+    length 1 in steps of 1/4096.
+
+    Counts, weights and sums are whole numbers, so the vectors do not depend on the
+    partitioning. Nothing comes to the driver. Tokens that occur less than ``min_count``
+    times are left out (their neighbours close up); a token that never stands near
+    another has no vector. It is a bag-of-tokens model, not of a Transformer's quality.
     """
-    partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
-    tokens = df.select(F.col(ids).cast("array<string>").alias("tokens"))
-    model = Word2Vec(
-        vectorSize=dim,
-        minCount=min_count,
-        maxIter=epochs,
-        stepSize=step_size,
-        numPartitions=partitions,
-        seed=seed,
-        inputCol="tokens",
-        outputCol="vector",
-    ).fit(tokens)
-    return model.getVectors().select(
-        F.col("word").cast("int").alias("token"),
-        vector_to_array("vector", "float32").alias("vector"),
-    )
+    for vectors in encoder_epochs(df, dim, min_count, epochs, window, seed, ids):
+        pass
+    return vectors
 
 
 def token_dropout(
@@ -90,50 +168,80 @@ def evaluate_encoder(
     return contrastive_eval(z_j, kind, batches_per_group)
 
 
-def draw_params(space: dict[str, list | tuple[float, float]], trial: int, seed: int = 42) -> dict[str, Any]:
-    """One setting: a choice from each list, a number from each (low, high) range."""
+def draw_params(space: dict[str, list | tuple], trial: int, seed: int = 42) -> dict[str, Any]:
+    """One setting: a choice from each list, a number from each range.
+
+    A range is (low, high); (low, high, "log") draws the logarithm evenly; (low, high, step)
+    draws one of low, low + step, ... up to high.
+    """
     out = {}
     for name, values in space.items():
         digits = hashlib.md5(f"{seed}:{name}:{trial}".encode()).hexdigest()[:8]
         u = int(digits, 16) / 2**32
-        if isinstance(values, tuple):
-            out[name] = values[0] + u * (values[1] - values[0])
-        else:
+        if isinstance(values, list):
             out[name] = values[int(u * len(values))]
+            continue
+        low, high, *how = values
+        if not how:
+            out[name] = low + u * (high - low)
+        elif how[0] == "log":
+            out[name] = math.exp(math.log(low) + u * (math.log(high) - math.log(low)))
+        else:
+            out[name] = low + how[0] * int(u * (int((high - low) / how[0] + 1e-9) + 1))
     return out
 
 
 def sweep(
     spark: SparkSession,
-    space: dict[str, list | tuple[float, float]],
+    space: dict[str, list | tuple],
     objective: Callable[[dict[str, Any]], dict[int, float | None]],
     n_trials: int,
     seed: int = 42,
     report: str | None = None,
+    side_by_side: int = 4,
 ) -> DataFrame:
     """Try ``n_trials`` random settings: one row per trial.
 
     ``objective`` runs the Spark jobs of one setting and returns the loss per epoch; the
-    value of a trial is its best loss. ``report`` names a folder that gets all trials as
-    JSON after each one.
+    value of a trial is its best loss. ``side_by_side`` trials run at a time, each in a
+    scheduler pool of its own, so that small jobs of one fill the gaps of another. ``report``
+    names a folder that gets all trials so far as JSON after each one.
     """
-    rows = []
-    for number in range(n_trials):
+    rows: dict[int, tuple] = {}
+    writing = threading.Lock()
+
+    def run(number: int) -> None:
         params = draw_params(space, number, seed)
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{number % side_by_side}")
         losses = objective(params)
         known = [v for v in losses.values() if v is not None]
-        rows.append(
-            (
-                number,
-                min(known) if known else None,
-                "COMPLETE" if known else "FAIL",
-                {k: str(v) for k, v in params.items()},
-                losses,
-            )
-        )
-        if report:
-            spark.createDataFrame(rows, TRIALS).coalesce(1).write.mode("overwrite").json(report)
-    return spark.createDataFrame(rows, TRIALS)
+        state = "COMPLETE" if known else "FAIL"
+        with writing:
+            named = {k: str(v) for k, v in params.items()}
+            rows[number] = (number, min(known) if known else None, state, named, losses)
+            if report:
+                _trials(spark, rows).coalesce(1).write.mode("overwrite").json(report)
+
+    with ThreadPoolExecutor(side_by_side) as pool:
+        for done in [pool.submit(inheritable_thread_target(spark)(run), n) for n in range(n_trials)]:
+            done.result()
+    return _trials(spark, rows)
+
+
+def _trials(spark: SparkSession, rows: dict[int, tuple]) -> DataFrame:
+    return spark.createDataFrame([rows[n] for n in sorted(rows)], TRIALS)
+
+
+def read_report(spark: SparkSession, report: str) -> DataFrame:
+    """The trials of a report, as :func:`sweep` returns them; JSON has no numbers as keys."""
+    stored = spark.read.schema(TRIALS.replace("map<int,double>", "map<string,double>")).json(report)
+    epochs = F.transform_keys("intermediate_values", lambda k, v: k.cast("int"))
+    return stored.withColumn("intermediate_values", epochs)
+
+
+def trial_epochs(trials: DataFrame) -> DataFrame:
+    """trial_number, epoch, loss: one row per trial and epoch."""
+    return trials.select("trial_number", F.explode("intermediate_values").alias("epoch", "loss"))
 
 
 def best_trial(trials: DataFrame, value: str = "value", number: str = "trial_number") -> DataFrame:

@@ -6,6 +6,7 @@ re-read and not a recomputation of everything before it.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -63,6 +64,14 @@ def fingerprint(df: DataFrame) -> str:
     return f"{row.n}:{row.h}"
 
 
+def provenance(*sources: DataFrame | str, **settings) -> str:
+    """The stamp of a result: of the files it is built from (or of their own stamps), and of all
+    settings. Any change of either gives another stamp."""
+    parts = [s if isinstance(s, str) else fingerprint(s) for s in sources]
+    parts += [f"{k}={settings[k]!r}" for k in sorted(settings)]
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()
+
+
 def read_or_build(
     spark: SparkSession,
     path: str,

@@ -91,7 +91,8 @@ def test_sweep_reports_every_trial(spark, tmp_path):
         return {0: params["rate"], 1: None if params["rate"] > 0.5 else params["rate"] / 2}
 
     trials = Le.sweep(spark, space, objective, 4, report=str(tmp_path / "trials"))
-    assert seen == [Le.draw_params(space, i) for i in range(4)]
+    assert sorted(seen, key=str) == sorted((Le.draw_params(space, i) for i in range(4)), key=str)
+    assert sorted(map(str, Le.read_report(spark, str(tmp_path / "trials")).collect())) == sorted(map(str, trials.collect()))
     stored = spark.read.schema(Le.TRIALS.replace("<int,", "<string,")).json(str(tmp_path / "trials"))
     assert sorted(r.trial_number for r in stored.collect()) == [0, 1, 2, 3]
     best = Le.best_trial(trials).first()
