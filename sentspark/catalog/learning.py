@@ -36,7 +36,8 @@ from sentspark.operators.pooling import encode
 from sentspark.plans.embed import embed_in_chunks, encode_lines, learn_vocabulary
 from sentspark.plans.prepare import prepare_corpus
 from sentspark.sources import lines as L
-from sentspark.storage import provenance
+from sentspark.sources.encoder import load_encoder, save_encoder
+from sentspark.storage import new_path, provenance
 
 # The size that the SQL of the vocabulary can follow, and the usual one.
 VOCAB_SIZE, FULL_SIZE = 300, 35_000
@@ -222,6 +223,39 @@ def _(spark, sf_dir):
     return token_vectors(spark, sf_dir).withColumn("vector", whole).select("token", joined("vector"))
 
 
+@query(
+    "encoder_artifact",
+    f"""WITH {ENCODER_SQL}, names AS (
+  SELECT word AS token, id FROM vocab
+  UNION ALL SELECT unnest(['<mask>', '<pad>', '<unk>', '<s>', '</s>']), unnest(range(5))
+)
+SELECT names.token, id::INTEGER AS id, {joined_sql('u')} AS vector FROM names JOIN u{EPOCHS} ON u{EPOCHS}.token = id""",
+)
+def _(spark, sf_dir):
+    """What was saved, loaded again: every token of the vocabulary that has a vector."""
+    path = reusable_path(spark, sf_dir, "encoder")
+    settings = {"dim": DIM, "epochs": EPOCHS, "window": WINDOW, "seed": SEED}
+    vocab = word_vocabulary(spark, sf_dir)
+    special = spark.createDataFrame(list(zip(T.SPECIAL_TOKENS, range(5))), "token string, id int")
+    save_encoder(path, token_vectors(spark, sf_dir), special.union(vocab.select("token", "id")), **settings)
+    vectors, vocab, _ = load_encoder(spark, path, **settings)
+    whole = F.transform("vector", lambda x: F.round(x * Le.UNIT).cast("bigint"))
+    named = vectors.withColumn("vector", whole).select(F.col("token").alias("id"), joined("vector"))
+    return vocab.join(named, "id").select("token", "id", "vector")
+
+
+@query(
+    "vocabulary_round_trip",
+    f"""WITH RECURSIVE {BPE_SQL}
+SELECT s AS token, k::INTEGER AS id, count(*) OVER () AS vocab_size FROM state WHERE kind = 1""",
+)
+def _(spark, sf_dir):
+    path = new_path(spark, "vocabulary")
+    V.write_vocabulary(*vocabulary(spark, sf_dir), path)
+    vocab, _ = V.read_vocabulary(spark, path)
+    return vocab.select("token", "id", F.lit(V.vocabulary_size(vocab)).cast("bigint").alias("vocab_size"))
+
+
 def embedded_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Embeddings of the non-blank lines in chunks, and their manifest."""
     lines = L.search_lines(document_lines(spark, sf_dir).select("sent_id", "text"))

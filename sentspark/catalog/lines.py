@@ -10,6 +10,7 @@ from sentspark.catalog.inputs import (
     TRAINING_SQL,
     document_lines,
     lines_sql,
+    SPACE_SQL,
     table,
     trim_sql,
 )
@@ -18,6 +19,7 @@ from sentspark.operators import order as O
 from sentspark.operators import search as S
 from sentspark.plans.prepare import prepare_corpus
 from sentspark.sources import lines as L
+from sentspark.storage import new_path
 from sentspark.streaming.dedup import dedup_stream, run_available
 
 UNIQUE_SQL = "uniq AS (SELECT min(sent_id) AS sent_id, text FROM lines GROUP BY text)"
@@ -165,3 +167,73 @@ def _(spark, sf_dir):
     queries = O.with_ordinals(asked.join(answered, keys, "left_semi"), keys, "line_no")
     originals = O.with_ordinals(answered.join(asked, keys, "left_semi"), keys, "line_no")
     return S.aligned_pairs(queries, originals)
+
+
+# -- files: what is written is read back ---------------------------------------------
+
+
+@query(
+    "unique_line_file",
+    f"""WITH {LINES_SQL}, {UNIQUE_SQL}
+SELECT row_number() OVER (ORDER BY sent_id) - 1 AS line_no, text FROM uniq""",
+)
+def _(spark, sf_dir):
+    path = new_path(spark, "unique-lines")
+    L.write_lines(C.dedup_lines(document_lines(spark, sf_dir)), path, order="sent_id")
+    return L.read_in_order(spark, path)
+
+
+@query(
+    "split_line_files",
+    f"""WITH {LINES_SQL}, {UNIQUE_SQL}, split_lines AS ({split_sql('uniq', 'sent_id, text')})
+SELECT split, row_number() OVER (PARTITION BY split ORDER BY sent_id) - 1 AS line_no, text FROM split_lines""",
+)
+def _(spark, sf_dir):
+    path = new_path(spark, "split-lines")
+    L.write_split_lines(prepare_corpus(document_lines(spark, sf_dir)), path, "sent_id")
+    train, test = (
+        L.read_in_order(spark, f"{path}/split={s}").withColumn("split", F.lit(s)) for s in ("train", "test")
+    )
+    return train.unionByName(test).select("split", "line_no", "text")
+
+
+@query(
+    "sentence_file",
+    rf"""WITH {lines_sql()}, marked AS (
+  SELECT sent_id, string_split(
+    regexp_replace(text, '([。！？.!?…！？؟।:;]){SPACE_SQL}+', '\1' || chr(1), 'g'), chr(1)) AS parts
+  FROM lines
+), sentences AS (SELECT sent_id, unnest(range(len(parts))) AS sentence_no, unnest(parts) AS text FROM marked)
+SELECT row_number() OVER (ORDER BY sent_id, sentence_no) - 1 AS line_no, text FROM sentences""",
+)
+def _(spark, sf_dir):
+    path = new_path(spark, "sentences")
+    sentences = L.split_sentences(document_lines(spark, sf_dir).select("sent_id", "text"))
+    L.write_lines(sentences, path, order=["sent_id", "sentence_no"])
+    return L.read_in_order(spark, path)
+
+
+#: Bytes that are no UTF-8 beside characters that are: lone, cut off, overlong, a surrogate, U+FFFD.
+_BAD, _GOOD = ("FF", "C3", "E282", "C0AF", "EDA080", "F09F98"), "\ufffd\u00e9"
+
+
+@query(
+    "text_file_lines",
+    f"""WITH {LINES_SQL}
+SELECT sent_id % 3 AS line_end, row_number() OVER (PARTITION BY sent_id % 3 ORDER BY sent_id) - 1 AS line_no,
+       text || '{_GOOD}x' AS text
+FROM lines""",
+)
+def _(spark, sf_dir):
+    """Lines are written with bad bytes and one of three line ends, and read without them."""
+    lines = document_lines(spark, sf_dir).select("sent_id", "text")
+    bad = [F.unhex(F.lit(x)).cast("string") for x in _BAD]
+    spoilt = F.concat(bad[0], F.col("text"), *bad[1:3], F.lit(_GOOD), *bad[3:], F.lit("x"), bad[1])
+    path, out = new_path(spark, "spoilt-lines"), None
+    for k, end in enumerate(("\n", "\r\n", "\r")):
+        own = lines.filter(F.pmod("sent_id", F.lit(3)) == k).withColumn("text", spoilt)
+        rows = own.repartitionByRange("sent_id").sortWithinPartitions("sent_id").select("text")
+        rows.write.option("lineSep", end).text(f"{path}/{k}")
+        read = L.read_in_order(spark, f"{path}/{k}").withColumn("line_end", F.lit(k).cast("bigint"))
+        out = read if out is None else out.unionByName(read)
+    return out.select("line_end", "line_no", "text")

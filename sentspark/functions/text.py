@@ -1,4 +1,4 @@
-"""Text functions: columns in, columns out, no Python per row."""
+"""Text functions: columns in, columns out; Python only for texts with bad bytes."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import functools
 import sys
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,15 +81,20 @@ def sentences(text: Column | str) -> Column:
 def valid_utf8(text: Column | str, bad: str = "drop") -> Column:
     """Repair text read from files with invalid bytes.
 
-    ``replace`` puts U+FFFD for each bad sequence, ``drop`` removes it, also where the
-    text already held U+FFFD inside an invalid line.
+    ``drop`` removes exactly the bad bytes and keeps a U+FFFD that the text held; ``replace`` puts
+    U+FFFD for each bad sequence. Only texts with bad bytes leave the JVM.
     """
     t = _col(text)
-    fixed = F.make_valid_utf8(t)
     if bad == "replace":
-        return fixed
+        return F.make_valid_utf8(t)
     if bad == "drop":
-        return F.when(F.is_valid_utf8(t), t).otherwise(F.replace(fixed, F.lit("�"), F.lit("")))
+
+        @F.arrow_udf("string")
+        def without_bad_bytes(raw: pa.Array) -> pa.Array:
+            return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in raw.to_pylist()], pa.string())
+
+        broken = F.when(~F.is_valid_utf8(t), t.cast("binary"))
+        return F.when(F.is_valid_utf8(t), t).otherwise(without_bad_bytes(broken))
     raise ValueError(f"bad must be 'drop' or 'replace', not {bad!r}")
 
 

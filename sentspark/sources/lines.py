@@ -86,9 +86,32 @@ def split_sentences(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(*others, F.posexplode(T.sentences(text)).alias("sentence_no", text))
 
 
-def write_lines(df: DataFrame, path: str, text: str = "text") -> None:
-    """One text per line. A text that itself holds a line end would be read as two."""
-    df.select(F.col(text).alias("value")).write.mode("overwrite").text(path)
+def read_in_order(spark: SparkSession, path: str | list[str], bad_bytes: str = "drop") -> DataFrame:
+    """line_no, text: the lines of text files, one file after another, numbered from 0."""
+    rows = read_lines(spark, path, bad_bytes)
+    return with_ordinals(rows, ["file", "block", "row"], "line_no").select("line_no", "text")
+
+
+def write_lines(df: DataFrame, path: str, text: str = "text", order: str | list[str] | None = None) -> None:
+    """One text per line; null texts are left out. A text that itself holds a line end would be
+    read as two.
+
+    With ``order``, the files read one after another by name give the lines in that order: rows are
+    dealt by range, and a task's number is in the name of its file.
+    """
+    rows = df.filter(F.col(text).isNotNull())
+    if order is not None:
+        keys = [order] if isinstance(order, str) else order
+        rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows.select(F.col(text).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_split_lines(df: DataFrame, path: str, order: str | list[str], text: str = "text") -> None:
+    """One folder of ordered line files per value of ``split``, as :func:`write_lines` writes
+    them. One job writes them all and they are committed together."""
+    keys = [order] if isinstance(order, str) else order
+    rows = df.filter(F.col(text).isNotNull()).repartitionByRange(*keys).sortWithinPartitions("split", *keys)
+    rows.select(F.col(text).alias("value"), "split").write.mode("overwrite").partitionBy("split").text(path)
 
 
 def write_split(df: DataFrame, path: str) -> None:

@@ -1,4 +1,5 @@
 import re
+import random
 import sys
 import unicodedata
 
@@ -134,6 +135,49 @@ def test_line_and_split_sinks(spark, tmp_path):
     assert [r.text for r in spark.read.parquet(str(tmp_path / "s/split=test")).collect()] == ["b"]
 
 
+def test_bad_bytes_are_dropped_as_python_drops_them(spark, tmp_path):
+    rng = random.Random(9)
+    parts = [b"a", b"\xc3", b"\xe2\x82", b"\xe2\x82\xac", b"\xff", b"\xc0\xaf", b"\xed\xa0\x80", b"\xf0\x9f\x98", b"\xef\xbf\xbd", b"\xc3\xa9", b" "]
+    lines = [b"".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    (tmp_path / "in.txt").write_bytes(b"\n".join(lines) + b"\n")
+    got = [r.text for r in L.read_in_order(spark, str(tmp_path)).orderBy("line_no").collect()]
+    assert got == [x.decode("utf-8", "ignore") for x in lines]
+
+
+def test_ordered_sinks_give_the_order_back(spark, tmp_path):
+    rows = [(i, f"line {i}", "train" if i % 4 else "test") for i in range(2000)] + [(5000, None, "train"), (4000, "", "test")]
+    df = spark.createDataFrame(rows, "sent_id bigint, text string, split string").repartition(7)
+    L.write_lines(df, str(tmp_path / "all"), order="sent_id")
+    got = [r.text for r in L.read_in_order(spark, str(tmp_path / "all")).orderBy("line_no").collect()]
+    assert got == [t for _, t, _ in sorted(rows, key=lambda r: r[0]) if t is not None]
+    files = sorted((tmp_path / "all").glob("part-*"))
+    assert "".join(f.read_text() for f in files) == "".join(t + "\n" for t in got)
+    L.write_split_lines(df, str(tmp_path / "parts"), "sent_id")
+    for split in ("train", "test"):
+        got = [r.text for r in L.read_in_order(spark, str(tmp_path / f"parts/split={split}")).orderBy("line_no").collect()]
+        assert got == [t for _, t, s in sorted(rows, key=lambda r: r[0]) if s == split and t is not None]
+
+
+def test_encoder_artifact_refuses_what_does_not_match(spark, tmp_path):
+    from sentspark.sources.encoder import load_encoder, save_encoder
+
+    path = str(tmp_path / "encoder")
+    vectors = spark.createDataFrame([(5, [0.5, 1.0]), (6, [0.25, 0.0])], "token int, vector array<float>")
+    vocab = spark.createDataFrame([("a", 5), ("b", 6)], "token string, id int")
+    save_encoder(path, vectors, vocab, dim=2, seed=1)
+    got, words, settings = load_encoder(spark, path, dim=2)
+    assert sorted(map(tuple, words.collect())) == [("a", 5), ("b", 6)] and settings == {"dim": 2, "seed": 1}
+    assert sorted((r.token, tuple(r.vector)) for r in got.collect()) == [(5, (0.5, 1.0)), (6, (0.25, 0.0))]
+    with pytest.raises(ValueError, match="made with"):
+        load_encoder(spark, path, dim=3)
+    vectors.limit(1).write.mode("overwrite").parquet(f"{path}/vectors")
+    with pytest.raises(ValueError, match="not the table"):
+        load_encoder(spark, path)
+    spark.createDataFrame([], "value string").write.mode("overwrite").text(f"{path}/manifest")
+    with pytest.raises(ValueError, match="incomplete"):
+        load_encoder(spark, path)
+
+
 def test_small_inputs_are_spread_and_large_ones_left(spark):
     cores = spark.sparkContext.defaultParallelism
     assert L.spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == cores
