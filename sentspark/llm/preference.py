@@ -64,6 +64,32 @@ def next_replies(talks: DataFrame) -> DataFrame:
     return _pairs(ended, replies.select("conv_id", "pos").join(before, "pos").select("conv_id", "other"))
 
 
+def replaced_turns(talks: DataFrame) -> DataFrame:
+    """Pairs: a whole conversation, and the same with one reply replaced by the last reply of the
+    next conversation that has one (the first one's after the last).
+
+    The replaced reply is the one at the remainder of ``conv_id`` by the number of replies, so pairs
+    part early and late; the turns after it are kept on both sides. Every conversation with
+    a reply makes a pair, unless it is the only one. Conversations are numbered in range
+    partitions, without a window over all.
+    """
+    places = F.filter(F.transform("turns", lambda x, i: F.when(x["role"] == LEARNT, i)), lambda i: i.isNotNull())
+    ended = talks.withColumn("places", places).filter(F.size("places") > 0)
+    last = F.get("turns", F.element_at("places", -1))["text"]
+    replies = materialise(with_ordinals(ended.select("conv_id", last.alias("other")), ["conv_id"]), "preference-replies")
+    n = replies.count()
+    if n < 2:
+        return _pairs(_ended(talks).limit(0), replies.select("conv_id", "other"))
+    before = replies.select(F.pmod(F.col("pos") - 1, F.lit(n)).alias("pos"), "other")
+    following = replies.select("conv_id", "pos").join(before, "pos").select("conv_id", "other")
+    at = F.get("places", F.pmod("conv_id", F.size("places")).cast("int"))
+    joined = ended.withColumn("at", at).join(following, "conv_id")
+    rejected = F.transform(
+        "turns", lambda x, i: F.when(i == F.col("at"), _turn(F.lit(LEARNT), F.col("other"))).otherwise(x)
+    )
+    return joined.select("conv_id", F.col("turns").alias("chosen"), rejected.alias("rejected"))
+
+
 def _ended(talks: DataFrame) -> DataFrame:
     """Conversations with a reply, and the place of the last one."""
     at = F.array_max(F.filter(F.transform("turns", lambda x, i: F.when(x["role"] == LEARNT, i)), lambda i: i.isNotNull()))
@@ -131,13 +157,16 @@ def _oracle() -> str:
 with t as (select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text
     from conversations where conv_id is not null),
 o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from t),
-l as (select conv_id, max(i) as last from o where role = '{LEARNT}' group by conv_id),
-r as (select o.conv_id, text as reply from o join l on o.conv_id = l.conv_id and i = last),
-p as (select o.conv_id, last, any_value(n.reply) as other,
-    list({{'role': role, 'text': text}} order by i) filter (i <= last) as chosen,
-    list({{'role': role, 'text': case when i = last then n.reply else text end}} order by i) filter (i <= last) as rejected
-  from o join l on o.conv_id = l.conv_id join r n on n.conv_id = o.conv_id + 1 group by o.conv_id, last),
-c as (select *, case when chosen[last] = rejected[last] then last else last - 1 end as n from p)
+l as (select conv_id, list(i order by i) as places from o where role = '{LEARNT}' group by conv_id),
+r as (select o.conv_id, text as reply from o join l on o.conv_id = l.conv_id and i = places[-1]),
+x as (select conv_id, coalesce(lead(reply) over w, first_value(reply) over w) as other, count(*) over () as n
+  from r window w as (order by conv_id)),
+p as (select o.conv_id,
+    list({{'role': role, 'text': text}} order by i) as chosen,
+    list({{'role': role, 'text': case when i = places[(o.conv_id % len(places) + len(places)) % len(places) + 1] then other else text end}}
+      order by i) as rejected
+  from o join l on o.conv_id = l.conv_id join x on x.conv_id = o.conv_id where x.n > 1 group by o.conv_id),
+c as (select *, coalesce(list_filter(range(1, len(chosen) + 1), lambda i: chosen[i] <> rejected[i])[1] - 1, len(chosen)) as n from p)
 select conv_id, cast(n as bigint) as n_prompt_turns, {render('chosen[1:n]')} as prompt,
   {render('chosen[n + 1:]')} as chosen, {render('rejected[n + 1:]')} as rejected,
   {mask('chosen[n + 1:]')} as chosen_mask, {mask('rejected[n + 1:]')} as rejected_mask
@@ -147,4 +176,4 @@ from c"""
 @query("op2_preference_format", _oracle())
 def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return preference_examples(replaced_replies(conversations(table(spark, sf_dir, "conversations"))))
+    return preference_examples(replaced_turns(conversations(table(spark, sf_dir, "conversations"))))
