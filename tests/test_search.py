@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentspark.functions import vectors as V
+from sentspark.operators import blocks as B
 from sentspark.operators import pooling as P
 from sentspark.operators import search as S
 from sentspark.sources import embeddings as Em
@@ -53,13 +54,62 @@ def test_search_does_not_depend_on_partitions_or_blocks(spark, parts, monkeypatc
 
 def test_long_vectors_are_sliced_by_their_numbers(spark, monkeypatch):
     monkeypatch.setattr(S, "BROADCAST_VALUES", 5 * 8)
-    monkeypatch.setattr(S, "SLICE_VALUES", 60 * 8)
+    monkeypatch.setattr(B, "BLOCK_VALUES", 60 * 8)
+    monkeypatch.setattr(B, "GROUP_VALUES", 7 * 8)
     q, c = vectors(spark, QUERIES, "query_id"), vectors(spark, CORPUS)
     assert S._query_matrix(q, ["embedding"], 10_000) is None
-    assert S._n_slices(c, 50_000) == 7
+    sizes = [r.n for r in B.corpus_blocks(c).select("n").collect()]
+    assert sum(sizes) == 400 and max(sizes) <= 60
+    assert B.query_blocks(q, ["embedding"]).rdd.getNumPartitions() == 2
     assert hits(S.semantic_search(q, c, 10)) == brute(10)
 
 
+def test_the_corpus_is_not_shuffled_for_many_queries(spark):
+    q = vectors(spark, QUERIES, "query_id")
+    c = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(CORPUS)], "vec_id bigint, embedding array<double>")
+    met = B.meet(B.corpus_blocks(c), B.query_blocks(q, ["embedding"]), ["embedding"], lambda p: iter(()), S.HITS)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_chunks_that_a_task_holds_whole_stay_there(spark):
+    """400 rows in the order of their ids in four tasks, chunks of 30: only those at the borders of
+    tasks, and the last one, which is short, are exchanged."""
+    rows = [(i // 30, [float(x) for x in v]) for i, v in enumerate(CORPUS)]
+    chunks = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "chunk_id bigint, embedding array<double>")
+    blocks = B.chunk_blocks(chunks, 30)
+    assert sorted(r.n for r in blocks.select("n").collect()) == [10] + [30] * 13
+    stored = spark.read.parquet(next(f for f in blocks.inputFiles()).rsplit("/", 1)[0])
+    # borders at 100, 200 and 300; of these 300 is also a border of chunks
+    assert sorted(r.chunk_id for r in stored.filter("not complete").collect()) == [3, 3, 6, 6, 13]
+
+
+@pytest.mark.parametrize("order", [1, -1, 7])
+def test_chunks_in_any_order_are_put_together(order, monkeypatch):
+    monkeypatch.setattr(B, "HELD_CHUNKS", 2)
+    n, size = 90, 10
+    at = np.arange(n)[::order] if abs(order) == 1 else np.arange(n) * order % n
+    chunks, found = B._Chunks(size), []
+    for lo in range(0, n, 8):
+        ids = at[lo : lo + 8]
+        found += chunks.add(ids // size, ids[:, None].astype(float))
+        assert chunks.rows <= 2 * size
+    found += chunks.rest()
+    assert sorted(int(x) for _, v, _ in found for x in v[:, 0]) == list(range(n))
+    assert all((v[:, 0] // size == c).all() for c, v, _ in found)
+    assert all(len(v) == size for _, v, whole in found if whole)
+    assert abs(order) != 1 or all(whole for _, _, whole in found)
+
+
+def test_more_queries_than_a_broadcast_takes(spark):
+    rng = np.random.default_rng(5)
+    q, c = rng.normal(size=(10_001, 4)), rng.normal(size=(300, 4))
+    q = vectors(spark, q, "query_id")
+    got = S.semantic_search(q, vectors(spark, c), 3)
+    want = S.semantic_search(q, vectors(spark, c), 3, limit=20_000)
+    assert got.count() == 30_003 and got.exceptAll(want).count() == 0
+
+
 def test_search_with_nothing(spark):
     q, c = vectors(spark, QUERIES, "query_id"), vectors(spark, CORPUS)
     for how in ({}, {"limit": 0}):
