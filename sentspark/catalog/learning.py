@@ -11,11 +11,12 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentspark.catalog import query
+from sentspark.catalog import QUERIES, query
 from sentspark.catalog.inputs import (
     LINES_SQL,
     N_WORDS,
     WORD_IDS_SQL,
+    cosine_sql,
     document_lines,
     joined,
     joined_sql,
@@ -27,14 +28,16 @@ from sentspark.catalog.inputs import (
     word_vocabulary,
     words_sql,
 )
-from sentspark.catalog.lines import UNIQUE_SQL, split_sql
+from sentspark.catalog.lines import PAIRED_SQL, QUERY_UNION_SQL, UNIQUE_SQL, split_sql
 from sentspark.operators import learn as Le
 from sentspark.functions import text as T
 from sentspark.operators import vocab as V
 from sentspark.operators.examples import make_batches
-from sentspark.operators.pooling import encode
+from sentspark.operators.order import with_ordinals
+from sentspark.operators.pooling import embed_batches, encode
 from sentspark.plans.embed import embed_in_chunks, encode_lines, learn_vocabulary
 from sentspark.plans.prepare import prepare_corpus
+from sentspark.plans.search import rank_by_text, search_by_text
 from sentspark.sources import lines as L
 from sentspark.sources.encoder import load_encoder, save_encoder
 from sentspark.storage import new_path, provenance
@@ -43,6 +46,7 @@ from sentspark.storage import new_path, provenance
 VOCAB_SIZE, FULL_SIZE = 300, 35_000
 DIM, EPOCHS, WINDOW, SEED = 32, 2, 5, 42
 CHUNK = 1_000
+TOP_K = 10
 SPACE = {"dim": [16, 32], "window": (2, 6, 2), "dropout": (0.02, 0.2, "log")}
 TRIALS = 8
 BATCH = 32
@@ -256,17 +260,23 @@ def _(spark, sf_dir):
     return vocab.select("token", "id", F.lit(V.vocabulary_size(vocab)).cast("bigint").alias("vocab_size"))
 
 
-def embedded_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Embeddings of the non-blank lines in chunks, and their manifest."""
-    lines = L.search_lines(document_lines(spark, sf_dir).select("sent_id", "text"))
+def word_embedder(spark: SparkSession, sf_dir: str):
+    """From vec_id, text to vec_id, embedding, by the words of the word-level vocabulary."""
     vocab, vectors = word_vocabulary(spark, sf_dir), token_vectors(spark, sf_dir)
 
     def embed(numbered: DataFrame) -> DataFrame:
         words = numbered.withColumn("words", T.words("text")).drop("text")
         return encode(V.encode_words(words, vocab), vectors, id="vec_id")
 
+    return embed
+
+
+def embedded_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Embeddings of the non-blank lines in chunks, and their manifest."""
+    lines = L.search_lines(document_lines(spark, sf_dir).select("sent_id", "text"))
     documents = table(spark, sf_dir, "documents")
     stamp = provenance(documents, n_words=N_WORDS, dim=DIM, epochs=EPOCHS, window=WINDOW, seed=SEED, chunk=CHUNK)
+    embed = word_embedder(spark, sf_dir)
     return embed_in_chunks(lines, embed, reusable_path(spark, sf_dir, "corpus"), stamp, CHUNK, segments=4)
 
 
@@ -277,21 +287,27 @@ numbered AS (
 )"""
 
 
+def pooled_sql(name: str, source: str, id: str = "vec_id", text: str = "text", e: str = "m") -> str:
+    """CTEs up to ``name``: id and e, the vector of length 1 of each text with known tokens."""
+    return f"""{name}_tokens AS (
+  SELECT key, coalesce(id, 2)::INTEGER AS token
+  FROM (SELECT {id} AS key, unnest({words_sql(text)}) AS word FROM {source}) LEFT JOIN vocab USING (word)
+),
+{name}_means AS (
+  SELECT key, d, sum(u[d]) / {Le.UNIT}::DOUBLE / count(*) AS m
+  FROM {name}_tokens JOIN u{EPOCHS} USING (token), range(1, {DIM + 1}) t(d) GROUP BY key, d
+),
+{name} AS MATERIALIZED (
+  SELECT key AS {id}, list({e} ORDER BY d) AS e
+  FROM (SELECT key, d, m / greatest(sqrt(sum(m * m) OVER (PARTITION BY key)), 1e-12::DOUBLE) AS m FROM {name}_means)
+  GROUP BY key
+)"""
+
+
 @query(
     "embed_corpus",
     f"""WITH {ENCODER_SQL}, {SEARCH_LINES_SQL},
-line_tokens AS (
-  SELECT vec_id, coalesce(id, 2)::INTEGER AS token
-  FROM (SELECT vec_id, unnest({words_sql()}) AS word FROM numbered) LEFT JOIN vocab USING (word)
-),
-means AS (
-  SELECT vec_id, d, sum(u[d]) / {Le.UNIT}::DOUBLE / count(*) AS m
-  FROM line_tokens JOIN u{EPOCHS} USING (token), range(1, {DIM + 1}) t(d) GROUP BY vec_id, d
-),
-pooled AS (
-  SELECT vec_id, list(round((m / greatest(length, 1e-12::DOUBLE))::FLOAT::DOUBLE * 1000)::BIGINT ORDER BY d) AS e
-  FROM (SELECT vec_id, d, m, sqrt(sum(m * m) OVER (PARTITION BY vec_id)) AS length FROM means) GROUP BY vec_id
-)
+{pooled_sql('pooled', 'numbered', e='round(m::FLOAT::DOUBLE * 1000)::BIGINT')}
 SELECT vec_id, (vec_id // {CHUNK})::BIGINT AS chunk_id,
        coalesce({joined_sql('e')}, array_to_string(list_transform(range({DIM}), lambda d: 0), ' ')) AS embedding
 FROM numbered LEFT JOIN pooled USING (vec_id)""",
@@ -312,6 +328,75 @@ def _(spark, sf_dir):
     return embedded_corpus(spark, sf_dir)[1]
 
 
+# Vectors of the corpus as they are stored; a line without known tokens has zeros.
+_ZEROS_SQL = f"list_transform(range({DIM}), lambda d: 0::DOUBLE)"
+TEXT_CORPUS_SQL = f"""{pooled_sql('pooled', 'numbered', e='m::FLOAT::DOUBLE')},
+corpus AS MATERIALIZED (
+  SELECT vec_id, text, coalesce(e, {_ZEROS_SQL}) AS e FROM numbered LEFT JOIN pooled USING (vec_id)
+)"""
+
+
+@query(
+    "search_by_text",
+    f"""WITH {ENCODER_SQL}, {SEARCH_LINES_SQL}, {TEXT_CORPUS_SQL},
+asked AS ({QUERY_UNION_SQL}),
+{pooled_sql('asked_vectors', 'asked', 'query_id')},
+queries AS (
+  SELECT query_id, text AS query, coalesce(e, {_ZEROS_SQL}) AS q FROM asked LEFT JOIN asked_vectors USING (query_id)
+),
+hits AS (
+  SELECT query_id, query, vec_id, text, s,
+         row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vec_id) AS rank
+  FROM (SELECT *, {cosine_sql('q', 'e')} AS s FROM queries, corpus) QUALIFY rank <= {TOP_K}
+)
+SELECT query_id, query, rank, round(s, 4) + 0.0::DOUBLE AS score, vec_id, text FROM hits""",
+)
+def _(spark, sf_dir):
+    lines = L.search_lines(document_lines(spark, sf_dir).select("sent_id", "text"))
+    numbered = with_ordinals(lines, ["sent_id"], "vec_id").select("vec_id", "text")
+    corpus = embedded_corpus(spark, sf_dir)[0].select("vec_id", "embedding")
+    queries = QUERIES["query_union"](spark, sf_dir)
+    found = search_by_text(queries, numbered, corpus, word_embedder(spark, sf_dir), TOP_K)
+    return found.withColumn("score", F.round("score", 4) + F.lit(0.0))
+
+
+@query(
+    "rank_by_text",
+    f"""WITH {ENCODER_SQL}, {SEARCH_LINES_SQL}, {TEXT_CORPUS_SQL},
+text_pairs AS ({PAIRED_SQL}),
+{pooled_sql('query_vectors', 'text_pairs', 'query_id', 'query')},
+{pooled_sql('original_vectors', 'text_pairs', 'query_id', 'original')},
+compared AS (
+  SELECT query_id, q, {cosine_sql('q', 'o')} AS reference FROM (
+    SELECT query_id, coalesce(a.e, {_ZEROS_SQL}) AS q, coalesce(b.e, {_ZEROS_SQL}) AS o
+    FROM text_pairs LEFT JOIN query_vectors a USING (query_id) LEFT JOIN original_vectors b USING (query_id)
+  )
+)
+SELECT query_id, (count(*) FILTER ({cosine_sql('q', 'e')} > reference + 1e-12::DOUBLE) + 1)::BIGINT AS rank
+FROM compared, corpus GROUP BY query_id""",
+)
+def _(spark, sf_dir):
+    corpus = embedded_corpus(spark, sf_dir)[0].select("vec_id", "embedding")
+    return rank_by_text(QUERIES["paired_eval_set"](spark, sf_dir), corpus, word_embedder(spark, sf_dir))
+
+
+def letter_counter():
+    """A caller's encoder that SQL can repeat: the vowels of a text, counted one by one."""
+    return lambda texts: [[t.count(v) for v in "aeiou"] for t in texts]
+
+
+@query(
+    "encode_with_caller",
+    f"""WITH {LINES_SQL}
+SELECT sent_id, {joined_sql("list_transform(['a', 'e', 'i', 'o', 'u'], lambda v: len(text) - len(replace(text, v, '')))")} AS embedding
+FROM lines""",
+)
+def _(spark, sf_dir):
+    encoded = embed_batches(document_lines(spark, sf_dir).select("sent_id", "text"), letter_counter)
+    whole = F.transform("embedding", lambda x: x.cast("int"))
+    return encoded.withColumn("embedding", whole).select("sent_id", joined("embedding"))
+
+
 @query("sweep_trials")
 def _(spark, sf_dir):
     train = train_ids(spark, sf_dir)

@@ -135,28 +135,28 @@ def _(spark, sf_dir):
     return run_available(dedup_stream(L.lines_from_documents(arriving).select("text")), "unique-texts")
 
 
-@query(
-    "query_union",
-    f"""WITH {lines_sql('benchmark', 'item_id')}
+QUERY_UNION_SQL = f"""WITH {lines_sql('benchmark', 'item_id')}
 SELECT 0::BIGINT AS query_id, 'the first query' AS text
 UNION ALL
-SELECT row_number() OVER (ORDER BY sent_id), {trim_sql()} FROM lines WHERE {trim_sql()} <> ''""",
-)
+SELECT row_number() OVER (ORDER BY sent_id), {trim_sql()} FROM lines WHERE {trim_sql()} <> ''"""
+
+
+@query("query_union", QUERY_UNION_SQL)
 def _(spark, sf_dir):
     lines = L.search_lines(L.lines_from_documents(table(spark, sf_dir, "benchmark"), "item_id"))
     numbered = O.with_ordinals(lines.select("sent_id", "text"), ["sent_id"], "line_no")
     return S.query_union(spark, "the first query", numbered)
 
 
-@query(
-    "paired_eval_set",
-    """WITH p AS (
+PAIRED_SQL = """WITH p AS (
   SELECT a.conv_id, a.turn, a.text AS query, b.text AS original
   FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
   WHERE a.role = 'user' AND b.role = 'assistant'
 )
-SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS query_id, query, original FROM p""",
-)
+SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS query_id, query, original FROM p"""
+
+
+@query("paired_eval_set", PAIRED_SQL)
 def _(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     asked = turns.filter(F.col("role") == "user").drop("role")

@@ -19,8 +19,10 @@ BROADCAST_VALUES = 32_000_000
 TOKEN_SALT = 32
 # Values gathered at once while pooling a batch.
 _BLOCK_VALUES = 4_000_000
-# Sentences per call of a caller's encoder.
+# Sentences per call of a caller's encoder, and those put in order of their length at once.
 ENCODER_BATCH = 64
+ENCODER_POOL = 4096
+ENCODER_POOL_CHARS = 16_000_000
 
 
 def mean_pool(df: DataFrame, group: str | list[str], vector: str, mask: str | None = None) -> DataFrame:
@@ -111,21 +113,64 @@ def embed_batches(
     id: str = "sent_id",
     text: str = "text",
     batch_size: int = ENCODER_BATCH,
+    measure: Callable[[str], int] = len,
+    lengths: bool = False,
 ) -> DataFrame:
     """Vectors from a caller's encoder: id, embedding.
 
     ``make_encoder`` runs once per task; the encoder it returns gets lists of texts and
-    gives one vector per text.
+    gives one vector per text. Texts of a task are put in order of their ``measure`` before they
+    are cut into batches, ``ENCODER_POOL`` rows or ``ENCODER_POOL_CHARS`` characters at a time, so
+    that a batch pads little whatever the order of the rows. With ``lengths``, the columns
+    ``length`` and ``padded_to`` (the longest of its batch) tell how much: see
+    :func:`padding_waste`. A null text is encoded as an empty one.
     """
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make_encoder()
-        for b in batches:
-            for lo in range(0, b.num_rows, batch_size):
-                part = b.slice(lo, batch_size)
-                m = np.asarray(encoder(part.column(text).to_pylist()), np.float32)
-                vectors = R.list_array(m.ravel(), np.full(len(m), m.shape[1]), pa.float32())
-                yield pa.RecordBatch.from_arrays([part.column(id), vectors], names=[id, "embedding"])
-
+        for ids, texts in _pools(batches):
+            size = np.array([measure(t) for t in texts], np.int64)
+            order = np.argsort(size, kind="stable")
+            for lo in range(0, len(order), batch_size):
+                at = order[lo : lo + batch_size]
+                m = np.asarray(encoder([texts[i] for i in at]), np.float32)
+                out = [ids.take(pa.array(at)), R.list_array(m.ravel(), np.full(len(m), m.shape[1]), pa.float32())]
+                if lengths:
+                    out += [pa.array(size[at]), pa.array(np.full(len(at), size[at].max()))]
+                yield pa.RecordBatch.from_arrays(out, names=names)
+
+    names = [id, "embedding", "length", "padded_to"][: 4 if lengths else 2]
     kind = df.schema[id].dataType.simpleString()
-    return df.select(id, text).mapInArrow(embed, f"{id} {kind}, embedding array<float>")
+    schema = f"{id} {kind}, embedding array<float>" + ", length bigint, padded_to bigint" * lengths
+    return df.select(id, F.coalesce(text, F.lit("")).alias(text)).mapInArrow(embed, schema)
+
+
+def _pools(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+    """(ids, texts) of the rows of a task, across the borders of its Arrow batches."""
+    ids: list[pa.Array] = []
+    texts: list[str] = []
+    chars = 0
+    for b in batches:
+        own, lo = b.column(1).to_pylist(), 0
+        for hi, t in enumerate(own, 1):
+            chars += len(t)
+            if len(texts) + hi - lo >= ENCODER_POOL or chars >= ENCODER_POOL_CHARS:
+                yield pa.concat_arrays([*ids, b.column(0).slice(lo, hi - lo)]), texts + own[lo:hi]
+                ids, texts, chars, lo = [], [], 0, hi
+        if lo < len(own):
+            ids.append(b.column(0).slice(lo))
+            texts += own[lo:]
+    if texts:
+        yield pa.concat_arrays(ids), texts
+
+
+def padding_waste(encoded: DataFrame) -> DataFrame:
+    """One row: n_rows, length, padded_to (sums) and waste, the share of padding in what the encoder
+    got (NULL without rows). ``encoded`` comes from :func:`embed_batches` with ``lengths``."""
+    length, padded = F.sum("length"), F.sum("padded_to")
+    return encoded.agg(
+        F.count("*").alias("n_rows"),
+        length.alias("length"),
+        padded.alias("padded_to"),
+        F.when(padded > 0, 1 - length / padded).alias("waste"),
+    )

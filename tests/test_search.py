@@ -256,3 +256,64 @@ def test_nan_and_null_vectors_are_no_hits(spark):
     queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id bigint, embedding array<float>")
     hits = semantic_search(queries, corpus, k=10).collect()
     assert sorted(h.vec_id for h in hits) == list(range(40, 50))
+
+
+@pytest.fixture
+def letters():
+    """An encoder: how many characters and how many letters e. Made here, as the workers cannot
+    import this module."""
+
+    def make():
+        return lambda texts: [[len(t), t.count("e")] for t in texts]
+
+    return make
+
+
+def test_batches_of_an_encoder_are_even_across_arrow_borders(spark, letters):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        # short and long texts take turns
+        rows = [(i, "e" * (500 if i % 2 else 3)) for i in range(256)] + [(256, None), (257, "")]
+        df = spark.createDataFrame(rows, "sent_id bigint, text string").coalesce(1)
+        encoded = P.embed_batches(df, letters, lengths=True)
+        assert {r.sent_id: r.embedding for r in encoded.collect()} == {i: [len(t or "")] * 2 for i, t in rows}
+        waste = P.padding_waste(encoded).first()
+        # in the order of the rows it would be near a half
+        assert waste.n_rows == 258 and waste.waste < 0.02
+        assert P.padding_waste(encoded.limit(0)).first().waste is None
+        assert P.embed_batches(df.limit(0), letters).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_pools_are_bounded_by_rows_and_characters(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(P, "ENCODER_POOL", 5)
+    monkeypatch.setattr(P, "ENCODER_POOL_CHARS", 100)
+    texts = ["a", "b" * 99, "c"] + ["d"] * 13
+    batches = [pa.record_batch([pa.array(range(lo, min(lo + 6, 16))), pa.array(texts[lo : lo + 6])], ["i", "t"]) for lo in (0, 6, 12)]
+    pools = [(ids.to_pylist(), t) for ids, t in P._pools(iter(batches))]
+    assert [len(t) for _, t in pools] == [2, 5, 5, 4]
+    assert [i for ids, _ in pools for i in ids] == list(range(16)) and [x for _, t in pools for x in t] == texts
+
+
+def test_text_search_and_ranks_from_text(spark, letters):
+    from sentspark.plans.search import rank_by_text, search_by_text
+
+    embed = lambda df: P.embed_batches(df, letters, "vec_id")
+    texts = ["eee", "xxx", "exx", "eex", "", "eee"]
+    lines = spark.createDataFrame(list(enumerate(texts)), "vec_id bigint, text string")
+    asked = [(0, "ee"), (1, None), (2, "ee"), (3, "x")]
+    queries = spark.createDataFrame(asked, "query_id bigint, text string")
+    found = search_by_text(queries, lines, embed(lines), embed, 2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.query, r.text) for r in found) == [
+        (0, 1, 0, "ee", "eee"), (0, 2, 5, "ee", "eee"), (1, 1, 0, None, "eee"), (1, 2, 1, None, "xxx"),
+        (2, 1, 0, "ee", "eee"), (2, 2, 5, "ee", "eee"), (3, 1, 1, "x", "xxx"), (3, 2, 2, "x", "exx"),
+    ]
+    assert search_by_text(queries.limit(0), lines, embed(lines), embed).count() == 0
+    pairs = spark.createDataFrame([(0, "e", "eex"), (1, "x", "x"), (2, None, "e")], "query_id bigint, query string, original string")
+    for mode in ("true", "chunk_max"):
+        got = {r.query_id: r["rank"] for r in rank_by_text(pairs, embed(lines), embed, mode).collect()}
+        assert got[1] == 1 and got[2] == 1
+    assert {r.query_id: r["rank"] for r in rank_by_text(pairs, embed(lines), embed).collect()}[0] == 3
