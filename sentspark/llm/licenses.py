@@ -3,16 +3,20 @@
 Built-in functions only. Texts and templates become hashes of shingles of ``SHINGLE``
 words (A-Z lower-cased, without the marks ``.,;:!?"()``). For a template of ``s`` shingles
 the windows have ``s + step - 1`` shingles and start every ``step = max(1, s // 4)``, so
-every occurrence lies whole in a window. Windows without any shingle of a template are
-left out first, which loses nothing: their bands cannot meet. The others are retrieved by
-``BANDS`` bands of ``ROWS`` min-hashes; at the least similarity that a match can have
-(0.55), a band meets with a probability of 0.3 and all bands miss with 1e-5. A match is
-verified exactly: the window holds at least ``CONTAINMENT`` of the template's shingles.
+every occurrence lies whole in a window.
+
+The shingles of the texts meet those of all templates in a broadcast join, and only what is found
+goes on: a window is the set of its shingles that templates of its length have. That loses
+nothing, as other shingles are in no template, and it makes windows only more similar to their
+template. Windows are retrieved by ``BANDS`` bands of ``ROWS`` min-hashes; at the least
+similarity that a match can have (0.55), a band meets with a probability of 0.3 and all bands
+miss with 1e-5. A match is verified exactly: the window holds at least ``CONTAINMENT`` of the
+template's shingles. The work for a word does not depend on the length of the templates.
 
 One row per document and template found: the best window's containment, and the first word
 of the earliest window that has it. Templates are a parameter of at most ``TEMPLATES_MOST``
-rows. Null and empty texts, and texts shorter than a shingle, match nothing. Rows of one
-id are one document.
+rows and ``SHINGLES_MOST`` shingles in all. Null and empty texts, and texts shorter than a shingle,
+match nothing. Rows of one id are one document.
 """
 
 from __future__ import annotations
@@ -21,23 +25,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentspark.llm.catalog import query, table
+from sentspark.llm.license_texts import TEMPLATES
 from sentspark.session import ship_package
 
 SHINGLE = 5
 CONTAINMENT = 0.8
 BANDS, ROWS = 32, 2
+# Most templates, and most shingles of all of them: these are broadcast.
 TEMPLATES_MOST = 1000
-
-#: Notices as the public licenses word them.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0 header": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MIT permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-}
+SHINGLES_MOST = 1_000_000
 
 _GAP = "[\\x20\\x09-\\x0D]+"
 _MARKS = '.,;:!?"()'
@@ -73,8 +69,11 @@ def _bands(values: Column) -> Column:
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """``license``, its distinct shingles and their number ``s``."""
-    if len(templates) > TEMPLATES_MOST:
-        raise ValueError(f"at most {TEMPLATES_MOST} templates, not {len(templates)}")
+    words = sum(len(t.split()) for t in templates.values())
+    if len(templates) > TEMPLATES_MOST or words > SHINGLES_MOST:
+        raise ValueError(
+            f"at most {TEMPLATES_MOST} templates of {SHINGLES_MOST} words, not {len(templates)} of {words}"
+        )
     rows = spark.createDataFrame(sorted(templates.items()), "license string, words string")
     shingles = F.array_distinct(_shingles(F.col("words")))
     return rows.select("license", shingles.alias("template")).withColumn("s", F.size("template")).filter("s > 0")
@@ -89,38 +88,29 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None) ->
     spark = docs.sparkSession
     known = template_table(spark, TEMPLATES if templates is None else templates)
     known = known.withColumn("step", _step(F.col("s")))
-    # at most TEMPLATES_MOST rows, known before anything is read
-    classes = [
-        (r.s, r.step, sorted(set(r.every)))
-        for r in known.groupBy("s", "step").agg(F.flatten(F.collect_list("template")).alias("every")).orderBy("s").collect()
-    ]
-    every = sorted({x for _, _, shingles in classes for x in shingles})
-    if not every:
-        return spark.createDataFrame([], "doc_id long, license string, containment double, first_word long")
-
-    def among(shingles: list[int]) -> Column:
-        return F.array(*map(F.lit, shingles)).cast("array<bigint>")
-
+    index = known.select("s", "step", F.explode("template").alias("shingle")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _shingles(F.col("text")).alias("shingles"))
-    texts = texts.filter(F.arrays_overlap("shingles", among(every)))
-
-    def starts(s: int, step: int, shingles: list[int]) -> Column:
-        """Starts of the windows of a class that hold one of its shingles."""
-        width = s + step - 1
-        hits = F.filter(
-            F.transform("shingles", lambda x, i: F.when(F.array_contains(among(shingles), x), i)), lambda i: i.isNotNull()
-        )
-        low = lambda i: F.greatest(F.lit(0), F.ceil((i - width + 1) / step) * step).cast("int")
-        windows = F.flatten(F.transform(hits, lambda i: F.sequence(low(i), F.floor(i / step).cast("int") * step, F.lit(step))))
-        return F.transform(
-            F.array_distinct(windows),
-            lambda p: F.struct(F.lit(s).alias("s"), p.alias("p"), F.slice("shingles", p + 1, F.lit(width)).alias("window")),
-        )
-
-    windows = texts.select("doc_id", F.explode(F.concat(*(starts(*c) for c in classes))).alias("w")).select("doc_id", "w.*")
-    keyed = windows.withColumn("key", F.explode(_bands(F.col("window"))))
-    index = known.select("license", "s", "template", F.explode(_bands(F.col("template"))).alias("key"))
-    found = keyed.join(F.broadcast(index), ["s", "key"])
+    # numbers of rows of a scan are the same when a task is run again
+    numbered = texts.withColumn("row", F.monotonically_increasing_id())
+    places = numbered.select("doc_id", "row", F.posexplode("shingles").alias("i", "shingle"))
+    hits = places.join(F.broadcast(index), "shingle")
+
+    width, step = F.col("s") + F.col("step") - 1, F.col("step")
+    low = F.greatest(F.lit(0), F.ceil((F.col("i") - width + 1) / step) * step).cast("int")
+    starts = F.sequence(low, F.floor(F.col("i") / step).cast("int") * step, step)
+    # a group holds at most the shingles of a window
+    windows = (
+        hits.select("doc_id", "row", "s", "shingle", F.explode(starts).alias("p"))
+        .groupBy("doc_id", "row", "s", "p")
+        .agg(F.collect_set("shingle").alias("window"))
+    )
+    keyed = windows.withColumn("bands", _bands(F.col("window"))).select("*", F.posexplode("bands").alias("band", "key"))
+    bands = known.select("license", "s", _bands(F.col("template")).alias("own"))
+    found = keyed.join(F.broadcast(bands.select("*", F.posexplode("own").alias("band", "key"))), ["s", "band", "key"])
+    # a pair that meets in several bands is verified once, at the first of them
+    same = F.zip_with("bands", "own", lambda x, y: x == y)
+    found = found.filter(F.array_position(same, True) == F.col("band") + 1)
+    found = found.select("doc_id", "license", "p", "window").join(F.broadcast(known.select("license", "s", "template")), "license")
     share = F.size(F.array_intersect("template", "window")) / F.col("s")
     found = found.withColumn("containment", share).filter(F.col("containment") >= CONTAINMENT)
     best = found.groupBy("doc_id", "license").agg(
@@ -130,7 +120,8 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None) ->
 
 
 def _oracle() -> str:
-    values = ", ".join(f"('{n}', '{t}')" for n, t in TEMPLATES.items())
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    values = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in TEMPLATES.items())
     plain = f"translate(coalesce({{}}, ''), '{_UPPER}{_MARKS}', '{_LOWER}')"
     words = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
     cut = "array_to_string(w[i:i + 4], ' ')"
