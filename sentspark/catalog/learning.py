@@ -397,8 +397,8 @@ def _(spark, sf_dir):
     return encoded.withColumn("embedding", whole).select("sent_id", joined("embedding"))
 
 
-@query("sweep_trials")
-def _(spark, sf_dir):
+def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trials of a sweep over the settings of the encoder, read back from their report."""
     train = train_ids(spark, sf_dir)
     test = split_lines(spark, sf_dir).filter(F.col("split") == "test").drop("split")
     test = L.training_lines(test).filter(F.col("text") != "")
@@ -409,6 +409,24 @@ def _(spark, sf_dir):
         epochs = Le.encoder_epochs(train, params["dim"], epochs=EPOCHS, window=params["window"])
         return {k: Le.evaluate_encoder(held_out, v, params["dropout"]).first().loss for k, v in enumerate(epochs)}
 
-    report = reusable_path(spark, sf_dir, "trials")
-    Le.sweep(spark, SPACE, objective, TRIALS, report=report)
-    return Le.read_report(spark, report)
+    def sweep() -> DataFrame:
+        report = reusable_path(spark, sf_dir, "trials")
+        Le.sweep(spark, SPACE, objective, TRIALS, report=report)
+        return Le.read_report(spark, report)
+
+    return reusable(spark, sf_dir, "trial-table", sweep, space=SPACE, trials=TRIALS, epochs=EPOCHS, size=VOCAB_SIZE)
+
+
+@query("sweep_trials")
+def _(spark, sf_dir):
+    return trials(spark, sf_dir)
+
+
+@query("sweep_best_trial")
+def _(spark, sf_dir):
+    return Le.best_trial(trials(spark, sf_dir))
+
+
+@query("sweep_running_best")
+def _(spark, sf_dir):
+    return Le.running_best(Le.trial_epochs(trials(spark, sf_dir)), "loss", "epoch", "trial_number")
