@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentspark.llm.catalog import query, table
-from sentspark.llm.frames import buckets, keyed, same_row
+from sentspark.llm.frames import buckets, free, hot_rows, join_hot, keyed, same_row
 from sentspark.llm.links import components
 from sentspark.llm.rolling import LOWER_CODES, Sums, buffers, mix, numbers, planes, row_blocks, word_codes, word_spans
 from sentspark.session import ship_package
@@ -361,14 +361,13 @@ def _labels(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.record_batch({"node": pa.array(node), "label": pa.array(label)})
 
 
-def _large_links(docs: DataFrame, weights: DataFrame) -> DataFrame:
+def _large_links(docs: DataFrame) -> DataFrame:
     """As :func:`_cluster_links` for clusters over ``CLUSTER``; ``docs`` is a written table.
 
     A round compares up to ``ROUND_PIVOTS`` documents outside a cluster's largest
     component with the whole cluster, dealt into parts of at most ``CLUSTER`` shingles.
     """
-    parts = F.ceil(F.col("weight") / CLUSTER).cast("int")
-    dealt = docs.join(weights.select("cluster", parts.alias("parts")), "cluster")
+    dealt = docs.withColumn("parts", F.ceil(F.col("weight") / CLUSTER).cast("int"))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     labels = materialise(docs.select("cluster", "node", F.col("node").alias("label")).distinct(), "jaccard-labels")
     done = None
@@ -450,42 +449,48 @@ def similar_groups(docs: DataFrame, text: str = "text", id: str = "doc_id") -> D
     picked = materialise(
         first.join(clusters, "node").select("cluster", "node", "n", "row.doc_id", "row.tk"), "jaccard-clusters"
     )
-    weights = picked.groupBy("cluster").agg(F.sum(F.col("n") + FINE).alias("weight"))
+    weights = picked.groupBy("cluster").agg(F.sum(F.col("n") + FINE).alias("weight"), F.count("*").alias("nodes"))
     weights = materialise(weights, "jaccard-weights")
-    picked = picked.join(weights, "cluster")
+    picked = join_hot(picked, weights, "cluster", hot_rows(weights, picked.count(), "nodes"))
     texts = rows.join(picked, same_row(rows, picked)).select("cluster", "node", "data", "weight")
     texts = materialise(texts, "jaccard-texts")
     labels = _cluster_links(texts.filter(F.col("weight") <= CLUSTER).drop("weight"))
-    large = weights.filter(F.col("weight") > CLUSTER)
-    if not large.isEmpty():
-        labels = labels.union(_large_links(texts.filter(F.col("weight") > CLUSTER).drop("weight"), large))
+    if not weights.filter(F.col("weight") > CLUSTER).isEmpty():
+        labels = labels.union(_large_links(texts.filter(F.col("weight") > CLUSTER)))
     labels = materialise(labels, "jaccard-links")
-    return nodes.join(labels, "node", "left").select(
-        "doc_id", "tk", "n_shingles", F.coalesce("label", "node").alias("label")
+    counted = known.groupBy("node").agg(F.count("*").alias("rows"))
+    hot = hot_rows(counted, nodes.count(), "rows").join(labels, "node", "left").select("node", "label")
+    named = join_hot(known, labels, "node", hot, "left").union(
+        nodes.filter("node is null").withColumn("label", F.lit(None).cast("long")).select("node", "doc_id", "tk", "n_shingles", "label")
     )
+    return named.select("doc_id", "tk", "n_shingles", F.coalesce("label", "node").alias("label"))
 
 
 def components_of(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
     groups = materialise(similar_groups(docs), "jaccard-groups")
-    low = groups.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("low"))
-    named = groups.join(low, "label", "left")
-    own = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("low"))
-    return named.select("doc_id", "n_shingles", own.alias("component_id"))
+    linked = groups.filter("label is not null")
+    low = linked.groupBy("label").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows"))
+    low = materialise(low, "jaccard-low")
+    named = join_hot(linked, low, "label", hot_rows(low, groups.count(), "rows"))
+    alone = groups.filter("label is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return named.select("doc_id", "n_shingles", F.col("low").alias("component_id")).union(alone)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with the document of the smallest id of every component, in the same columns."""
+    """``docs`` with the document of the smallest id of every component, in the same columns,
+    which may have any further names."""
+    id, tk, once, i, t, r = free(docs, "_id", "_tk", "_once", "_i", "_t", "_r")
     groups = materialise(similar_groups(docs), "jaccard-groups")
     first = groups.filter("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "tk")).alias("row"))
-    keep = first.select(F.col("row.doc_id").alias("_id"), F.col("row.tk").alias("_tk"), F.lit(True).alias("_first"))
-    lone = groups.filter("label is null").select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).distinct()
-    keep = keep.union(lone.withColumn("_first", F.lit(False)))
-    rows = docs.withColumns({"_i": F.col("doc_id").cast("long"), "_t": F.xxhash64("text")})
-    kept = rows.join(keep, rows["_i"].eqNullSafe(keep["_id"]) & (rows["_t"] == keep["_tk"]))
-    order = Window.partitionBy("_i", "_t").orderBy("_first")
-    kept = kept.withColumn("_r", F.row_number().over(order)).filter(~F.col("_first") | (F.col("_r") == 1))
-    return kept.select(*(docs[c] for c in docs.columns))
+    keep = first.select(F.col("row.doc_id").alias(id), F.col("row.tk").alias(tk), F.lit(True).alias(once))
+    lone = groups.filter("label is null").select(F.col("doc_id").alias(id), F.col("tk").alias(tk)).distinct()
+    keep = keep.union(lone.withColumn(once, F.lit(False)))
+    rows = docs.withColumns({i: F.col("doc_id").cast("long"), t: F.xxhash64("text")})
+    kept = rows.join(keep, F.col(i).eqNullSafe(F.col(id)) & (F.col(t) == F.col(tk)))
+    order = Window.partitionBy(i, t).orderBy(once)
+    kept = kept.withColumn(r, F.row_number().over(order)).filter(~F.col(once) | (F.col(r) == 1))
+    return kept.select(*docs.columns)
 
 
 @query("op7_jaccard_join")

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentspark.llm.catalog import query, table
-from sentspark.llm.frames import keyed, same_row
+from sentspark.llm.frames import free, keyed, same_row
 from sentspark.llm.rolling import BLOCK, buffers, byte_sums, ramp, row_blocks
 from sentspark.session import ship_package
 from sentspark.storage import materialise
@@ -271,10 +271,12 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with repeated strings cut out of ``text``, in the same columns.
 
     A character that a cut divides is dropped. ``n_chars`` follows the text where it is a
-    column. Documents are kept even when nothing of their text is left.
+    column. Documents are kept even when nothing of their text is left. Further columns may
+    have any names.
     """
+    id, tk, ranges = free(docs, "_id", "_tk", "_ranges")
     found = repeats(keyed(docs, text)).select(
-        F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.col("ranges").alias("_ranges")
+        F.col("doc_id").alias(id), F.col("tk").alias(tk), F.col("ranges").alias(ranges)
     )
 
     @F.arrow_udf("string")
@@ -289,13 +291,13 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
             out.append(_kept(data, cut_spans(r, len(data))).decode("utf-8", "ignore"))
         return pa.array(out, pa.string())
 
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_tk"))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(id)) & (F.xxhash64(F.col(text)) == F.col(tk))
     cut = docs.join(found, on, "left").withColumn(
-        text, F.when(F.col("_ranges").isNull(), F.col(text)).otherwise(trimmed(text, "_ranges"))
+        text, F.when(F.col(ranges).isNull(), F.col(text)).otherwise(trimmed(text, ranges))
     )
     if "n_chars" in docs.columns:
         size = F.char_length(text).cast(docs.schema["n_chars"].dataType)
-        cut = cut.withColumn("n_chars", F.when(F.col("_ranges").isNull(), F.col("n_chars")).otherwise(size))
+        cut = cut.withColumn("n_chars", F.when(F.col(ranges).isNull(), F.col("n_chars")).otherwise(size))
     return cut.select(*docs.columns)
 
 

@@ -185,23 +185,23 @@ def scores(model: Model):
     return score
 
 
-def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    return docs.withColumn("_score", scores(model)(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
+def _score(model: Model) -> Column:
+    return scores(model)(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
 
 
 def toxicity_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those scored as toxic, in the same columns."""
-    return with_scores(docs, fit(docs, labels)).filter(F.col("_score") < THRESHOLD).select(*(docs[c] for c in docs.columns))
+    """``docs`` without those scored as toxic, in the same columns, which may have any further names."""
+    return docs.filter(_score(fit(docs, labels)) < THRESHOLD)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score and prediction of every document, and whether its label was held out."""
-    return with_scores(docs, fit(docs, labels)).select(
+    scored = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         held_out(F.col("doc_id")).alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"),
+        _score(fit(docs, labels)).alias("score"),
     )
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 @query("op4_toxicity_nnpu")
