@@ -135,7 +135,7 @@ FROM padded""",
 def _(spark, sf_dir):
     examples = E.contrastive_examples(word_ids(spark, sf_dir))
     batches = E.make_batches(examples, BATCH)
-    return E.pad_batches(batches, by=("block", "batch_id")).select(
+    return E.pad_batches(batches, by=("bucket", "batch_id")).select(
         "sent_id", "batch_id", joined("ids"), joined("padding_mask")
     )
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentspark.functions import arrays as A
 from sentspark.functions import text as T
 from sentspark.functions.draws import below, uniform
-from sentspark.operators.order import shuffle_buffered, with_ordinals
+from sentspark.operators.order import deal_in_order, shuffle_buffered
 
 # Share of tokens to predict; of these, 80% become the mask token, 10% a
 # random token and 10% stay.
@@ -87,21 +89,25 @@ def make_batches(
     max_batches: int = -1,
     id: str = "sent_id",
     pos: str | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Shuffle locally and number the batches: block, shuffled, batch_id. The last batch
     may be short.
 
     Pass ``pos`` if the rows carry dense positions already; otherwise they are numbered
-    in the order of ``id``. With ``max_batches`` only the blocks that can hold the first
-    batches are shuffled; -1 keeps all.
+    in the order of ``id``, dealt by the added column ``bucket`` and moved once. With
+    ``max_batches`` only the blocks that can hold the first batches are shuffled; -1 keeps all.
+    ``stored`` says that ``df`` is a scan of a table, which need not be written first.
     """
+    kept = -(-max_batches * batch_size // buffer) * buffer if max_batches >= 0 else None
+    within: tuple[str, ...] = ()
     if pos is None:
-        pos = "pos"
-        df = with_ordinals(df, [id], pos)
-    if max_batches >= 0:
-        blocks = -(-max_batches * batch_size // buffer)
-        df = df.filter(F.col(pos) < blocks * buffer)
-    out = shuffle_buffered(df, pos, seed, epoch, buffer).withColumn(
+        pos, within = "pos", ("bucket",)
+        # a batch that two blocks share stays in one bucket
+        df = deal_in_order(df, [id], math.lcm(buffer, batch_size), stored, kept)
+    elif kept is not None:
+        df = df.filter(F.col(pos) < kept)
+    out = shuffle_buffered(df, pos, seed, epoch, buffer, within=within).withColumn(
         "batch_id", F.floor(F.col("shuffled") / F.lit(batch_size)).cast("bigint")
     )
     return out.filter(F.col("batch_id") < max_batches) if max_batches >= 0 else out
@@ -120,8 +126,9 @@ def pad_batches(
     Adds ``padding_mask``, true on padding, or with ``mask="attention"`` the opposite
     ``attention_mask``, 1 on tokens, as encoders take it.
 
-    If batches lie within shuffle blocks, pass ``by=("block", "batch_id")``: the rows are
-    already distributed by block, and no further shuffle is needed.
+    If the rows are already dealt by a column whose groups hold whole batches, as by the
+    ``bucket`` of :func:`make_batches`, pass ``by=("bucket", "batch_id")``: no further
+    shuffle is needed then.
     """
     if mask not in ("padding", "attention"):
         raise ValueError(f"mask must be 'padding' or 'attention', not {mask!r}")
@@ -136,9 +143,16 @@ def pad_batches(
 
 
 def inference_batches(
-    df: DataFrame, batch_size: int = INFERENCE_BATCH, ids: str = "ids", id: str = "sent_id"
+    df: DataFrame,
+    batch_size: int = INFERENCE_BATCH,
+    ids: str = "ids",
+    id: str = "sent_id",
+    stored: bool = False,
 ) -> DataFrame:
-    """Batches in the order of ``id``, unshuffled, padded, with an attention mask."""
-    numbered = with_ordinals(df, [id])
+    """Batches in the order of ``id``, unshuffled, padded, with an attention mask.
+
+    The rows move once; ``stored`` as for :func:`make_batches`.
+    """
+    numbered = deal_in_order(df, [id], batch_size, stored)
     batch = F.floor(F.col("pos") / F.lit(batch_size)).cast("bigint")
-    return pad_batches(numbered.withColumn("batch_id", batch), ids, mask="attention")
+    return pad_batches(numbered.withColumn("batch_id", batch), ids, by=("bucket", "batch_id"), mask="attention")

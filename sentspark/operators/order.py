@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentspark.functions.draws import draw_key
@@ -15,6 +15,8 @@ _BUCKETS = 4096
 _PREFIX = 4
 # The cut is finished by a top-k of at most this many rows.
 _FINISH_ROWS = 10_000
+# Buckets of consecutive rows for each shuffle partition.
+_BUCKETS_A_TASK = 4
 
 
 def with_ordinals(
@@ -51,6 +53,59 @@ def with_ordinals(
     )
 
 
+def _borders(df: DataFrame, by: list[str], per: int) -> tuple[list, int]:
+    """Every ``size``-th key of the rows in the order of ``by``, but the first, and ``size``.
+
+    Only the key columns are moved. ``size`` is the multiple of ``per`` that gives about
+    ``_BUCKETS_A_TASK`` buckets for each shuffle partition, so as many keys come to the driver.
+    """
+    numbered = with_ordinals(df.select(*by), by, "pos", stored=True)
+    n = numbered.count()
+    wanted = _BUCKETS_A_TASK * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = max(-(-n // (wanted * per)), 1) * per
+    found = numbered.filter(F.pmod("pos", F.lit(size)) == 0).filter("pos > 0").orderBy("pos")
+    return [tuple(r) for r in found.select(*by).collect()], size
+
+
+def deal_in_order(
+    df: DataFrame, by: list[str], per: int, stored: bool = False, first: int | None = None
+) -> DataFrame:
+    """Number the rows densely in the order of ``by`` while they move once.
+
+    Adds ``pos`` and ``bucket``: a bucket holds consecutive positions, a multiple of ``per``
+    of them, and lies in one task, so that windows over ``bucket`` and parts of it need no
+    further shuffle. The keys that begin the buckets are found from the key columns alone;
+    a row finds its bucket among them by bisection. ``by`` must be unique. With ``first``
+    only the rows before that position are kept, and those of later buckets are not moved.
+
+    ``df`` is read twice and is written first, unless ``stored`` says that it is a scan.
+    """
+    df = df if stored else materialise(df, "rows")
+    borders, size = _borders(df, by, per)
+    bucket = _place(df, by, borders).cast("bigint")
+    if first is not None:
+        df = df.filter(bucket <= (first - 1) // size)
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(*by))
+    out = df.withColumn("bucket", bucket).withColumn("pos", F.col("bucket") * size + rank - 1)
+    return out if first is None else out.filter(F.col("pos") < first)
+
+
+def _place(df: DataFrame, by: list[str], borders: list) -> Column:
+    """How many of the sorted ``borders`` are not above the row's key."""
+    if not borders:
+        return F.lit(0)
+    kinds = [df.schema[c].dataType for c in by]
+    key = F.struct(*by)
+    keys = F.array(*(F.struct(*(F.lit(x).cast(t).alias(c) for x, t, c in zip(b, kinds, by))) for b in borders))
+    steps = [1 << k for k in reversed(range(len(borders).bit_length()))]
+    # a place beyond the last border gives null and is not taken
+    return F.aggregate(
+        F.array(*map(F.lit, steps)),
+        F.lit(0),
+        lambda at, step: F.when(F.get(keys, at + step - 1) <= key, at + step).otherwise(at),
+    )
+
+
 def shuffle_full(
     df: DataFrame, id: str = "sent_id", seed: int = 42, epoch: int = 0, name: str = "pos"
 ) -> DataFrame:
@@ -66,14 +121,16 @@ def shuffle_buffered(
     epoch: int = 0,
     buffer: int = 2048,
     name: str = "shuffled",
+    within: tuple[str, ...] = (),
 ) -> DataFrame:
     """A permutation that moves no row out of its block of ``buffer`` positions.
 
     ``pos`` must be dense. Every block has at most ``buffer`` rows, so the window has
-    no large group.
+    no large group. If the rows are already dealt by columns whose groups hold whole blocks,
+    name these as ``within``: no further shuffle is needed then.
     """
     block = F.floor(F.col(pos) / F.lit(buffer)).cast("bigint")
-    w = Window.partitionBy("block").orderBy(draw_key(seed, f"buffer:{epoch}", pos), pos)
+    w = Window.partitionBy(*within, "block").orderBy(draw_key(seed, f"buffer:{epoch}", pos), pos)
     return df.withColumn("block", block).withColumn(
         name, F.col("block") * F.lit(buffer) + F.row_number().over(w) - F.lit(1)
     )

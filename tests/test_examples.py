@@ -102,3 +102,34 @@ def test_labels_are_padded_with_the_ids(spark):
     for r in E.pad_batches(df, "input_ids", "labels").collect():
         n = len(r.ids)
         assert len(r.input_ids) == len(r.labels) == 9 and r.labels[n:] == [1] * (9 - n)
+
+
+def _exchanges(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    return final.count("Exchange hashpartitioning") + final.count("Exchange rangepartitioning")
+
+
+def test_batches_move_the_rows_once(spark):
+    df = E.contrastive_examples(frame(spark, [1 + i % 17 for i in range(3000)]))
+    want = {r.sent_id: (r.batch_id, tuple(r.ids)) for r in E.pad_batches(E.make_batches(df, 32, buffer=128)).collect()}
+    once = E.pad_batches(E.make_batches(df, 32, buffer=128), by=("bucket", "batch_id"))
+    assert _exchanges(once) == 1
+    assert {r.sent_id: (r.batch_id, tuple(r.ids)) for r in once.collect()} == want
+    assert _exchanges(E.inference_batches(df, 64)) == 1
+    # rows of later buckets are not moved
+    few = E.make_batches(df, 32, buffer=128, max_batches=2)
+    assert _exchanges(few) == 1 and {r.sent_id for r in few.collect()} == {k for k, (b, _) in want.items() if b < 2}
+
+
+@pytest.mark.parametrize("batch", [7, 48, 500])
+def test_batches_across_blocks_stay_in_one_bucket(spark, batch):
+    df = frame(spark, [1 + i % 11 for i in range(2000)])
+    rows = E.pad_batches(E.make_batches(df, batch, buffer=32), by=("bucket", "batch_id")).collect()
+    assert sorted(r.shuffled for r in rows) == list(range(2000))
+    longest = defaultdict(int)
+    for r in rows:
+        longest[r.batch_id] = max(longest[r.batch_id], 1 + r.sent_id % 11)
+        assert r.batch_id == r.shuffled // batch
+    assert all(len(r.ids) == longest[r.batch_id] for r in rows)

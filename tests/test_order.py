@@ -86,3 +86,23 @@ def test_weighted_median(spark, values):
 
     hist = ids(spark, values).groupBy("sent_id").agg(F.count("*").alias("n"))
     assert O.weighted_median(hist, "sent_id", "n") == statistics.median(values)
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 999, 1000])
+def test_rows_dealt_in_order(spark, n):
+    from pyspark.sql import types as T
+
+    values = random.Random(n).sample(range(10**6), n)
+    schema = T.StructType([T.StructField(c, t) for c, t in (("s", T.StringType()), ("k", T.LongType()), ("x", T.LongType()))])
+    rows = [(None if v % 7 == 0 else f"g{v % 3}", v, i) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    got = O.deal_in_order(df, ["s", "k"], 3).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert {r.k: r.pos for r in got} == {r[1]: i for i, r in enumerate(order)}
+    buckets = {r.pos // 3: set() for r in got}
+    for r in got:
+        buckets[r.pos // 3].add(r.bucket)
+    assert all(len(b) == 1 for b in buckets.values())
+    assert n < 999 or len({r.bucket for r in got}) > 8
+    first = O.deal_in_order(df, ["s", "k"], 3, first=100).collect()
+    assert {r.k: r.pos for r in first} == {r[1]: i for i, r in enumerate(order[:100])}
