@@ -1,5 +1,7 @@
+import pyarrow.parquet as pq
 import pytest
 
+from sentspark.catalog import QUERIES, load
 from sentspark.streaming.dedup import dedup_stream, run_available
 
 
@@ -37,3 +39,13 @@ def test_late_copy_does_not_hide_an_on_time_text(spark, tmp_path):
     arrive(1, [("x", "2024-01-01 10:00:00"), ("x", "2024-01-01 12:05:00"), ("first", "2024-01-01 12:00:30")])
     # the second run goes on where the first one ended
     assert sorted(r.text for r in run().collect()) == ["first", "x"]
+
+
+def test_stream_dedup_reads_one_file_and_a_folder_of_files(spark, tmp_path):
+    load()
+    docs = spark.createDataFrame([(1, "a\nb"), (2, "b\nc"), (3, None), (4, "a")], "doc_id long, text string")
+    docs.repartition(3).write.parquet(str(tmp_path / "folder/documents.parquet"))
+    pq.write_table(docs.toArrow(), tmp_path / "documents.parquet")
+    for path in (tmp_path / "folder", tmp_path):
+        got = QUERIES["stream_dedup"](spark, str(path)).collect()
+        assert sorted(r.text for r in got) == ["a", "b", "c"]
