@@ -121,3 +121,33 @@ def test_ranges_of_settings():
     drawn = [Le.draw_params(space, k) for k in range(200)]
     assert {d["b"] for d in drawn} == {2, 4, 6}
     assert all(1e-4 <= d["a"] <= 1e-1 for d in drawn) and 60 < sum(d["a"] < 10**-2.5 for d in drawn) < 140
+
+
+def test_cooccurrences_of_many_windows(spark):
+    data = rows()
+    df = spark.createDataFrame(data, "sent_id int, ids array<int>")
+    got = {(r.token, r.context): (r.n_2, r.n_6) for r in Le.cooccurrences_by_window(df, [2, 6]).collect()}
+    narrow, wide = counted(data, 2), counted(data, 6)
+    assert got == {p: (narrow[p], wide[p]) for p in wide}
+
+
+def test_pairs_across_the_parts_of_a_task_are_counted_once(monkeypatch):
+    monkeypatch.setattr(Le, "GATHERED", 7)
+    data = rows()
+    flat = np.array([x for _, ids in data for x in ids or []], np.int64)
+    lengths = np.array([len(ids or []) for _, ids in data])
+    got = Counter()
+    for left, right, (n,) in Le._near(flat, lengths, np.array([[0, 3, 2, 1]])):
+        for a, b, k in zip(left.tolist(), right.tolist(), n.tolist()):
+            got[a, b] += k
+            got[b, a] += k
+    assert got == counted(data, 3)
+
+
+def test_one_pass_over_the_rows_gives_the_counts(spark, monkeypatch):
+    """Neighbours are counted before they leave the Python of a task: no row for each of them."""
+    flat, lengths = np.zeros(1000, np.int64), np.array([1000])
+    rows = list(Le._near(flat, lengths, np.array([[0, 5, 4, 3, 2, 1]])))
+    assert [(list(a), list(b), [list(s) for s in n]) for a, b, n in rows] == [
+        ([0], [0], [[999 * 5 + 998 * 4 + 997 * 3 + 996 * 2 + 995]])
+    ]
