@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -317,3 +319,26 @@ def test_text_search_and_ranks_from_text(spark, letters):
         got = {r.query_id: r["rank"] for r in rank_by_text(pairs, embed(lines), embed, mode).collect()}
         assert got[1] == 1 and got[2] == 1
     assert {r.query_id: r["rank"] for r in rank_by_text(pairs, embed(lines), embed).collect()}[0] == 3
+
+
+def test_ranks_at_the_limit_are_exact():
+    """Vectors about as similar as the reference: nearer than single precision tells, and farther."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(400, 24))
+    vectors = np.concatenate([base, base + 1e-8 * rng.normal(size=base.shape), base, np.zeros((1, 24))])
+    vectors /= np.maximum(np.sqrt((vectors**2).sum(axis=1, keepdims=True)), 1e-12)
+    query, original = vectors[:700:3] + 0.1, vectors[1:701:3]
+    for part in (vectors, np.repeat(vectors[:1], 900, axis=0), vectors[:0]):
+        reference = (query * original).sum(axis=1)
+        want = [(v.sum(axis=1) > r + S._MARGIN).sum() for v, r in zip(part[None] * query[:, None], reference)]
+        assert S._better(query, reference, part).tolist() == want
+
+
+def test_counting_better_rows_needs_no_table_of_all_pairs():
+    rng = np.random.default_rng(6)
+    query, vectors = rng.normal(size=(2000, 8)), rng.normal(size=(2000, 8))
+    tracemalloc.start()
+    S._better(query, np.zeros(2000), vectors)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8_000_000  # 2000 x 2000 numbers are 32 MB
