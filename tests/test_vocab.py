@@ -1,6 +1,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 
 from sentspark.functions import text as T
@@ -152,3 +153,37 @@ def test_vocabulary_round_trip(spark, tmp_path):
     assert sorted(vocab.collect()) == sorted(vocab2.collect())
     assert V.vocabulary_size(vocab2) == vocab.count()
     assert sorted(table.collect()) == sorted(table2.collect())
+
+
+def test_merging_equals_a_loop_over_the_symbols():
+    rng = np.random.default_rng(8)
+    for listed in ([(1, 1, 9)], [(0, 1, 9), (2, 3, 8), (0, 3, 7)]):
+        words = [list(map(int, rng.integers(0, 4, n))) for n in rng.integers(1, 12, 200)]
+        flat, lengths = np.array(sum(words, []), np.int32), np.array(list(map(len, words)))
+        got, sizes = V._apply_batch(flat, lengths, V._as_arrays(listed))
+        made, want = {(l, r): n for l, r, n in listed}, []
+        for w in words:
+            out, i = [], 0
+            while i < len(w):
+                new = made.get(tuple(w[i : i + 2]))
+                out.append(w[i] if new is None else new)
+                i += 1 if new is None else 2
+            want.append(out)
+        assert [x.tolist() for x in np.split(got, np.cumsum(sizes)[:-1])] == want
+
+
+def test_sums_by_pair_are_exact_either_way():
+    rng = np.random.default_rng(9)
+    left, right = rng.integers(0, 50, (2, 70_000))
+    keys, n = (left << 32) | right, rng.integers(1, 1 << 50, 70_000)
+    few, many = V._sum_by_pair(keys, 50, n), V._sum_by_pair(keys, 50_000, n)
+    want = {}
+    for k, w in zip(keys.tolist(), n.tolist()):
+        want[k] = want.get(k, 0) + w
+    assert dict(zip(few[0].tolist(), few[1].tolist())) == dict(zip(many[0].tolist(), many[1].tolist())) == want
+
+
+def test_a_small_word_table_is_dealt_to_all_cores(spark):
+    words = spark.createDataFrame([(f"word{k}", 1) for k in range(400)], "word string, freq long").coalesce(1)
+    alphabet = np.array(sorted({ord(c) for c in "word0123456789"}), np.uint32)
+    assert V._character_words(words, alphabet).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
