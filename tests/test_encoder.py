@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sentspark.functions.vectors import l2_normalize
 from sentspark.operators import learn as Le
 from sentspark.plans.embed import embed_in_chunks
 from sentspark.sources import embeddings as E
@@ -151,3 +152,11 @@ def test_one_pass_over_the_rows_gives_the_counts(spark, monkeypatch):
     assert [(list(a), list(b), [list(s) for s in n]) for a, b, n in rows] == [
         ([0], [0], [[999 * 5 + 998 * 4 + 997 * 3 + 996 * 2 + 995]])
     ]
+
+
+def test_length_of_a_vector_is_found_once(spark):
+    """It is the argument of the function over the components, not a part of it."""
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>").select(l2_normalize("v").alias("u"))
+    assert [r.u for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0]]
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert "array(greatest(" in plan
