@@ -36,3 +36,14 @@ def test_the_vocabulary_splits_lines_once(spark, monkeypatch):
     monkeypatch.setattr(inputs, "reusable", lambda spark, sf_dir, name, build, **settings: build())
     inputs.word_vocabulary(spark, SF_DIR)
     assert plan(built[0]).count(T.WORDS) == 1
+
+
+def test_batches_of_ids_alone_need_no_words(spark, monkeypatch):
+    import sentspark.catalog.examples as C
+
+    def unused(*args):
+        raise AssertionError("lines are encoded, and the numbers of their words are not used")
+
+    monkeypatch.setattr(C, "word_ids", unused)
+    for name in ("make_batches", "capped_batches"):
+        assert QUERIES[name](spark, SF_DIR).count() > 0
