@@ -47,3 +47,7 @@ def test_batches_of_ids_alone_need_no_words(spark, monkeypatch):
     monkeypatch.setattr(C, "word_ids", unused)
     for name in ("make_batches", "capped_batches"):
         assert QUERIES[name](spark, SF_DIR).count() > 0
+
+
+def test_epochs_share_the_ids(spark):
+    assert plan(QUERIES["epoch_examples"](spark, SF_DIR)).count("look_up(") == 1
