@@ -40,3 +40,28 @@ def test_windows_are_filled_by_all_terms_and_neighbours():
     corpus = packing.Corpus(len(docs), 2.0, terms.astype(np.int64), df)
     order = list(dict.fromkeys(p[0] for p in packing.pack(docs, corpus)))
     assert sorted(order) == list(range(128)) and order[:64] == list(range(0, 128, 2))
+
+
+def test_used_documents_leave_the_index_and_scores_stay(monkeypatch):
+    import numpy as np
+    from sentspark.llm import packing
+
+    rng = np.random.default_rng(5)
+    docs = [rng.zipf(1.3, rng.integers(1, 300)).clip(0, 900).astype(np.uint32) for _ in range(400)]
+    terms, df = np.unique(np.concatenate([np.unique(d) for d in docs]), return_counts=True)
+    corpus = packing.Corpus(len(docs), float(np.mean([len(d) for d in docs])), terms.astype(np.int64), df)
+
+    indexes, built = [], packing.Index.__init__
+    monkeypatch.setattr(packing.Index, "__init__", lambda self, *a: built(self, *a) or indexes.append(self))
+    got = packing.pack(docs, corpus)
+    assert indexes[0].rows.shape[1] < len(docs) / 2
+    monkeypatch.setattr(packing, "LIVE", 0)
+    assert packing.pack(docs, corpus) == got
+
+    # the two strongest shared terms, ties to the smaller one, by sorting all of them
+    doc, term, weight = corpus.weighed(docs)
+    want = []
+    for d in range(len(docs)):
+        own = sorted((-w, t) for w, t in zip(weight[doc == d], term[doc == d]) if corpus.df[t] > 1)[:2]
+        want.append(sum(int(t) << s for (_, t), s in zip(own, (32, 0))))
+    assert corpus.keys(docs).tolist() == want
