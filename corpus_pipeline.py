@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sentspark.llm.jaccard import one_of_each
 from sentspark.llm.packing import byte_vocabulary, packed
+from sentspark.llm.passages import remove_passages
 from sentspark.llm.quality import quality_filter
-from sentspark.llm.suffix import remove_repeats
 from sentspark.llm.toxicity import toxicity_filter
 from sentspark.session import ship_package
 from sentspark.storage import materialise
@@ -37,9 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the byte strings that are repeated among them."""
+    """All documents, without the byte strings and word sequences that are repeated among them."""
     ship_package(spark)
-    return remove_repeats(docs)
+    return remove_passages(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -209,8 +209,43 @@ def _entries(rows: DataFrame, hits: DataFrame) -> DataFrame:
     return joined.mapInArrow(lambda batches: combined(parts(batches)), ENTRY)
 
 
+def window_entries(batch: pa.RecordBatch):
+    """Runs of all windows of the documents of ``batch``, without the index of blocks."""
+    ids, tks = batch.column("doc_id"), batch.column("tk")
+    for a, sums, first in _documents(batch):
+        count = np.maximum(np.diff(first) - LENGTH + 1, 0)
+        wanted = np.repeat(first[:-1], count) + ramp(count)
+        if not len(wanted):
+            continue
+        lo, n, common, context = _runs(sums, sums.windows(1), wanted)
+        owner = np.searchsorted(first, lo, "right") - 1
+        at = pa.array(owner + a)
+        yield common, context, ids.take(at), tks.take(at), pa.array(lo - first[owner]), pa.array(n.astype(np.int32))
+
+
+def window_places(batch: pa.RecordBatch, lists: pa.Array, id: str = "doc_id"):
+    """Every window of ``lists`` (ranges of each row), with its hash as ``context``."""
+    ids, tks = batch.column(id), batch.column("tk").to_numpy()
+    for a, sums, first in _documents(batch):
+        for d in range(len(first) - 1):
+            ranges = lists[a + d].values
+            if not len(ranges):
+                continue
+            common, lo, n = (ranges.field(k).to_numpy() for k in range(3))
+            at = np.repeat(lo, n) + ramp(n)
+            start = first[d] + at
+            yield (
+                np.repeat(common, n).view(np.uint64),
+                sums.spans(start, start + LENGTH),
+                ids.take(pa.array(np.full(len(at), a + d))),
+                pa.array(np.full(len(at), tks[a + d])),
+                pa.array(at),
+                pa.array(np.ones(len(at), np.int32)),
+            )
+
+
 def _windows(rows: DataFrame, borders: DataFrame) -> DataFrame:
-    """Every window of the border runs, with its hash as ``context``."""
+    """Every window of the border runs."""
     listed = per_row(borders, "common", "lo", "n")
     joined = rows.join(listed, (rows["row"] == listed["doc_id"]) & (rows["tk"] == listed["tk"])).select(
         *(rows[c] for c in rows.columns), "ranges"
@@ -218,21 +253,7 @@ def _windows(rows: DataFrame, borders: DataFrame) -> DataFrame:
 
     def parts(batches):
         for batch in batches:
-            ids, tks, lists = batch.column("row").to_numpy(), batch.column("tk").to_numpy(), batch.column("ranges")
-            for a, sums, first in _documents(batch):
-                for d in range(len(first) - 1):
-                    ranges = lists[a + d].values
-                    common, lo, n = (ranges.field(k).to_numpy() for k in range(3))
-                    at = np.repeat(lo, n) + ramp(n)
-                    start = first[d] + at
-                    yield (
-                        np.repeat(common, n).view(np.uint64),
-                        sums.spans(start, start + LENGTH),
-                        pa.array(np.full(len(at), ids[a + d])),
-                        pa.array(np.full(len(at), tks[a + d])),
-                        pa.array(at),
-                        pa.array(np.ones(len(at), np.int32)),
-                    )
+            yield from window_places(batch, batch.column("ranges"), "row")
 
     return joined.mapInArrow(lambda batches: combined(parts(batches)), ENTRY)
 

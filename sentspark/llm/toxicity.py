@@ -2,8 +2,8 @@
 
 The training data is bounded: up to ``POSITIVES`` confirmed toxic documents and
 ``UNLABELLED`` documents of any kind, those with the least hash of their id, from rows
-that are not held out. Only that sample reaches the driver, as hashes of the distinct
-words of each document. A logistic classifier is trained in numpy on the risk
+that are not held out. Only that sample is brought together, in one task, as hashes of the distinct
+words of each document; the driver gets the model. A logistic classifier is trained in numpy on the risk
 
     prior * E_pos[l(+)] + max(0, E_unl[l(-)] - prior * E_pos[l(-)])
 
@@ -160,12 +160,23 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """The classifier, trained in one task on the bounded sample."""
     prior, sample = training_sample(docs, labels)
-    rows = sample.toArrow()
-    kinds = rows.column("toxic").to_pylist()
-    sets = [np.frombuffer(x, np.uint64) for x in rows.column("words").to_pylist()]
-    sets = sorted(zip(kinds, sets, strict=True), key=lambda x: x[1].tobytes())
-    return train([s for k, s in sets if k], [s for k, s in sets if not k], prior)
+
+    def run(batches):
+        sets = []
+        for batch in batches:
+            words = (np.frombuffer(x, np.uint64) for x in batch.column("words").to_pylist())
+            sets += zip(batch.column("toxic").to_pylist(), words, strict=True)
+        sets.sort(key=lambda x: x[1].tobytes())
+        model = train([s for k, s in sets if k], [s for k, s in sets if not k], prior)
+        row = {"words": [model.words.tobytes()], "weights": [model.weights.tobytes()], "bias": [float(model.bias)]}
+        yield pa.record_batch(row)
+
+    found = sample.repartition(1).mapInArrow(run, "words binary, weights binary, bias double").collect()
+    if not found:  # no document at all
+        return train([], [], prior)
+    return Model(np.frombuffer(found[0].words, np.uint64), np.frombuffer(found[0].weights), found[0].bias)
 
 
 def scores(model: Model):
