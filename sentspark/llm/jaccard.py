@@ -8,7 +8,7 @@ window would hold all of them. The join therefore has two levels.
 1. *Slices.* Shingles are dealt by hash into more slices than two linked documents can
    differ in shingles, so linked documents agree on a slice that is not empty
    (:func:`slice_keys`). Documents that agree on a slice and whose sketches allow a link
-   (:func:`sketch`, a lower bound of their difference) are chained, and the connected
+   (:func:`sketch`, a lower bound of their difference, finer for larger sets) are chained, and the connected
    components of the chains are clusters: no link leaves a cluster.
 2. *Pivots.* Within a cluster some documents are pivots. Their distances to all others are
    exact and give links; the others fall into the Voronoi region of their nearest pivot,
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from sentspark.llm.catalog import query, table
 from sentspark.llm.frames import buckets, free, hot_rows, join_hot, keyed, same_row
 from sentspark.llm.links import components
-from sentspark.llm.rolling import LOWER_CODES, Sums, buffers, mix, numbers, planes, row_blocks, word_codes, word_spans
+from sentspark.llm.rolling import LOWER_CODES, Sums, buffers, mix, numbers, planes, ramp, row_blocks, word_codes, word_spans
 from sentspark.session import ship_package
 from sentspark.storage import materialise
 
@@ -51,8 +51,10 @@ LINK_A, LINK_B = 100, 85
 CLUSTER = 1 << 24
 #: Pivots of a region, and of a large cluster's round; parts of the sketches in a cluster.
 PIVOTS, ROUND_PIVOTS, FINE = 8, 2048, 512
-#: Keys gathered before they are dealt out, and parts of a sketch.
-FLUSH, PARTS = 1 << 20, 32
+#: Keys gathered before they are dealt out; least parts of a sketch, and most shingles for each of them.
+FLUSH, PARTS, FULL = 1 << 20, 32, 16
+#: Parts of sketches compared at once.
+_CELLS = 1 << 20
 
 _U = np.uint64
 _GOLD = 0x9E3779B97F4A7C15
@@ -121,28 +123,77 @@ def slice_keys(values: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def sketch(values: np.ndarray) -> np.ndarray:
-    """Sizes, modulo 16, of the ``PARTS`` parts into which a hash deals the set; then the set's size.
+def parts_of(n: int) -> int:
+    """Parts of the sketch of a set of ``n`` shingles: a power of two that grows with the set.
 
-    Two sets differ in at least as many shingles as their sizes differ part by part, also
-    when only the sizes' remainders are known.
+    With ``FULL`` shingles a part or fewer, unrelated sets of any size differ, part by part and
+    modulo 16, in a larger share of their shingles than linked ones can.
     """
-    parts = np.bincount((mix(values + _U(_GOLD)) >> _U(59)).astype(np.int64), minlength=PARTS) & 15
-    packed = (parts[::2] | parts[1::2] << 4).astype(np.uint8)
-    return np.r_[packed, np.array([len(values)], "<u4").view(np.uint8)]
-
+    return max(PARTS, 1 << (-(-n // FULL) - 1).bit_length())
 
-def _near(parts: np.ndarray, size: np.ndarray, one: int, rest: np.ndarray) -> np.ndarray:
-    """Which of ``rest`` may be linked with ``one``, by their sketches."""
-    apart = (parts[rest] - parts[one]) & 15
-    apart = np.minimum(apart, 16 - apart).sum(1)
-    return apart * (LINK_A + LINK_B) <= (LINK_A - LINK_B) * (size[rest] + size[one])
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    """Sizes, modulo 16, of the parts into which a hash deals the set, two to a byte.
 
-def _dealt(keys: list[np.ndarray], nodes: list[np.uint64], sketches: list[np.ndarray], n: int) -> pa.RecordBatch:
-    """One row a slot: the low bytes of the keys, their nodes by number, the nodes, the sketches."""
+    Two sets differ in at least as many shingles as their sizes differ part by part, also
+    when only the sizes' remainders are known.
+    """
+    n = parts_of(len(values))
+    part = (mix(values + _U(_GOLD)) >> _U(65 - n.bit_length())).astype(np.int64)
+    parts = np.bincount(part, minlength=n) & 15
+    return (parts[::2] | parts[1::2] << 4).astype(np.uint8)
+
+
+class Sketches:
+    """Sketches one after the other in ``packed``, of sets of the sizes ``size``."""
+
+    def __init__(self, size: np.ndarray, packed: np.ndarray):
+        self.size = size.astype(np.int64)
+        sizes, which = np.unique(self.size, return_inverse=True)
+        self.parts = np.array([parts_of(int(n)) for n in sizes], np.int64)[which]
+        first = np.cumsum(self.parts // 2) - self.parts // 2
+        self.row, self.of = np.zeros(len(size), np.int64), {}
+        for n in np.unique(self.parts).tolist():
+            some = np.flatnonzero(self.parts == n)
+            self.row[some] = np.arange(len(some))
+            both = packed[first[some][:, None] + np.arange(n // 2)]
+            self.of[n] = np.empty((len(some), n), np.uint8)
+            self.of[n][:, ::2], self.of[n][:, 1::2] = both & 15, both >> 4
+
+    def get(self, rows: np.ndarray, n: int) -> np.ndarray:
+        """Sketches in ``n`` parts, of sets with as many or twice as many."""
+        own = self.parts[rows] == n
+        if own.all():
+            return self.of[n][self.row[rows]]
+        out = np.empty((len(rows), n), np.uint8)
+        if own.any():
+            out[own] = self.of[n][self.row[rows[own]]]
+        fine = self.of[2 * n][self.row[rows[~own]]]
+        out[~own] = fine[:, ::2] + fine[:, 1::2]
+        return out
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of sets may be linked."""
+        both = self.size[a] + self.size[b]
+        # sets that pass have sketches of the same number of parts, or one has twice as many
+        near = may_link(np.abs(self.size[a] - self.size[b]), both, 0)
+        least = np.minimum(self.parts[a], self.parts[b])
+        for n in np.unique(least[near]).tolist():
+            some = np.flatnonzero(near & (least == n))
+            for at in np.split(some, range(_CELLS // n or 1, len(some), _CELLS // n or 1)):
+                apart = (self.get(a[at], n) - self.get(b[at], n)) & 15
+                near[at] = may_link(np.minimum(apart, 16 - apart).sum(1, dtype=np.int64), both[at], 0)
+        return near
+
+
+def _dealt(
+    keys: list[np.ndarray], nodes: list[np.uint64], sizes: list[int], sketches: list[np.ndarray], n: int
+) -> pa.RecordBatch:
+    """One row a slot: the low bytes of the keys, their nodes by number, the nodes, the sets' sizes and sketches."""
     owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    key, node, drawn = np.concatenate(keys), np.array(nodes), np.stack(sketches)
+    key, node, size, drawn = np.concatenate(keys), np.array(nodes), np.array(sizes, "<u4"), np.concatenate(sketches)
+    length = np.array([len(x) for x in sketches])
+    first = np.cumsum(length) - length
     slot = (key >> _U(40)) % _U(n)
     order = np.argsort(slot, kind="stable")
     slot, key, owner = slot[order], key[order], owner[order]
@@ -155,7 +206,7 @@ def _dealt(keys: list[np.ndarray], nodes: list[np.uint64], sketches: list[np.nda
             planes(key[a:b], 5),
             planes(np.diff(number, prepend=0), 3),
             node[own].tobytes(),
-            drawn[own].tobytes(),
+            size[own].tobytes() + drawn[np.repeat(first[own], length[own]) + ramp(length[own])].tobytes(),
         )
         for column, x in zip(out, row, strict=True):
             column.append(x)
@@ -168,7 +219,7 @@ def _chains(docs: DataFrame) -> DataFrame:
     n = buckets(docs.sparkSession)
 
     def emit(batches):
-        keys, nodes, sketches, seen, total = [], [], [], set(), 0
+        keys, nodes, sizes, sketches, seen, total = [], [], [], [], set(), 0
         for batch in batches:
             for values in shingle_sets(batch.column("data")):
                 if not len(values) or (node := set_id(values)) in seen:
@@ -176,42 +227,49 @@ def _chains(docs: DataFrame) -> DataFrame:
                 seen.add(node)
                 keys.append(slice_keys(values))
                 nodes.append(node)
+                sizes.append(len(values))
                 sketches.append(sketch(values))
                 total += len(keys[-1])
                 if total >= FLUSH:
-                    yield _dealt(keys, nodes, sketches, n)
-                    keys, nodes, sketches, seen, total = [], [], [], set(), 0
+                    yield _dealt(keys, nodes, sizes, sketches, n)
+                    keys, nodes, sizes, sketches, seen, total = [], [], [], [], set(), 0
         if total:
-            yield _dealt(keys, nodes, sketches, n)
+            yield _dealt(keys, nodes, sizes, sketches, n)
 
     def chain(batches):
-        keys, nodes, sketches = [], [], []
+        keys, nodes, places, sizes, drawn, known = [], [], [], [], [], 0
         for batch in batches:
             for row in batch.to_pylist():
                 at = np.cumsum(numbers(row["b"], 3)).astype(np.int64)
+                named = np.frombuffer(row["c"], np.int64)
                 keys.append(numbers(row["a"], 5) + (_U(row["slot"]) << _U(40)))
-                nodes.append(np.frombuffer(row["c"], np.int64)[at])
-                sketches.append((np.frombuffer(row["d"], np.uint8).reshape(-1, PARTS // 2 + 4), at))
+                nodes.append(named[at])
+                places.append(at + known)
+                sizes.append(np.frombuffer(row["d"], "<u4", len(named)))
+                drawn.append(np.frombuffer(row["d"], np.uint8, offset=4 * len(named)))
+                known += len(named)
         if not keys:
             return
-        first = np.cumsum([0, *(len(x) for x, _ in sketches)])
-        place = np.concatenate([at + f for (_, at), f in zip(sketches, first, strict=False)])
-        drawn = np.concatenate([x for x, _ in sketches])
-        k, v = np.concatenate(keys), np.concatenate(nodes)
-        del keys, nodes, sketches
+        sketches = Sketches(np.concatenate(sizes), np.concatenate(drawn))
+        k, v, place = np.concatenate(keys), np.concatenate(nodes), np.concatenate(places)
+        del keys, nodes, places, sizes, drawn
         order = np.lexsort((v, k))
         k, v, place = k[order], v[order], place[order]
         new = np.r_[True, (k[1:] != k[:-1]) | (v[1:] != v[:-1])]
         k, v, place = k[new], v[new], place[new]
         same = k[1:] == k[:-1]
         starts = np.flatnonzero(np.r_[True, ~same])
-        ends = np.r_[starts[1:], len(k)]
-        parts = np.empty((len(drawn), PARTS), np.uint8)
-        parts[:, ::2], parts[:, 1::2] = drawn[:, : PARTS // 2] & 15, drawn[:, : PARTS // 2] >> 4
-        size = drawn[:, PARTS // 2 :].copy().view("<u4").ravel().astype(np.int64)
-        found = [np.zeros((0, 2), np.int64)]
-        for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-            found += [np.stack([v[x], v[y]], 1) for x, y in _spanned(parts, size, place[a:b], a)]
+        count = np.diff(np.r_[starts, len(k)])
+        # two members: each pair once, all side by side
+        two = starts[count == 2]
+        two = two[np.lexsort((v[two + 1], v[two]))]
+        two = two[np.r_[True, (v[two[1:]] != v[two[:-1]]) | (v[two[1:] + 1] != v[two[:-1] + 1])][: len(two)]]
+        two = two[sketches.near(place[two], place[two + 1])]
+        found, seen = [np.stack([v[two], v[two + 1]], 1)], set()
+        for a, n in zip(starts[count > 2].tolist(), count[count > 2].tolist(), strict=True):
+            if (members := v[a : a + n].tobytes()) not in seen:
+                seen.add(members)
+                found += [np.stack([v[x], v[y]], 1) for x, y in _spanned(sketches, place[a : a + n], a)]
         pairs = np.unique(np.concatenate(found), axis=0)
         if len(pairs):
             yield pa.record_batch({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
@@ -220,13 +278,13 @@ def _chains(docs: DataFrame) -> DataFrame:
     return packed.repartition(n, "slot").mapInArrow(chain, "a long, b long")
 
 
-def _spanned(parts, size, place: np.ndarray, base: int):
+def _spanned(sketches: Sketches, place: np.ndarray, base: int):
     """Pairs (by position) that connect the members of a group wherever sketches allow a link."""
     rest, frontier = np.arange(1, len(place)), [0]
     while len(rest):
         one = frontier.pop() if frontier else int(rest[0])
         rest = rest[rest != one]
-        near = _near(parts, size, place[one], place[rest])
+        near = sketches.near(np.full(len(rest), place[one]), place[rest])
         hit = rest[near]
         if len(hit):
             yield np.full(len(hit), one + base), hit + base
