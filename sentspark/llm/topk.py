@@ -9,9 +9,10 @@ rotated leading coordinates give partial sums; by Cauchy-Schwarz the rest adds a
 product of the residual lengths, and only pairs whose bound reaches the threshold are
 scored in full.
 
-Query blocks are copied to a fixed number of slots (the shuffle partitions) and joined to
-the candidate blocks of each slot, so neither side passes through the driver or one task.
-Only the first block, of at most ``CELLS`` numbers, is collected and sent to all tasks.
+Candidate blocks are dealt by number and written, so that long vectors are not neighbours.
+Every task streams the query blocks, of a group of at most ``GROUP`` numbers at a time, past
+the candidate blocks it reads, so neither side passes through the driver or one task. Only
+the first block, of at most ``CELLS`` numbers, is collected and sent to all tasks.
 
 Vectors that are null or hold a null or non-finite component, and rows without an id, take
 no part. Only vectors of the same length of array are compared. A row is no candidate for
@@ -24,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentspark.llm.catalog import query, table
@@ -34,6 +35,8 @@ from sentspark.storage import materialise
 
 #: Numbers in a block of vectors.
 CELLS = 1 << 16
+#: Numbers of query vectors that a task streams past its candidate blocks.
+GROUP = 1 << 20
 #: Rotated coordinates that bound a score.
 LEADING = 16
 SCALE = 1024
@@ -138,11 +141,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     spark = vectors.sparkSession
     n = buckets(spark)
     ordered = vectors.repartitionByRange(n, F.desc("length")).sortWithinPartitions("dim", F.desc("length"), "id")
-    blocks = materialise(_blocks(ordered), "topk-blocks")
+    blocks = materialise(_blocks(ordered).repartition(n, "block"), "topk-blocks")
     results = None
-    asked = materialise(_blocks(queries.repartition(n, "id").sortWithinPartitions("dim", "id")), "topk-queries")
+    numbers = queries.agg(F.sum("dim")).first()[0] or 0
+    groups = max(-(-numbers // GROUP), 1)
+    asked = materialise(_blocks(queries.repartition(groups, "id").sortWithinPartitions("dim", "id")), "topk-queries")
     for dim in [r.dim for r in asked.select("dim").distinct().orderBy("dim").toLocalIterator()]:
-        found = _search_dim(blocks.filter(F.col("dim") == dim), asked.filter(F.col("dim") == dim), dim, k, n)
+        found = _search_dim(blocks.filter(F.col("dim") == dim), asked.filter(F.col("dim") == dim), dim, k, groups)
         results = found if results is None else results.union(found)
     if results is None:
         results = spark.createDataFrame([], "query_id long, vec_id long, score long")
@@ -151,9 +156,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _search_dim(blocks: DataFrame, asked: DataFrame, dim: int, k: int, n: int) -> DataFrame:
-    # one block of at most CELLS numbers
-    first = blocks.orderBy(F.desc("longest"), "block").limit(1).collect()[0]
+def _first(blocks: DataFrame) -> Row:
+    """The block of the longest vectors: found by its number, so that no other comes to the driver."""
+    number = blocks.select("longest", "block").orderBy(F.desc("longest"), "block").first().block
+    return blocks.filter(F.col("block") == number).select("ids", "vectors").first()
+
+
+def _search_dim(blocks: DataFrame, asked: DataFrame, dim: int, k: int, groups: int) -> DataFrame:
+    first = _first(blocks)
     top_ids, top = _read(bytes(first.ids), bytes(first.vectors), dim)
     turn = rotation(top) if dim else np.zeros((0, 0))
 
@@ -174,9 +184,8 @@ def _search_dim(blocks: DataFrame, asked: DataFrame, dim: int, k: int, n: int) -
                 )
 
     ready = asked.mapInArrow(prepare, "need double, q_ids binary, queries binary, least binary")
-    ready = ready.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt = blocks.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(n)).cast("int"))
-    pairs = dealt.join(ready, (dealt["slot"] == ready["slot"]) & (dealt["longest"] >= ready["need"]))
+    ready = materialise(ready, "topk-ready").coalesce(groups)
+    pairs = blocks.hint("shuffle_replicate_nl").join(ready, blocks["longest"] >= ready["need"])
 
     def run(batches):
         for batch in batches:
